@@ -147,3 +147,222 @@ def q_positive_llr(spark, sf):
     """LLR over positive ratings only (4 and 5)."""
     pos = T.ratings(spark, sf).filter(F.col("rating") >= 4).select("user", "item")
     return L.llr_similarity(pos, variant="default")
+
+# ====================================================================== neighbours, prediction
+
+from ..functions import vectors as V  # noqa: E402
+from ..operators import evaluate as E  # noqa: E402
+from ..operators import gram as G  # noqa: E402
+from ..operators import knn as K  # noqa: E402
+from ..operators import predict as P  # noqa: E402
+
+KNN_K = 10
+PRED_K = 100
+
+
+def _test_users(spark, sf):
+    return T.test_ratings(spark, sf).select(F.col("user").alias("id"))
+
+
+def knn_predictions(spark, sf, k: int = PRED_K, weight: str = "distance") -> DataFrame:
+    """B_test predicted from the k nearest embedding neighbours of each test user."""
+    train, test = T.split_ratings(T.ratings(spark, sf))
+    nbrs = K.exact_neighbors(T.embeddings(spark, sf), test.select(F.col("user").alias("id")), k=k)
+    return P.predict(test, train, nbrs, weight=weight)
+
+
+@register("q_embeddings_header", f"""
+WITH lines AS (SELECT vec_id, CAST(vec_id AS VARCHAR) || ' ' ||
+                      array_to_string(list_transform(CAST(embedding AS DOUBLE[]),
+                                                     lambda x: printf('%.6f', x)), ' ') AS value
+               FROM embeddings),
+hdr AS (SELECT 'id ' || array_to_string(list_transform(range(1, 65), lambda i: 'v' || i), ' ') AS value)
+SELECT vec_id AS id, CAST(len(string_split(value, ' ')) - 1 AS BIGINT) AS dim,
+       round(list_sum(list_transform(list_slice(string_split(value, ' '), 2, 65),
+                                     lambda x: CAST(x AS DOUBLE))), 6) AS total
+FROM lines""")
+def q_embeddings_header(spark, sf):
+    """Embeddings rendered as ``id v1 ... vd`` text lines behind a header
+    line, parsed back with the header dropped."""
+    emb = T.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    body = emb.select(F.concat_ws(" ", F.col("vec_id").cast("string"), F.array_join(
+        F.transform(F.col("embedding").cast("array<double>"), lambda x: F.format_string("%.6f", x)), " "))
+        .alias("value"))
+    header = spark.range(1).select(F.concat_ws(" ", F.lit("id"), F.array_join(
+        F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.concat(F.lit("v"), i.cast("string"))),
+        " ")).alias("value"))
+    parsed = X.parse_embeddings(header.unionByName(body), header=True)
+    return parsed.select("id", F.size("vec").cast("long").alias("dim"),
+                         F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@register("q_knn_exact", f"WITH {Q.knn_ctes(Q.B_EMB, None, KNN_K)}\nSELECT * FROM nb")
+def q_knn_exact(spark, sf):
+    """K nearest (cosine) neighbours of every embedding."""
+    return K.exact_neighbors(T.embeddings(spark, sf), k=KNN_K)
+
+
+@register("q_knn_reference", f"WITH {Q.knn_ctes(Q.B_EMB, None, KNN_K, order='reference')}\nSELECT * FROM nb")
+def q_knn_reference(spark, sf):
+    """The original ordering — k largest distances per point."""
+    return K.exact_neighbors(T.embeddings(spark, sf), k=KNN_K, order="reference")
+
+
+@register("q_dist_dense", f"""
+WITH {Q.knn_ctes(Q.B_EMB, None, 5, measure='euclidean')}
+SELECT n.id, n.nbr, n.rnk, n.dist AS d_euclid,
+       round({Q.cos_sql('x.vec', 'y.vec')}, 6) AS d_cos,
+       round({Q.manhattan_sql('x.vec', 'y.vec')}, 6) AS d_manhattan,
+       CAST(len(list_filter(x.vec, lambda v: v <> 0)) AS BIGINT) AS n_active
+FROM nb n JOIN nb_p x ON x.id = n.id JOIN nb_p y ON y.id = n.nbr""")
+def q_dist_dense(spark, sf):
+    """Exact Euclidean 5-NN; cosine and Manhattan distances of the
+    same pairs as native expressions; active (non-zero) dimension count."""
+    emb = T.embeddings(spark, sf)
+    nb = K.exact_neighbors(emb, k=5, measure="euclidean")
+    x = emb.select("id", F.col("vec").alias("xv"))
+    y = emb.select(F.col("id").alias("nbr"), F.col("vec").alias("yv"))
+    j = nb.join(x, "id").join(y, "nbr")
+    return j.select("id", "nbr", "rnk", F.col("dist").alias("d_euclid"),
+                    F.round(V.cosine_distance("xv", "yv"), 6).alias("d_cos"),
+                    F.round(V.manhattan_distance("xv", "yv"), 6).alias("d_manhattan"),
+                    F.size(V.active_indices("xv")).cast("long").alias("n_active"))
+
+
+@register("q_dist_sets", f"""
+WITH {Q.knn_ctes(Q.B_SET.replace(' AS idx', ' AS vec'), None, 5, measure='jaccard')}
+SELECT n.id, n.nbr, n.rnk, n.dist AS d_jaccard, round({Q.hamming_sql('x.vec', 'y.vec')}, 6) AS d_hamming
+FROM nb n JOIN nb_p x ON x.id = n.id JOIN nb_p y ON y.id = n.nbr""")
+def q_dist_sets(spark, sf):
+    """Exact Jaccard 5-NN over purchase sets, Hamming of the same pairs."""
+    sets = T.item_sets(spark, sf).withColumnRenamed("idx", "vec")
+    nb = K.exact_neighbors(sets, k=5, measure="jaccard")
+    x = sets.select("id", F.col("vec").alias("xv"))
+    y = sets.select(F.col("id").alias("nbr"), F.col("vec").alias("yv"))
+    return nb.join(x, "id").join(y, "nbr").select(
+        "id", "nbr", "rnk", F.col("dist").alias("d_jaccard"),
+        F.round(V.hamming_distance("xv", "yv"), 6).alias("d_hamming"))
+
+
+@register("q_train_by_item", f"""
+SELECT item, count(*) AS n_ratings, string_agg(CAST(user AS VARCHAR), ' ' ORDER BY user) AS users,
+       round(sum(rating), 6) AS total FROM ({Q.B_TRAIN}) t GROUP BY item""")
+def q_train_by_item(spark, sf):
+    """Train ratings grouped by item."""
+    g = P.group_ratings(T.train_ratings(spark, sf), by="item")
+    return g.select("item", F.size("ratings").cast("long").alias("n_ratings"),
+                    F.array_join(F.transform("ratings", lambda r: r["user"].cast("string")), " ").alias("users"),
+                    F.round(F.aggregate("ratings", F.lit(0.0), lambda a, r: a + r["rating"]), 6).alias("total"))
+
+
+@register("q_test_by_user", f"""
+SELECT user, count(*) AS n_ratings, string_agg(CAST(item AS VARCHAR), ' ' ORDER BY item) AS items,
+       round(sum(rating), 6) AS total FROM ({Q.B_TEST}) t GROUP BY user""")
+def q_test_by_user(spark, sf):
+    """Test ratings grouped by user."""
+    g = P.group_ratings(T.test_ratings(spark, sf), by="user")
+    return g.select("user", F.size("ratings").cast("long").alias("n_ratings"),
+                    F.array_join(F.transform("ratings", lambda r: r["item"].cast("string")), " ").alias("items"),
+                    F.round(F.aggregate("ratings", F.lit(0.0), lambda a, r: a + r["rating"]), 6).alias("total"))
+
+
+@register("q_coverage", f"WITH {Q.PRED_BASE}\nSELECT user, item, rating FROM preds_cov")
+def q_coverage(spark, sf):
+    """test pairs whose user has neighbours and whose item is in train."""
+    train, test = T.split_ratings(T.ratings(spark, sf))
+    nbrs = K.exact_neighbors(T.embeddings(spark, sf), test.select(F.col("user").alias("id")), k=PRED_K)
+    return P.covered(test.select("user", "item", "rating"), train, nbrs)
+
+
+@register("q_predict_knn", f"WITH {Q.PRED_BASE}\nSELECT * FROM preds")
+def q_predict_knn(spark, sf):
+    """Distance-weighted prediction from 100 exact neighbours."""
+    return knn_predictions(spark, sf)
+
+
+@register("q_softmax_avg", f"""
+WITH {Q.PRED_BASE},
+top AS (SELECT * FROM (SELECT j.user, j.item, j.w, j.r, row_number() OVER (PARTITION BY j.user, j.item
+                ORDER BY n.rnk) AS pos FROM preds_j j JOIN nb n ON n.id = j.user AND n.dist = j.w
+              JOIN preds_tr tr ON tr.user = n.nbr AND tr.item = j.item AND tr.r = j.r
+              WHERE j.r IS NOT NULL) z WHERE pos <= 10)
+SELECT user, item, round(sum(exp(w) * r) / sum(exp(w)), 6) AS value FROM top GROUP BY 1, 2""")
+def q_softmax_avg(spark, sf):
+    """softmax(distance)-weighted rating over the 10 nearest rating neighbours."""
+    return _top_rated(spark, sf).groupBy("user", "item").agg(
+        F.round(P.softmax_average("w", "r"), 6).alias("value"))
+
+
+@register("q_naive_avg", f"""
+WITH {Q.PRED_BASE},
+rn AS (SELECT c.user, c.item, tr.r, row_number() OVER (PARTITION BY c.user, c.item ORDER BY n.rnk) AS pos
+       FROM preds_cov c JOIN nb n ON n.id = c.user JOIN preds_tr tr ON tr.user = n.nbr AND tr.item = c.item)
+SELECT user, item, round(sum(r) / 10.0, 6) AS value FROM rn WHERE pos <= 10 GROUP BY 1, 2""")
+def q_naive_avg(spark, sf):
+    """Sum of the 10 nearest neighbours' ratings divided by the constant 10."""
+    return _top_rated(spark, sf).groupBy("user", "item").agg(
+        F.round(P.naive_average("r", 10), 6).alias("value"))
+
+
+def _top_rated(spark, sf, n: int = 10) -> DataFrame:
+    """(user, item, w, r) for the n nearest neighbours that rated the item."""
+    from pyspark.sql import Window
+    train, test = T.split_ratings(T.ratings(spark, sf))
+    nbrs = K.exact_neighbors(T.embeddings(spark, sf), test.select(F.col("user").alias("id")), k=PRED_K)
+    cov = P.covered(test.select("user", "item", "rating"), train, nbrs)
+    rated = train.groupBy("user", "item").agg(F.max("rating").alias("r")) \
+        .select(F.col("user").alias("nbr"), "item", "r")
+    j = cov.join(nbrs.select(F.col("id").alias("user"), "nbr", F.col("dist").alias("w"), "rnk"), "user") \
+        .join(rated, ["nbr", "item"])
+    w = Window.partitionBy("user", "item").orderBy("rnk")
+    return j.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= n)
+
+
+# ====================================================================== evaluation
+
+_PRED_EVAL = f"WITH {Q.PRED_BASE},{Q.metrics_ctes()}\n"
+
+
+@register("q_topn_items", _PRED_EVAL + "SELECT user, item, predicted, rnk FROM topn")
+def q_topn_items(spark, sf):
+    """Each user's 10 highest predictions."""
+    return E.top_n(knn_predictions(spark, sf), 10).select("user", "item", "predicted", "rnk")
+
+
+@register("q_rmse", _PRED_EVAL + "SELECT metric, round(value, 9) AS value FROM m_rmse")
+def q_rmse(spark, sf):
+    """RMSE of the KNN predictions, read back from their
+    ``(user,item,rating,predicted)`` text form with blank lines skipped."""
+    from ..sources import sinks
+    lines = sinks.format_predictions(knn_predictions(spark, sf))
+    blanks = spark.range(1).select(F.lit("  ").alias("value"))
+    parsed = X.parse_predictions(lines.unionByName(blanks))
+    return E.rmse(parsed).select("metric", F.round("value", 9).alias("value"))
+
+
+@register("q_ap", _PRED_EVAL + "SELECT user, round(ap, 9) AS ap FROM ap")
+def q_ap(spark, sf):
+    """Per-user average precision at 10 (relevance: rating > 3)."""
+    return E.average_precision(knn_predictions(spark, sf), 10, 3.0).select(
+        "user", F.round("ap", 9).alias("ap"))
+
+
+@register("q_map", _PRED_EVAL + "SELECT metric, round(value, 9) AS value FROM m_map")
+def q_map(spark, sf):
+    """MAP@10."""
+    return E.map_at_k(knn_predictions(spark, sf)).select("metric", F.round("value", 9).alias("value"))
+
+
+@register("q_recall", _PRED_EVAL + "SELECT metric, round(value, 9) AS value FROM m_recall")
+def q_recall(spark, sf):
+    """A18 (extension): recall@10."""
+    return E.recall_at_n(knn_predictions(spark, sf)).select("metric", F.round("value", 9).alias("value"))
+
+
+@register("q_all_metrics", _PRED_EVAL + """SELECT metric, round(value, 9) AS value FROM m_rmse
+UNION ALL SELECT metric, round(value, 9) AS value FROM m_map
+UNION ALL SELECT metric, round(value, 9) AS value FROM m_recall""")
+def q_all_metrics(spark, sf):
+    """All metrics in one result."""
+    return E.evaluate(knn_predictions(spark, sf), ("rmse", "map", "recall")).select(
+        "metric", F.round("value", 9).alias("value"))
