@@ -136,7 +136,7 @@ class LSH:
         return self.tables * (self.bands if self.measure == "jaccard" else 1)
 
     # ------------------------------------------------------------ signatures
-    def _table_signature(self, t: int, vec: Column) -> Column:
+    def _table_signature(self, t: int, vec: Column, dimc: Column | None = None) -> Column:
         p, s = self.params, self.signature
         if self.measure in ("cosine", "euclidean", "manhattan"):
             planes = F.array(*[F.array(*[_dlit(x) for x in row]) for row in p["planes"][t]])
@@ -146,18 +146,20 @@ class LSH:
                                 lambda i: F.element_at(proj, i + 1) > 0)
             offs = F.array(*[_dlit(x) for x in p["offsets"][t]])
             return F.zip_with(proj, offs, lambda a, b: F.floor((a + b) / _dlit(self.bucket_width)).cast("int"))
-        dimc = self.dim if isinstance(self.dim, Column) else F.lit(int(self.dim))
+        if dimc is None:
+            dimc = F.lit(int(self.dim))
         if self.measure == "hamming":
             us = F.array(*[_dlit(x) for x in p["sample_u"][t]])
             sampled = F.transform(us, lambda u: F.floor(u * dimc).cast("int"))
             return F.array_sort(F.array_intersect(vec, sampled))
         # jaccard: minhash over active indices
-        comps = []
-        for j in range(s):
-            a, b = int(p["a"][t][j]), int(p["b"][t][j])
-            comps.append(F.array_min(F.transform(vec, lambda x, a=a, b=b: (
-                F.pmod(F.lit(a).cast("long") * x.cast("long") + F.lit(b).cast("long"),
-                       F.lit(self.prime).cast("long")) % dimc).cast("int"))))
+        def permute(a: int, b: int):
+            prime = F.lit(self.prime).cast("long")
+            return lambda x: (F.pmod(F.lit(a).cast("long") * x.cast("long") + F.lit(b).cast("long"),
+                                     prime) % dimc).cast("int")
+
+        comps = [F.array_min(F.transform(vec, permute(int(p["a"][t][j]), int(p["b"][t][j]))))
+                 for j in range(s)]
         return F.array(*comps)
 
     def signatures(self, points: DataFrame) -> DataFrame:
@@ -166,7 +168,12 @@ class LSH:
         pts = points
         if self.measure == "jaccard":
             pts = pts.filter(F.size("vec") > 0)
-        sigs = F.array(*[self._table_signature(t, F.col("vec")) for t in range(self.tables)])
+        dimc = None
+        if isinstance(self.dim, Column):
+            # subqueries may not appear inside lambdas: bind the scalar to a column first
+            pts = pts.withColumn("_dim", self.dim)
+            dimc = F.col("_dim")
+        sigs = F.array(*[self._table_signature(t, F.col("vec"), dimc) for t in range(self.tables)])
         return pts.select("id", "vec", F.posexplode(sigs).alias("tbl", "sig"))
 
     def bucket_keys(self, sigs: DataFrame) -> DataFrame:
@@ -260,7 +267,7 @@ class LSH:
         masks = F.array(*[F.lit(m) for m in range(1, 2 ** u)])
         combos = (per_point.select("id", "keys", F.explode(masks).alias("mask"))
                   .select("mask", F.transform(
-                      F.filter("keys", lambda e: F.shiftright(F.col("mask"), e["unit"]) % 2 == 1),
+                      F.filter("keys", lambda e: F.floor(F.col("mask") / F.pow(F.lit(2.0), e["unit"])) % 2 == 1),
                       lambda e: e["key"]).alias("combo")))
         groups = combos.groupBy("mask", "combo").agg(F.count(F.lit(1)).alias("c"))
         sign = F.when(F.bit_count("mask") % 2 == 1, F.lit(1)).otherwise(F.lit(-1))

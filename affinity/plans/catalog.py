@@ -366,3 +366,192 @@ def q_all_metrics(spark, sf):
     """All metrics in one result."""
     return E.evaluate(knn_predictions(spark, sf), ("rmse", "map", "recall")).select(
         "metric", F.round("value", 9).alias("value"))
+
+
+# ====================================================================== Gram baseline
+
+GRAM_N = 10
+SWEEP_KS = (10, 50, 100, 200, 300, 400, 500, 600, 700, 800, 900, 1000)
+
+_GRAM_BASE = f"""train AS ({Q.B_TRAIN}),
+test AS ({Q.B_TEST}),
+gram AS (SELECT x.user AS a, y.user AS b, sum(x.rating * y.rating) AS g
+         FROM train x JOIN train y ON x.item = y.item GROUP BY 1, 2),
+cand AS (SELECT t.user, t.item, t.rating, r.user AS nbr, g.g, r.rating AS r,
+                row_number() OVER (PARTITION BY t.user, t.item ORDER BY g.g DESC, r.user ASC) AS rnk
+         FROM test t JOIN train r ON r.item = t.item JOIN gram g ON g.a = t.user AND g.b = r.user
+         WHERE g.g > 0)"""
+
+
+def _gram_sql_predict(n: int, test_cte: str = "test") -> str:
+    return f"""
+SELECT t.user, t.item, t.rating,
+       round(CASE WHEN t.item NOT IN (SELECT item FROM train) THEN 0.0 ELSE p.p END, 6) AS predicted
+FROM {test_cte} t LEFT JOIN (SELECT user, item, rating, sum(g * r) / sum(g) AS p FROM cand
+                          WHERE rnk <= {n} GROUP BY 1, 2, 3) p
+  ON p.user = t.user AND p.item = t.item AND p.rating = t.rating"""
+
+
+@register("q_gram", f"""
+WITH train AS ({Q.B_TRAIN})
+SELECT x.user AS a, y.user AS b, round(sum(x.rating * y.rating), 6) AS g
+FROM train x JOIN train y ON x.item = y.item GROUP BY 1, 2""")
+def q_gram(spark, sf):
+    """User x user Gram matrix of the train ratings (sparse)."""
+    ratings_text = T.train_ratings(spark, sf).select(F.concat_ws(
+        ",", F.col("user").cast("string"), F.col("item").cast("string"),
+        F.col("rating").cast("string")).alias("value"))
+    g = G.gram_similarity(X.parse_ratings(ratings_text))
+    return g.select("a", "b", F.round("g", 6).alias("g"))
+
+
+def _gram_inputs(spark, sf):
+    train, test = T.split_ratings(T.ratings(spark, sf))
+    return train, test, G.gram_similarity(train)
+
+
+@register("q_gram_predict", f"WITH {_GRAM_BASE}" + _gram_sql_predict(GRAM_N))
+def q_gram_predict(spark, sf):
+    """Gram-weighted rating from the 10 most similar raters."""
+    train, test, gram = _gram_inputs(spark, sf)
+    return G.gram_predict(test, train, gram, n=GRAM_N)
+
+
+@register("q_predict_limit", f"WITH {_GRAM_BASE},\nfirst5 AS (SELECT * FROM test ORDER BY user, item LIMIT 5)"
+          + _gram_sql_predict(GRAM_N, "first5"))
+def q_predict_limit(spark, sf):
+    """Predictions for the first five test rows (ordered by user, item)."""
+    train, test, gram = _gram_inputs(spark, sf)
+    first = test.orderBy("user", "item").limit(5)
+    return G.gram_predict(first, train, gram, n=GRAM_N)
+
+
+@register("q_pivot", f"""
+WITH train AS ({Q.B_TRAIN}),
+top AS (SELECT item FROM train GROUP BY item ORDER BY count(*) DESC, item ASC LIMIT 10),
+cells AS (SELECT u.user, t.item, coalesce(max(r.rating), 0.0) AS rating
+          FROM (SELECT DISTINCT user FROM train) u CROSS JOIN top t
+          LEFT JOIN train r ON r.user = u.user AND r.item = t.item GROUP BY 1, 2)
+SELECT user, CAST(item AS VARCHAR) AS item, rating FROM cells""")
+def q_pivot(spark, sf):
+    """Dense user x item matrix over the ten most-rated items, 0-filled,
+    returned in long form (user, item, rating) for comparison."""
+    train = T.train_ratings(spark, sf)
+    top = (train.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+           .orderBy(F.col("n").desc(), F.col("item").asc()).limit(10))
+    items = [r["item"] for r in top.collect()]  # ten ids: the pivot's column list
+    wide = G.pivot_matrix(train, items)
+    cols = [c for c in wide.columns if c != "user"]
+    stacked = F.explode(F.array(*[F.struct(F.lit(c).alias("item"), F.col(f"`{c}`").cast("double")
+                                           .alias("rating")) for c in cols]))
+    return wide.select("user", stacked.alias("cell")).select("user", "cell.item", "cell.rating")
+
+
+@register("q_sweep_k", f"""
+WITH {_GRAM_BASE},
+ks AS (SELECT unnest({list(SWEEP_KS)}) AS k),
+p AS (SELECT ks.k, c.user, c.item, c.rating, sum(c.g * c.r) / sum(c.g) AS predicted
+      FROM cand c JOIN ks ON c.rnk <= ks.k GROUP BY 1, 2, 3, 4)
+SELECT k, round(sqrt(avg(pow(rating - round(predicted, 6), 2))), 9) AS rmse FROM p GROUP BY k""")
+def q_sweep_k(spark, sf):
+    """Gram-baseline RMSE for every neighbourhood size k (rank once)."""
+    train, test, gram = _gram_inputs(spark, sf)
+    preds = G.gram_predict_by_k(test, train, gram, list(SWEEP_KS))
+    return preds.groupBy("k").agg(F.round(F.sqrt(F.avg(F.pow(F.col("rating") - F.col("predicted"), 2))), 9)
+                                  .alias("rmse"))
+
+
+# ====================================================================== LSH
+
+from ..operators.lsh import LSH  # noqa: E402
+
+EMB_DIM = 64
+DIM_SQL = "(SELECT CAST(max(p_partkey) + 1 AS INTEGER) FROM part)"
+LSH_SPECS = {
+    "cos": dict(measure="cosine", tables=2, signature=8, seed=7),
+    "multi": dict(measure="cosine", tables=4, signature=10, seed=11),
+    "euclid": dict(measure="euclidean", tables=2, signature=3, bucket_width=1.5, seed=13),
+    "manhattan": dict(measure="manhattan", tables=2, signature=2, bucket_width=8.0, seed=17),
+    "hamming": dict(measure="hamming", tables=1, signature=16, seed=19, block_rows=256),
+    "jaccard": dict(measure="jaccard", tables=2, signature=8, prime=2147483647, bands=4, seed=23),
+}
+LSH_K = 10
+SET_POINTS_SQL = Q.B_SET.replace(" AS idx", " AS vec")
+# Query points for the bipartite search: every embedding with its components reversed.
+REVERSED_SQL = "SELECT vec_id AS id, list_reverse(CAST(embedding AS DOUBLE[])) AS vec FROM embeddings"
+
+
+def _lsh(name: str, dim=EMB_DIM) -> LSH:
+    return LSH(dim=dim, **LSH_SPECS[name])
+
+
+def _sets(spark, sf):
+    return T.item_sets(spark, sf).withColumnRenamed("idx", "vec")
+
+
+@register("q_lsh_signatures", f"""
+SELECT id, tbl, array_to_string(key, ',') AS sig
+FROM ({Q.lsh_entries_sql(_lsh('cos'), Q.B_EMB)}) e""")
+def q_lsh_signatures(spark, sf):
+    """H1/H3/H4: sign-random-projection signatures, one row per (point, table)."""
+    sigs = _lsh("cos").signatures(T.embeddings(spark, sf))
+    return sigs.select("id", F.col("tbl").cast("int").alias("tbl"), F.array_join("sig", ",").alias("sig"))
+
+
+@register("q_lsh_cosine", Q.lsh_neighbors_sql(_lsh("cos"), Q.B_EMB, LSH_K))
+def q_lsh_cosine(spark, sf):
+    """Cosine LSH neighbours (simple collision strategy)."""
+    return _lsh("cos").neighbors(T.embeddings(spark, sf), LSH_K)
+
+
+@register("q_lsh_multi", Q.lsh_neighbors_sql(_lsh("multi"), Q.B_EMB, LSH_K))
+def q_lsh_multi(spark, sf):
+    """Four tables; a pair colliding in several tables counts once."""
+    return _lsh("multi").neighbors(T.embeddings(spark, sf), LSH_K)
+
+
+@register("q_lsh_euclid", Q.lsh_neighbors_sql(_lsh("euclid"), Q.B_EMB, LSH_K))
+def q_lsh_euclid(spark, sf):
+    """H5: scalar random projection, Euclidean distance."""
+    return _lsh("euclid").neighbors(T.embeddings(spark, sf), LSH_K)
+
+
+@register("q_lsh_manhattan", Q.lsh_neighbors_sql(_lsh("manhattan"), Q.B_EMB, LSH_K))
+def q_lsh_manhattan(spark, sf):
+    """H6: Cauchy projections, Manhattan distance."""
+    return _lsh("manhattan").neighbors(T.embeddings(spark, sf), LSH_K)
+
+
+@register("q_lsh_hamming", Q.lsh_neighbors_sql(_lsh("hamming", 1), SET_POINTS_SQL, 5, dim_sql=DIM_SQL))
+def q_lsh_hamming(spark, sf):
+    """H7: bit sampling over purchase sets. Most sets miss every sampled bit, so
+    the empty signature is one hot bucket; it is split into tiles, not capped."""
+    return _lsh("hamming", T.part_dim(spark, sf)).neighbors(_sets(spark, sf), 5)
+
+
+@register("q_lsh_jaccard", Q.lsh_neighbors_sql(_lsh("jaccard", 1), SET_POINTS_SQL, 5, dim_sql=DIM_SQL))
+def q_lsh_jaccard(spark, sf):
+    """MinHash with banding over purchase sets."""
+    return _lsh("jaccard", T.part_dim(spark, sf)).neighbors(_sets(spark, sf), 5)
+
+
+@register("q_lsh_query", Q.lsh_neighbors_sql(_lsh("cos"), Q.B_EMB, 5, queries=REVERSED_SQL))
+def q_lsh_query(spark, sf):
+    """Bipartite search of new query points (reversed embeddings)
+    against the hashed embeddings; an id may match its own model point."""
+    emb = T.embeddings(spark, sf)
+    queries = emb.select("id", F.reverse("vec").alias("vec"))
+    return _lsh("cos").query(emb, queries, 5)
+
+
+@register("q_selectivity", f"""
+WITH ent AS ({Q.lsh_entries_sql(_lsh('cos'), Q.B_EMB)}),
+pairs AS (SELECT DISTINCT a.id AS id1, b.id AS id2 FROM ent a JOIN ent b
+          ON a.tbl = b.tbl AND a.band = b.band AND a.key = b.key)
+SELECT 'avg_selectivity' AS metric,
+       round(CAST((SELECT count(*) FROM pairs) AS DOUBLE) / (SELECT count(*) FROM embeddings)
+             / (SELECT count(*) FROM embeddings), 9) AS value""")
+def q_selectivity(spark, sf):
+    """Average LSH selectivity (exact, by inclusion-exclusion)."""
+    sel = _lsh("cos").avg_selectivity(T.embeddings(spark, sf))
+    return sel.select("metric", F.round("value", 9).alias("value"))

@@ -220,8 +220,11 @@ def lsh_signature_sql(lsh, t: int, vec: str = "vec", dim_sql: str | None = None)
 def lsh_entries_sql(lsh, points: str, dim_sql: str | None = None) -> str:
     """SELECT id, vec, tbl, band, key over the points query."""
     where = "WHERE len(vec) > 0" if lsh.measure == "jaccard" else ""
+    if dim_sql:  # subqueries may not appear inside lambdas: bind the scalar to a column
+        points = f"SELECT *, {dim_sql} AS _dim FROM ({points}) zz"
+    dim_ref = "_dim" if dim_sql else None
     sigs = " UNION ALL ".join(
-        f"SELECT id, vec, {t} AS tbl, {lsh_signature_sql(lsh, t, dim_sql=dim_sql)} AS sig "
+        f"SELECT id, vec, {t} AS tbl, {lsh_signature_sql(lsh, t, dim_sql=dim_ref)} AS sig "
         f"FROM ({points}) z {where}"
         for t in range(lsh.tables))
     if lsh.measure != "jaccard":

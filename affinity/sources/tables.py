@@ -91,3 +91,8 @@ def item_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def part_count(spark: SparkSession, sf_dir: str) -> int:
     """Dimension of the set vectors (largest part id + 1)."""
     return int(table(spark, sf_dir, "part").agg(F.max("p_partkey")).first()[0]) + 1
+
+
+def part_dim(spark: SparkSession, sf_dir: str):
+    """Set-vector dimension as a lazy scalar subquery column (max part id + 1)."""
+    return table(spark, sf_dir, "part").select((F.max("p_partkey") + 1).cast("int")).scalar()
