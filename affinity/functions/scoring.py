@@ -68,3 +68,23 @@ def contingency(k11, n_a, n_b, n_total) -> tuple[Column, Column, Column]:
     """k12 = nA - k11, k21 = nB - k11, k22 = N - nA - nB + k11."""
     k11, n_a, n_b, n_total = map(_c, (k11, n_a, n_b, n_total))
     return n_a - k11, n_b - k11, n_total - n_a - n_b + k11
+
+
+def llr_exceeds(k11, k12, k21, k22, threshold: float) -> Column:
+    """Predicate equivalent to ``llr_similarity(llr) > threshold``.
+
+    sim = llr / (1 + llr) is increasing in llr, so sim > t <=> llr > t / (1 - t)
+    for 0 <= t < 1, and llr = 2 * (rowH + colH - matH) when positive. Written on
+    the raw cells, each x*ln(x) term appears once, so the predicate stays small
+    when Catalyst pushes it below the scoring projections."""
+    k11, k12, k21, k22 = map(_c, (k11, k12, k21, k22))
+    valid = (k12 >= 0) & (k21 >= 0) & (k22 >= 0)
+    if threshold < 0:
+        return valid
+    if threshold >= 1:
+        return F.lit(False)
+    n = k11 + k12 + k21 + k22
+    g = ((xlogx(n) - xlogx(k11 + k12) - xlogx(k21 + k22))
+         + (xlogx(n) - xlogx(k11 + k21) - xlogx(k12 + k22))
+         - (xlogx(n) - (xlogx(k11) + xlogx(k12) + xlogx(k21) + xlogx(k22))))
+    return valid & (F.lit(2.0) * g > F.lit(threshold / (1.0 - threshold)))

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..functions.draws import uniform
+from ..session import cut_lineage
 
 VARIANTS = ("default", "max", "continuous")
 MODES = ("user", "item")
@@ -110,8 +111,11 @@ def llr_cells(interactions: DataFrame, max_interactions: int | None = 500,
         ints = downsample(ints, max_interactions, cap_mode, seed)
     weighted = weighted_interactions(ints)
     totals = weighted.groupBy("user").agg(F.sum("cnt").alias("n"))
-    n_items = weighted.select(F.count_distinct("item")).scalar()
-    pairs = cooccurrence(weighted.join(totals, "user"), with_totals=True)
+    # The folded table feeds both join sides, the totals and N: materialise it
+    # once (reliable checkpoint) instead of re-running scan/cap/fold per branch.
+    folded = cut_lineage(weighted.join(totals, "user"))
+    n_items = folded.select(F.count_distinct("item")).scalar()
+    pairs = cooccurrence(folded, with_totals=True)
     if not include_self:
         pairs = pairs.filter(F.col("a") != F.col("b"))
     k12, k21, k22 = S.contingency("k11", "n_a", "n_b", n_items)
@@ -121,20 +125,33 @@ def llr_cells(interactions: DataFrame, max_interactions: int | None = 500,
 def score_cells(cells: DataFrame) -> DataFrame:
     """X1-X6 over (k11, k12, k21, k22): llr, default, max and continuous.
 
+    The nine distinct x*ln(x) terms are computed once per row and the
+    entropies are assembled from them (row = xlogx(N) - xlogx(k11+k12) -
+    xlogx(k21+k22), and so on), so each row evaluates ln nine times.
     A negative cell (possible when interactions repeat) has no defined
     entropy; all scores are NULL for it so no threshold keeps the row."""
-    k = ("k11", "k12", "k21", "k22")
-    bad = (F.col("k12") < 0) | (F.col("k21") < 0) | (F.col("k22") < 0)
-    llr = S.log_likelihood_ratio(*k)
-    scored = (cells
-              .withColumn("llr", F.when(bad, F.lit(None).cast("double")).otherwise(llr))
-              .withColumn("_rh", S.row_entropy(*k))
-              .withColumn("_ch", S.column_entropy(*k))
-              .withColumn("sim_default", S.llr_similarity("llr")))
-    return (scored
-            .withColumn("sim_max", S.max_variant("sim_default", "_rh", "_ch"))
-            .withColumn("sim_continuous", S.continuous_variant("sim_default"))
-            .drop("_rh", "_ch"))
+    k11, k12, k21, k22 = (F.col(c) for c in ("k11", "k12", "k21", "k22"))
+    x = S.xlogx
+    terms = cells.select(
+        "*",
+        x(k11 + k12 + k21 + k22).alias("_xn"),
+        x(k11 + k12).alias("_xr1"), x(k21 + k22).alias("_xr2"),
+        x(k11 + k21).alias("_xc1"), x(k12 + k22).alias("_xc2"),
+        x(k11).alias("_x11"), x(k12).alias("_x12"), x(k21).alias("_x21"), x(k22).alias("_x22"))
+    ent = terms.select(
+        *cells.columns,
+        (F.col("_xn") - F.col("_xr1") - F.col("_xr2")).alias("_rh"),
+        (F.col("_xn") - F.col("_xc1") - F.col("_xc2")).alias("_ch"),
+        (F.col("_xn") - (F.col("_x11") + F.col("_x12") + F.col("_x21") + F.col("_x22"))).alias("_mh"),
+        ((k12 < 0) | (k21 < 0) | (k22 < 0)).alias("_bad"))
+    r, c, m = F.col("_rh"), F.col("_ch"), F.col("_mh")
+    llr = (F.when(F.col("_bad"), F.lit(None).cast("double"))
+           .when(r + c < m, F.lit(0.0)).otherwise(F.lit(2.0) * (r + c - m)))
+    scored = ent.select(*cells.columns, "_rh", "_ch", llr.alias("llr"))
+    scored = scored.select(*cells.columns, "_rh", "_ch", "llr", S.llr_similarity("llr").alias("sim_default"))
+    return scored.select(*cells.columns, "llr", "sim_default",
+                         S.max_variant("sim_default", "_rh", "_ch").alias("sim_max"),
+                         S.continuous_variant("sim_default").alias("sim_continuous"))
 
 
 def llr_similarity(interactions: DataFrame, variant: str = "default", mode: str = "user",
@@ -151,9 +168,10 @@ def llr_similarity(interactions: DataFrame, variant: str = "default", mode: str
         raise ValueError(f"variant must be one of {VARIANTS}, got {variant!r}")
     cells = llr_cells(orient(interactions, mode, user, item), max_interactions, cap_mode,
                       seed, dedupe, include_self)
-    scored = score_cells(cells)
     if variant == "default":
-        scored = scored.filter(F.col("sim_default") > F.lit(threshold))
+        # filter the raw cells (small predicate) before scoring the survivors
+        cells = cells.filter(S.llr_exceeds("k11", "k12", "k21", "k22", threshold))
+    scored = score_cells(cells)
     sim = F.col(f"sim_{variant}")
     if digits is not None:
         sim = F.round(sim, digits)

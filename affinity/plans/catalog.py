@@ -555,3 +555,158 @@ def q_selectivity(spark, sf):
     """Average LSH selectivity (exact, by inclusion-exclusion)."""
     sel = _lsh("cos").avg_selectivity(T.embeddings(spark, sf))
     return sel.select("metric", F.round("value", 9).alias("value"))
+
+
+# ====================================================================== graph and walks
+
+from ..operators import embed as M  # noqa: E402
+from ..operators import graph as H  # noqa: E402
+from ..sources import sinks as Z  # noqa: E402
+
+DEGREE = 30
+WALK_P, WALK_Q = 5.0, 1.0
+WALK_SEED = 1
+FIRST_WALKS = 10
+NUM_WALKS, WALK_LENGTH = 3, 20
+
+
+def llr_graph_edges(spark, sf) -> DataFrame:
+    """S3/U4: the user-user LLR similarities written as ``(a,b,w)`` text,
+    parsed back as an undirected weighted edge list, de-duplicated."""
+    sims = L.llr_similarity(T.purchases(spark, sf), variant="default", threshold=0.6)
+    edges = X.parse_triplets(Z.format_triplets(sims))
+    return H.expand_edges(edges).groupBy("src", "dst").agg(F.max("weight").alias("weight"))
+
+
+def llr_adjacency(spark, sf) -> DataFrame:
+    from ..session import cut_lineage
+    return cut_lineage(H.build_graph(llr_graph_edges(spark, sf), directed=True, degree=DEGREE))
+
+
+_GRAPH_BASE = f"""{Q.llr_ctes(Q.B_INT)},
+sims AS (SELECT a, b, round(sim_default, 9) AS w FROM scored WHERE sim_default > 0.6),
+ded AS (SELECT src, dst, max(w) AS weight FROM (SELECT a AS src, b AS dst, w FROM sims
+        UNION ALL SELECT b AS src, a AS dst, w FROM sims) x GROUP BY 1, 2),
+adj AS (SELECT src, dst, weight, rnk FROM (SELECT src, dst, weight, CAST(row_number() OVER (PARTITION BY src
+        ORDER BY weight DESC, dst ASC) AS BIGINT) AS rnk FROM ded) z WHERE rnk <= {DEGREE}),
+tr AS (SELECT e.src AS prev, e.dst AS cur, n.dst AS nxt, n.weight,
+              CASE WHEN n.dst = e.src THEN n.weight / {WALK_P} WHEN k.src IS NOT NULL THEN n.weight
+                   ELSE n.weight / {WALK_Q} END AS bias
+       FROM adj e JOIN adj n ON n.src = e.dst LEFT JOIN adj k ON k.src = e.src AND k.dst = n.dst),
+trc AS (SELECT prev, cur, nxt, bias, hi, coalesce(lag(hi) OVER (PARTITION BY prev, cur ORDER BY nxt), 0.0) AS lo,
+               max(hi) OVER (PARTITION BY prev, cur) AS tot
+        FROM (SELECT *, sum(bias) OVER (PARTITION BY prev, cur ORDER BY nxt
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi FROM tr) y),
+lists AS (SELECT src, nxt, hi, coalesce(lag(hi) OVER (PARTITION BY src ORDER BY nxt), 0.0) AS lo,
+                 max(hi) OVER (PARTITION BY src) AS tot
+          FROM (SELECT src, dst AS nxt, sum(weight) OVER (PARTITION BY src ORDER BY dst
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi FROM adj) y)"""
+
+
+def _first_sql(walks: int) -> str:
+    u = Q.uniform_sql(str(WALK_SEED), "w.walk", "s.src", "0")
+    return f"""
+firsts AS (SELECT w.walk, s.src AS start, l.nxt AS first
+           FROM (SELECT DISTINCT src FROM adj) s CROSS JOIN range(0, {walks}) w(walk)
+           JOIN lists l ON l.src = s.src
+           WHERE {u} * l.tot > l.lo AND {u} * l.tot <= l.hi)"""
+
+
+@register("q_graph_edges", f"WITH {_GRAPH_BASE}\nSELECT src, dst, weight FROM ded")
+def q_graph_edges(spark, sf):
+    """S3/U4/K1: undirected edge list from the similarity triplets."""
+    return llr_graph_edges(spark, sf)
+
+
+@register("q_adjacency", f"WITH {_GRAPH_BASE}\nSELECT src, dst, weight, rnk FROM adj")
+def q_adjacency(spark, sf):
+    """Top-30 neighbours per node by weight."""
+    return llr_adjacency(spark, sf)
+
+
+@register("q_transitions", f"""WITH {_GRAPH_BASE}
+SELECT prev, cur, nxt, round(bias, 9) AS bias, round(hi, 9) AS hi, round(tot, 9) AS tot FROM trc""")
+def q_transitions(spark, sf):
+    """p/q-biased transition weights with running sums per edge."""
+    adj = llr_adjacency(spark, sf)
+    rows = H.transition_rows(adj, WALK_P, WALK_Q).select("prev", "cur", "nxt", "bias")
+    trans = H.transitions(adj, WALK_P, WALK_Q).select(
+        "prev", "cur", "tot", F.explode("cum").alias("e")).select(
+        "prev", "cur", F.col("e.nxt").alias("nxt"), F.col("e.hi").alias("hi"), "tot")
+    return rows.join(trans, ["prev", "cur", "nxt"]).select(
+        "prev", "cur", "nxt", F.round("bias", 9).alias("bias"), F.round("hi", 9).alias("hi"),
+        F.round("tot", 9).alias("tot"))
+
+
+@register("q_first_step", f"WITH {_GRAPH_BASE},{_first_sql(FIRST_WALKS)}\n"
+          "SELECT CAST(walk AS INTEGER) AS walk, start, first FROM firsts")
+def q_first_step(spark, sf):
+    """First step of 10 walk rounds from every node, weight-proportional."""
+    return H.first_step(llr_adjacency(spark, sf), FIRST_WALKS, WALK_SEED)
+
+
+def _walks_sql(walks: int, length: int) -> str:
+    u = Q.uniform_sql(str(WALK_SEED), "w.walk", "w.start", "w.step + 1")
+    return f"""WITH RECURSIVE {_GRAPH_BASE},{_first_sql(walks)},
+wk AS (SELECT walk, start, 0 AS step, start AS prev, first AS cur, [start, first] AS path FROM firsts
+       UNION ALL
+       SELECT w.walk, w.start, w.step + 1, w.cur, t.nxt, list_append(w.path, t.nxt)
+       FROM wk w JOIN trc t ON t.prev = w.prev AND t.cur = w.cur
+       WHERE w.step < {length} AND {u} * t.tot > t.lo AND {u} * t.tot <= t.hi),
+fin AS (SELECT walk, start, path FROM wk QUALIFY step = max(step) OVER (PARTITION BY walk, start))"""
+
+
+def llr_walks(spark, sf, walks: int = NUM_WALKS, length: int = WALK_LENGTH) -> DataFrame:
+    return H.random_walks(llr_adjacency(spark, sf), walks, length, WALK_P, WALK_Q, WALK_SEED,
+                          checkpoint_every=10)
+
+
+@register("q_walks", _walks_sql(NUM_WALKS, WALK_LENGTH) + """
+SELECT CAST(walk AS INTEGER) AS walk, start, array_to_string(path, ' ') AS path FROM fin""")
+def q_walks(spark, sf):
+    """Second-order node2vec walks (p=5, q=1), all rounds at once."""
+    return llr_walks(spark, sf).select("walk", "start", F.array_join("path", " ").alias("path"))
+
+
+@register("q_walk_corpus", _walks_sql(NUM_WALKS, WALK_LENGTH) + """
+SELECT array_to_string(path, ' ') AS value, CAST(len(path) AS BIGINT) AS n_tokens FROM fin""")
+def q_walk_corpus(spark, sf):
+    """Walks written as space-joined lines and read back as token lists."""
+    lines = Z.format_walks(llr_walks(spark, sf))
+    corpus = X.parse_walks(lines)
+    return corpus.select(F.array_join("tokens", " ").alias("value"),
+                         F.size("tokens").cast("long").alias("n_tokens"))
+
+
+@register("q_w2v_vectors", None)
+def q_w2v_vectors(spark, sf):
+    """Skip-gram vectors of every walked node, labelled through
+    the node dictionary. Word2Vec is iterative SGD: rows-only check."""
+    corpus = H.walk_tokens(llr_walks(spark, sf))
+    model = M.fit_embeddings(corpus, dim=16, window=5, iters=1, partitions=1, seed=WALK_SEED)
+    vecs = M.vectors(model)
+    names = vecs.select(F.col("id"), F.concat(F.lit("c"), F.col("token")).alias("name"))
+    labelled = H.decode_vectors(vecs.select("id", "vec"), names)
+    return labelled.select(F.col("id").alias("node"), F.size("vec").cast("long").alias("dim"),
+                           F.round(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)), 6)
+                           .alias("norm"))
+
+
+@register("q_index_graph", f"""WITH {_GRAPH_BASE},
+lab AS (SELECT 'c' || src AS s, 'c' || dst AS d, weight FROM ded),
+names AS (SELECT name, CAST(row_number() OVER (ORDER BY name) - 1 AS BIGINT) AS id
+          FROM (SELECT s AS name FROM lab UNION SELECT d AS name FROM lab) n)
+SELECT l.s AS src_name, l.d AS dst_name, a.id AS src, b.id AS dst, l.weight
+FROM lab l JOIN names a ON a.name = l.s JOIN names b ON b.name = l.d""")
+def q_index_graph(spark, sf):
+    """Labelled edges ``(cA,cB,w)`` -> dense node ids; the
+    dictionary is written as ``name id`` lines and read back before encoding."""
+    edges = llr_graph_edges(spark, sf)
+    lines = edges.select(F.concat(F.lit("("), F.concat_ws(",", F.concat(F.lit("c"), F.col("src").cast("string")),
+                                                          F.concat(F.lit("c"), F.col("dst").cast("string")),
+                                                          F.col("weight").cast("string")), F.lit(")")).alias("value"))
+    labelled = X.parse_labelled_edges(lines)
+    idx = H.node_index(labelled)
+    dict_lines = idx.select(F.concat_ws(" ", "name", F.col("id").cast("string")).alias("value"))
+    enc, _ = H.index_graph(labelled, X.parse_node_index(dict_lines))
+    return enc

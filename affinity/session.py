@@ -32,6 +32,9 @@ def build_session(master: str | None = None, app: str = "affinity",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if master and master.startswith("local"):
+        # local mode: the driver JVM is the only executor; the 1g default thrashes the GC
+        conf["spark.driver.memory"] = os.environ.get("AFFINITY_DRIVER_MEMORY", "16g")
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
