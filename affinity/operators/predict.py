@@ -76,3 +76,30 @@ def naive_average(value: Column | str, n: int = 10) -> Column:
     """A13 aggregate: sum(v) / n with a constant n (not the group size)."""
     v = F.col(value) if isinstance(value, str) else value
     return F.sum(v) / F.lit(float(n))
+
+
+def predict_by_k(test: DataFrame, train: DataFrame, neighbors: DataFrame, ks: list[int],
+                 weight: str = "distance", digits: int | None = 6) -> DataFrame:
+    """A22 for neighbour lists: predictions for every neighbourhood size k from
+    one ranked list. Only rating neighbours are expanded per k (the k list is
+    a literal array); covered pairs without one predict 0.0."""
+    if weight not in WEIGHTS:
+        raise ValueError(f"weight must be one of {WEIGHTS}")
+    w = F.col("dist") if weight == "distance" else F.lit(1.0) - F.col("dist")
+    karr = F.array(*[F.lit(int(k)) for k in ks])
+    pairs = covered(test.select("user", "item", "rating"), train, neighbors)
+    nbrs = (neighbors.filter(F.col("rnk") <= max(ks))
+            .select(F.col("id").alias("user"), "nbr", w.alias("w"), "rnk"))
+    rated = _unique_train(train).select(F.col("user").alias("nbr"), "item", F.col("rating").alias("r"))
+    hits = pairs.join(nbrs, "user").join(rated, ["nbr", "item"])
+    per_k = (hits.withColumn("k", F.explode(karr)).filter(F.col("rnk") <= F.col("k"))
+             .groupBy("k", "user", "item", "rating")
+             .agg(F.sum(F.col("w") * F.col("r")).alias("num"), F.sum("w").alias("den")))
+    base = pairs.withColumn("k", F.explode(karr))
+    out = base.join(per_k, ["k", "user", "item", "rating"], "left")
+    pred = (F.when(F.col("num").isNull(), F.lit(0.0))
+            .when(F.col("den") == 0, F.lit(None).cast("double"))
+            .otherwise(F.col("num") / F.col("den")))
+    if digits is not None:
+        pred = F.round(pred, digits)
+    return out.select("k", "user", "item", "rating", pred.alias("predicted"))

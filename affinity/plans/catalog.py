@@ -710,3 +710,96 @@ def q_index_graph(spark, sf):
     dict_lines = idx.select(F.concat_ws(" ", "name", F.col("id").cast("string")).alias("value"))
     enc, _ = H.index_graph(labelled, X.parse_node_index(dict_lines))
     return enc
+
+
+# ====================================================================== chains and sweeps
+
+SWEEP_THRESHOLDS = (0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
+
+
+@register("q_predict_lsh", f"""WITH train AS ({Q.B_TRAIN}),
+test AS ({Q.B_TEST}),
+nb AS (SELECT * FROM ({Q.lsh_neighbors_sql(_lsh('cos'), Q.B_EMB, PRED_K)}) z),{Q.predict_ctes()}
+SELECT * FROM preds""")
+def q_predict_lsh(spark, sf):
+    """Prediction from 100 approximate (cosine LSH) neighbours."""
+    train, test = T.split_ratings(T.ratings(spark, sf))
+    nbrs = _lsh("cos").neighbors(T.embeddings(spark, sf), PRED_K)
+    return P.predict(test, train, nbrs)
+
+
+@register("q_sweep_threshold", f"""WITH {Q.llr_ctes(Q.B_INT)},
+ts AS (SELECT unnest({list(SWEEP_THRESHOLDS)}::DOUBLE[]) AS threshold)
+SELECT ts.threshold, count(s.a) AS n_pairs FROM ts LEFT JOIN scored s ON s.sim_default > ts.threshold
+GROUP BY ts.threshold""")
+def q_sweep_threshold(spark, sf):
+    """P6 (re-aimed): LLR similarity-threshold sweep as one job — edges kept
+    per threshold, scored once and joined to a literal parameter list."""
+    scored = L.score_cells(L.llr_cells(T.purchases(spark, sf)))
+    ts = F.explode(F.array(*[F.lit(float(t)) for t in SWEEP_THRESHOLDS]))
+    kept = (scored.select("sim_default", ts.alias("threshold"))
+            .filter(F.col("sim_default") > F.col("threshold"))
+            .groupBy("threshold").agg(F.count(F.lit(1)).alias("n_pairs")))
+    params = spark.createDataFrame([(float(t),) for t in SWEEP_THRESHOLDS], "threshold double")
+    return params.join(kept, "threshold", "left").select(
+        "threshold", F.coalesce("n_pairs", F.lit(0)).cast("long").alias("n_pairs"))
+
+
+_EMB_SWEEP = f"""{_GRAM_BASE},{Q.knn_ctes(Q.B_EMB, 'SELECT user FROM test', max(SWEEP_KS))},{Q.predict_ctes()},
+ks AS (SELECT unnest({list(SWEEP_KS)}) AS k),
+hits AS (SELECT c.user, c.item, c.rating, n.rnk, n.dist AS w, tr.r FROM preds_cov c
+         JOIN nb n ON n.id = c.user JOIN preds_tr tr ON tr.user = n.nbr AND tr.item = c.item),
+pk AS (SELECT ks.k, h.user, h.item, h.rating, sum(h.w * h.r) AS num, sum(h.w) AS den
+       FROM hits h JOIN ks ON h.rnk <= ks.k GROUP BY 1, 2, 3, 4),
+ep AS (SELECT ks.k, c.user, c.item, c.rating,
+              round(CASE WHEN pk.num IS NULL THEN 0.0 WHEN pk.den = 0 THEN NULL ELSE pk.num / pk.den END, 6)
+                AS predicted
+       FROM preds_cov c CROSS JOIN ks
+       LEFT JOIN pk ON pk.k = ks.k AND pk.user = c.user AND pk.item = c.item AND pk.rating = c.rating),
+emb AS (SELECT k, sqrt(avg(pow(rating - predicted, 2))) AS rmse FROM ep GROUP BY k),
+gp AS (SELECT ks.k, c.user, c.item, c.rating, sum(c.g * c.r) / sum(c.g) AS predicted
+       FROM cand c JOIN ks ON c.rnk <= ks.k GROUP BY 1, 2, 3, 4),
+grm AS (SELECT k, sqrt(avg(pow(rating - round(predicted, 6), 2))) AS rmse FROM gp GROUP BY k)"""
+
+
+def _rmse_by_k(preds: DataFrame) -> DataFrame:
+    return preds.groupBy("k").agg(F.sqrt(F.avg(F.pow(F.col("rating") - F.col("predicted"), 2))).alias("rmse"))
+
+
+def embedding_rmse_by_k(spark, sf) -> DataFrame:
+    train, test = T.split_ratings(T.ratings(spark, sf))
+    nbrs = K.exact_neighbors(T.embeddings(spark, sf), test.select(F.col("user").alias("id")), k=max(SWEEP_KS))
+    return _rmse_by_k(P.predict_by_k(test, train, nbrs, list(SWEEP_KS)))
+
+
+@register("q_compare", f"""WITH {_EMB_SWEEP}
+SELECT g.k, round(g.rmse, 9) AS gram_rmse, round(e.rmse, 9) AS emb_rmse FROM grm g JOIN emb e ON e.k = g.k""")
+def q_compare(spark, sf):
+    """Gram baseline vs embedding neighbours, RMSE per neighbourhood size."""
+    train, test, gram = _gram_inputs(spark, sf)
+    g = _rmse_by_k(G.gram_predict_by_k(test, train, gram, list(SWEEP_KS)))
+    e = embedding_rmse_by_k(spark, sf)
+    return g.join(e.withColumnRenamed("rmse", "emb_rmse"), "k").select(
+        "k", F.round("rmse", 9).alias("gram_rmse"), F.round("emb_rmse", 9).alias("emb_rmse"))
+
+
+@register("q_experiments", f"""WITH {_EMB_SWEEP}
+SELECT 'knn-' || k AS experimentid, k AS pred_neighbors, round(rmse, 9) AS eval_score FROM emb
+WHERE k > 100 AND k < 1100""")
+def q_experiments(spark, sf):
+    """Experiment results (here: the embedding sweep, derived in
+    session) filtered to 100 < neighbours < 1100, ordered by neighbours."""
+    e = embedding_rmse_by_k(spark, sf)
+    return (e.select(F.concat(F.lit("knn-"), F.col("k").cast("string")).alias("experimentid"),
+                     F.col("k").alias("pred_neighbors"), F.round("rmse", 9).alias("eval_score"))
+            .filter((F.col("pred_neighbors") > 100) & (F.col("pred_neighbors") < 1100))
+            .orderBy("pred_neighbors"))
+
+
+@register("q_end_to_end", None)
+def q_end_to_end(spark, sf):
+    """P5: positive ratings -> LLR user graph -> walks -> skip-gram vectors ->
+    exact neighbours -> predictions -> RMSE / MAP / recall. Word2Vec is
+    iterative SGD, so this chain gets the rows-only check."""
+    from .recommend import recommend_and_evaluate
+    return recommend_and_evaluate(T.ratings(spark, sf))
