@@ -13,9 +13,9 @@ def _c(x) -> Column:
 
 
 def xlogx(x) -> Column:
-    """0 when x = 0, else x * ln(x)."""
-    x = _c(x)
-    return F.when(x == 0, F.lit(0.0)).otherwise(x * F.ln(x))
+    """0 when x = 0, else x * ln(x) (Spark's ln(0) is NULL, hence the coalesce)."""
+    x = _c(x).cast("double")
+    return F.coalesce(x * F.ln(x), F.lit(0.0))
 
 
 def entropy(*xs) -> Column:

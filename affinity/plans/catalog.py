@@ -573,8 +573,11 @@ NUM_WALKS, WALK_LENGTH = 3, 20
 def llr_graph_edges(spark, sf) -> DataFrame:
     """S3/U4: the user-user LLR similarities written as ``(a,b,w)`` text,
     parsed back as an undirected weighted edge list, de-duplicated."""
+    from ..session import scratch_path
     sims = L.llr_similarity(T.purchases(spark, sf), variant="default", threshold=0.6)
-    edges = X.parse_triplets(Z.format_triplets(sims))
+    path = scratch_path(spark, "llr-triplets")
+    Z.write_text(Z.format_triplets(sims), path)  # K1 sink: the stage hand-off file
+    edges = X.parse_triplets(X.read_lines(spark, path))
     return H.expand_edges(edges).groupBy("src", "dst").agg(F.max("weight").alias("weight"))
 
 
@@ -628,12 +631,8 @@ def q_adjacency(spark, sf):
 SELECT prev, cur, nxt, round(bias, 9) AS bias, round(hi, 9) AS hi, round(tot, 9) AS tot FROM trc""")
 def q_transitions(spark, sf):
     """p/q-biased transition weights with running sums per edge."""
-    adj = llr_adjacency(spark, sf)
-    rows = H.transition_rows(adj, WALK_P, WALK_Q).select("prev", "cur", "nxt", "bias")
-    trans = H.transitions(adj, WALK_P, WALK_Q).select(
-        "prev", "cur", "tot", F.explode("cum").alias("e")).select(
-        "prev", "cur", F.col("e.nxt").alias("nxt"), F.col("e.hi").alias("hi"), "tot")
-    return rows.join(trans, ["prev", "cur", "nxt"]).select(
+    rows = H.transition_table(llr_adjacency(spark, sf), WALK_P, WALK_Q)
+    return rows.select(
         "prev", "cur", "nxt", F.round("bias", 9).alias("bias"), F.round("hi", 9).alias("hi"),
         F.round("tot", 9).alias("tot"))
 
