@@ -85,7 +85,7 @@ def weighted_interactions(interactions: DataFrame) -> DataFrame:
     return interactions.groupBy("user", "item").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def cooccurrence(weighted: DataFrame, with_totals: bool = False) -> DataFrame:
+def cooccurrence(weighted: DataFrame, with_totals: bool = False, half: bool = False) -> DataFrame:
     """k11(a, b) = sum over shared items of cnt_a * cnt_b (both
     directions and self pairs). With ``with_totals`` the per-user totals nA, nB
     ride along through the join so no later join on the pair table is needed."""
@@ -95,15 +95,19 @@ def cooccurrence(weighted: DataFrame, with_totals: bool = False) -> DataFrame:
 
     left, right = side("a"), side("b")
     keys = ["a", "b"] + (["n_a", "n_b"] if with_totals else [])
+    if half:  # one orientation per unordered pair (a <= b); the caller mirrors
+        return (left.join(right, (left["item"] == right["item"]) & (left["a"] <= right["b"]))
+                .groupBy(*keys)
+                .agg(F.sum(F.col("cnt_a") * F.col("cnt_b")).alias("k11")))
     return (left.join(right, "item")
             .groupBy(*keys)
             .agg(F.sum(F.col("cnt_a") * F.col("cnt_b")).alias("k11")))
 
 
-def llr_cells(interactions: DataFrame, max_interactions: int | None = 500,
-              cap_mode: str = "cap", seed: int = 12345, dedupe: bool = False,
-              include_self: bool = True) -> DataFrame:
-    """(a, b, k11, k12, k21, k22) over oriented interactions."""
+def llr_half_cells(interactions: DataFrame, max_interactions: int | None = 500,
+                   cap_mode: str = "cap", seed: int = 12345, dedupe: bool = False,
+                   include_self: bool = True) -> DataFrame:
+    """(a, b, k11, k12, k21, k22) for each unordered pair once (a <= b)."""
     ints = interactions.select("user", "item")
     if dedupe:
         ints = ints.distinct()
@@ -115,11 +119,30 @@ def llr_cells(interactions: DataFrame, max_interactions: int | None = 500,
     # once (reliable checkpoint) instead of re-running scan/cap/fold per branch.
     folded = cut_lineage(weighted.join(totals, "user"))
     n_items = folded.select(F.count_distinct("item")).scalar()
-    pairs = cooccurrence(folded, with_totals=True)
+    pairs = cooccurrence(folded, with_totals=True, half=True)
     if not include_self:
         pairs = pairs.filter(F.col("a") != F.col("b"))
     k12, k21, k22 = S.contingency("k11", "n_a", "n_b", n_items)
-    return pairs.select("a", "b", "k11", k12.alias("k12"), k21.alias("k21"), k22.alias("k22"))
+    cells = pairs.select("a", "b", "k11", k12.alias("k12"), k21.alias("k21"), k22.alias("k22"))
+    return cells
+
+
+def mirror(cells: DataFrame, *value_cols: str) -> DataFrame:
+    """Both orientations of half-pair rows (a <= b): (b, a) swaps k12 and k21;
+    the scores are symmetric in that swap and are copied."""
+    fwd = F.struct(F.col("a").alias("x"), F.col("b").alias("y"), F.col("k12").alias("p"), F.col("k21").alias("r"))
+    rev = F.struct(F.col("b").alias("x"), F.col("a").alias("y"), F.col("k21").alias("p"), F.col("k12").alias("r"))
+    both = F.when(F.col("a") == F.col("b"), F.array(fwd)).otherwise(F.array(fwd, rev))
+    out = cells.select(F.explode(both).alias("_o"), "k11", "k22", *value_cols)
+    return out.select(F.col("_o.x").alias("a"), F.col("_o.y").alias("b"), "k11",
+                      F.col("_o.p").alias("k12"), F.col("_o.r").alias("k21"), "k22", *value_cols)
+
+
+def llr_cells(interactions: DataFrame, max_interactions: int | None = 500,
+              cap_mode: str = "cap", seed: int = 12345, dedupe: bool = False,
+              include_self: bool = True) -> DataFrame:
+    """(a, b, k11, k12, k21, k22) in both directions, self pairs included."""
+    return mirror(llr_half_cells(interactions, max_interactions, cap_mode, seed, dedupe, include_self))
 
 
 def score_cells(cells: DataFrame) -> DataFrame:
@@ -166,8 +189,8 @@ def llr_similarity(interactions: DataFrame, variant: str = "default", mode: str
     decimals so (a, b) and (b, a) agree exactly."""
     if variant not in VARIANTS:
         raise ValueError(f"variant must be one of {VARIANTS}, got {variant!r}")
-    cells = llr_cells(orient(interactions, mode, user, item), max_interactions, cap_mode,
-                      seed, dedupe, include_self)
+    cells = llr_half_cells(orient(interactions, mode, user, item), max_interactions, cap_mode,
+                           seed, dedupe, include_self)
     if variant == "default":
         # filter the raw cells (small predicate) before scoring the survivors
         cells = cells.filter(S.llr_exceeds("k11", "k12", "k21", "k22", threshold))
@@ -175,4 +198,5 @@ def llr_similarity(interactions: DataFrame, variant: str = "default", mode: str
     sim = F.col(f"sim_{variant}")
     if digits is not None:
         sim = F.round(sim, digits)
-    return scored.select("a", "b", sim.alias("similarity"))
+    half = scored.select("a", "b", "k11", "k12", "k21", "k22", sim.alias("similarity"))
+    return mirror(half, "similarity").select("a", "b", "similarity")
