@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship_code
+
 ORDERS = ("nearest", "reference")
 DENSE_MEASURES = ("cosine", "euclidean", "manhattan")
 SET_MEASURES = ("hamming", "jaccard")
@@ -139,6 +141,7 @@ def block_candidates(qry: DataFrame, pts: DataFrame, k: int, measure: str = "cos
                      digits: int | None = 6) -> DataFrame:
     """Per-tile top-k candidates (id, nbr, dist) of every query row among the
     point rows; the global top-k of a query is contained in their union."""
+    ship_code()
     n_q, n_p = qry.count(), pts.count()
     qb, pb = _blocks(n_q, block_rows), _blocks(n_p, block_rows)
     # fresh attribute ids on both sides: queries are often a subset of the points

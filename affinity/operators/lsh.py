@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_code
+
 from ..functions.vectors import dot
 from .knn import DENSE_MEASURES, distance_tile, rank_neighbors, set_distance_tile
 
@@ -191,6 +193,7 @@ class LSH:
     # ------------------------------------------------------------ search
     def _tiles(self, qent: DataFrame, pent: DataFrame, k: int,
                exclude_self: bool, digits: int | None) -> DataFrame:
+        ship_code()
         bucket = ["tbl", "band", "key"]
         block = self.block_rows
         cols = ["id", "vec"] + bucket

@@ -93,3 +93,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     import uuid
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/affinity-{uuid.uuid4().hex}/{name}"
+
+
+def ship_code() -> None:
+    """Let Python workers run this package's functions without installing it:
+    functions from ``affinity`` are pickled by value (PySpark's cloudpickle),
+    so a worker never needs to import the package from its own path."""
+    import sys
+
+    from pyspark import cloudpickle
+    pkg = sys.modules[__name__.rsplit(".", 1)[0]]
+    try:
+        cloudpickle.register_pickle_by_value(pkg)
+    except ValueError:
+        pass  # already registered
