@@ -29,6 +29,8 @@ def build_session(master: str | None = None, app: str = "affinity",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # remove checkpoint files once the checkpointed data is no longer referenced
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         # let the JIT compile generated methods above 8 KB (wide fused stages)
         "spark.driver.extraJavaOptions": "-XX:-DontCompileHugeMethods",
         "spark.executor.extraJavaOptions": "-XX:-DontCompileHugeMethods",
