@@ -31,14 +31,6 @@ def bias_weight(weight, nxt, prev, prev_has_nxt, p: float, q: float) -> Column:
             .otherwise(w / F.lit(float(q))))
 
 
-def cumulative(entries: Column, weight_field: str = "w") -> Column:
-    """Sorted ARRAY<STRUCT<nxt, w>> -> ARRAY<STRUCT<nxt, hi>> with running sums
-    (hi_i = ((0 + w_0) + w_1) + ... + w_i, left to right)."""
-    return F.transform(entries, lambda e, i: F.struct(
-        e["nxt"].alias("nxt"),
-        F.aggregate(F.slice(entries, 1, i + 1), F.lit(0.0), lambda acc, x: acc + x[weight_field]).alias("hi")))
-
-
 def weighted_pick(cum: Column, total: Column, u: Column) -> Column:
     """Inverse-CDF pick: the first entry whose running sum reaches u * total."""
     target = u * total
