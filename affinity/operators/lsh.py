@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_code
+from ..session import cut_lineage, ship_code
 
 from ..functions.vectors import dot
 from .knn import DENSE_MEASURES, distance_tile, rank_neighbors, set_distance_tile
@@ -231,14 +231,15 @@ class LSH:
     def neighbors(self, points: DataFrame, k: int, digits: int | None = 6) -> DataFrame:
         """(id, nbr, dist, rnk), the k nearest colliding points of every point."""
         pts = self._vectors(points)
-        ent = self.entries(pts)
+        # entries (points x hash units) feed the bucket sizes and both tile sides
+        ent = cut_lineage(self.entries(pts))
         cand = self._tiles(ent, ent, k, exclude_self=True, digits=digits)
         return rank_neighbors(cand, k, "nearest")
 
     def query(self, points: DataFrame, queries: DataFrame, k: int, digits: int | None = 6) -> DataFrame:
         """Nearest model points for new query points (same id may match itself)."""
         pts, qry = self._vectors(points), self._vectors(queries)
-        cand = self._tiles(self.entries(qry), self.entries(pts), k,
+        cand = self._tiles(cut_lineage(self.entries(qry)), cut_lineage(self.entries(pts)), k,
                            exclude_self=False, digits=digits)
         return rank_neighbors(cand, k, "nearest")
 
