@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship_code
+from ..session import cut_lineage, ship_code
 
 ORDERS = ("nearest", "reference")
 DENSE_MEASURES = ("cosine", "euclidean", "manhattan")
@@ -127,8 +127,8 @@ def exact_neighbors(points: DataFrame, queries: DataFrame | None = None, k: int
         raise ValueError(f"unknown measure {measure!r}")
     vtype = "array<int>" if measure in SET_MEASURES else "array<double>"
     pts = points.select(F.col("id").cast("long").alias("id"), F.col("vec").cast(vtype).alias("vec"))
-    qry = pts if queries is None else pts.join(
-        queries.select(F.col("id").cast("long").alias("id")).distinct(), "id", "left_semi")
+    qry = pts if queries is None else cut_lineage(pts.join(
+        queries.select(F.col("id").cast("long").alias("id")).distinct(), "id", "left_semi"))
     cand = block_candidates(qry, pts, k, measure, order, block_rows, digits)
     if both_directions and queries is not None:
         others = pts.join(qry.select("id"), "id", "left_anti")
