@@ -263,6 +263,17 @@ class KeyFilter:
         return F.pandas_udf(look, "boolean")(key)
 
 
+def without_ids(df: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose id isn't among those of ``gone`` (one column); rows
+    with a null id stay. Only rows that a key filter can't tell apart from the
+    ones that go are shuffled."""
+    gone = gone.toDF("__gone").filter("__gone IS NOT NULL")
+    maybe = KeyFilter(gone.select(F.xxhash64("__gone").alias("k"))).passes(F.xxhash64(F.col(f"`{id_col}`")))
+    marked = df.withColumn("__maybe", maybe)
+    near = marked.filter("__maybe").join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+    return marked.filter("NOT __maybe").unionByName(near).drop("__maybe")
+
+
 # --- components --------------------------------------------------------------
 
 def components(links: DataFrame) -> DataFrame:

@@ -40,14 +40,12 @@ def window_minima(grams: np.ndarray, width: int) -> np.ndarray:
     n = len(grams)
     if n < width:
         return np.zeros(0, np.int64)
-    # position in the low bits breaks ties; the hashes keep their upper 40 bits
-    key = (grams & np.uint64(0xFFFFFFFFFF000000))
     best = np.arange(n)
     reach = 1
     while reach < width:  # doubling: best of [i, i + reach)
         step = min(reach, width - reach)
         a, b = best[:len(best) - step], best[step:]
-        best = np.where(key[b] <= key[a], b, a)
+        best = np.where(grams[b] <= grams[a], b, a)
         reach += step
     keep = np.zeros(n, bool)
     keep[best] = True
@@ -88,11 +86,13 @@ class ItemBlock:
         """(which words are hit, (row, item) of the windows found) for the
         words of some documents."""
         n = len(words)
+        if not n:
+            return np.zeros(0, bool), []
         change = np.zeros(n + 1, np.int64)
         found: set[tuple[int, int]] = set()
         span, gram = self.span, self.gram
-        ends = np.searchsorted(row, row, side="right") if n else row
-        begins = np.searchsorted(row, row, side="left") if n else row
+        ends = np.searchsorted(row, row, side="right")
+        begins = np.searchsorted(row, row, side="left")
         if len(self.prints) and n >= span:
             grams = ngram_hashes(words, gram)
             # minima of runs across documents' borders only add fingerprints
@@ -171,20 +171,26 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     ranges that are hit), item_ids (sorted, distinct), and the columns ``keep``.
     """
     spark = docs.sparkSession
-    names = [id_col, *keep]
+    names = [c for c in dict.fromkeys((id_col, *keep)) if c != text_col]
     src = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)),
-                      F.col(text_col).cast("string").alias("text"),
+                      F.col(f"`{text_col}`").cast("string").alias("text"),
                       F.lit(None).cast("long").alias("n_words"),
                       F.array().cast("array<struct<start:long,end:long>>").alias("hits"),
                       F.array().cast("array<string>").alias("item_ids"))
-    schema = src.schema
-    for block in item_blocks(items, item_id_col, item_text_col, span, gram, block_words):
-        src = src.mapInArrow(_meet(spark.sparkContext.broadcast(block)), schema)
-    return src.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), "n_words", "hits",
+    # only what comes after needs the text back
+    lean = src.drop("text").schema
+    blocks = item_blocks(items, item_id_col, item_text_col, span, gram, block_words)
+    for i, block in enumerate(blocks):
+        done = i == len(blocks) - 1 and text_col not in keep
+        src = src.mapInArrow(_meet(spark.sparkContext.broadcast(block), done), lean if done else src.schema)
+    own = {c: F.col(f"c{i}").alias(c) for i, c in enumerate(names)}
+    if text_col in keep:
+        own[text_col] = F.col("text").alias(text_col)
+    return src.select(*(own[c] for c in dict.fromkeys((id_col, *keep))), "n_words", "hits",
                       F.array_sort(F.array_distinct("item_ids")).alias("item_ids"))
 
 
-def _meet(shared):
+def _meet(shared, done):
     def run(it):
         block, hasher = shared.value, WordHasher(NOT_ALNUM)
         for batch in it:
@@ -213,6 +219,8 @@ def _meet(shared):
                 columns["hits"] = pa.array([[{"start": a, "end": b} for a, b in x] for x in hits],
                                            fields.field("hits").type)
                 columns["item_ids"] = pa.array(ids, fields.field("item_ids").type)
+                if done:
+                    fields = fields.remove(fields.get_field_index("text"))
                 yield pa.RecordBatch.from_arrays([columns[c] for c in fields.names], schema=fields)
     return run
 

@@ -156,10 +156,10 @@ def scan_licences(files: DataFrame, path_col: str = "path", text_col: str = "tex
 
 def document_paths(docs: DataFrame) -> DataFrame:
     """Documents as files of a tree: source, language, groups of neighbouring ids.
-    A document that begins with a line on its licence stands for its directory's
-    licence file."""
-    first = F.substring_index("text", "\n", 1)
-    name = F.when(first.rlike("(?i)licen[cs]e"), F.concat(F.lit("LICENSE-"), F.col("doc_id"))).otherwise(
+    A document that begins or ends with a line on its licence stands for its
+    directory's licence file."""
+    ends = F.concat(F.substring_index("text", "\n", 1), F.lit(" "), F.substring_index("text", "\n", -1))
+    name = F.when(ends.rlike("(?i)licen[cs]e"), F.concat(F.lit("LICENSE-"), F.col("doc_id"))).otherwise(
         F.concat(F.col("doc_id"), F.lit(".txt")))
     path = F.concat(F.lit("/"), F.coalesce("source", F.lit("unknown")), F.lit("/"), F.coalesce("lang", F.lit("unknown")),
                     F.lit("/"), F.floor(F.col("doc_id") / 64), F.lit("/"), name)
@@ -169,19 +169,18 @@ def document_paths(docs: DataFrame) -> DataFrame:
 def oracle() -> str:
     """The query over ``documents`` in DuckDB SQL."""
     rows = ", ".join(f"('{n}', '{w}')" for n, ws in template_words(TEMPLATES).items() for w in ws)
-    rx = WORD.replace("\\", "\\")
     up = "regexp_extract(path, '^(.*)/[^/]*$', 1)"
     return f"""
 WITH tpl(licence, word) AS (VALUES {rows}),
 vocab AS (SELECT list(DISTINCT word) AS v FROM tpl),
 files AS (SELECT doc_id, '/' || coalesce(source, 'unknown') || '/' || coalesce(lang, 'unknown') || '/'
     || CAST(floor(doc_id / 64) AS BIGINT) || '/'
-    || CASE WHEN regexp_matches(split_part(text, chr(10), 1), '(?i)licen[cs]e') THEN 'LICENSE-' || doc_id
+    || CASE WHEN regexp_matches(split_part(text, chr(10), 1) || ' ' || split_part(text, chr(10), -1), '(?i)licen[cs]e') THEN 'LICENSE-' || doc_id
             ELSE doc_id || '.txt' END AS path, coalesce(text, '') AS text FROM documents),
 cutup AS (SELECT doc_id, path, text, string_split(text, chr(10)) AS ls FROM files),
 u AS (SELECT doc_id, path, 0 AS unit, text AS line FROM cutup WHERE len(ls) > 1
       UNION ALL SELECT doc_id, path, unnest(range(1, len(ls) + 1)), unnest(ls) FROM cutup),
-w AS (SELECT doc_id, path, unit, list_distinct(regexp_extract_all(lower(line), '{rx}')) AS words FROM u),
+w AS (SELECT doc_id, path, unit, list_distinct(regexp_extract_all(lower(line), '{WORD}')) AS words FROM u),
 units AS (SELECT w.*, list_intersect(words, v) AS hits FROM w, vocab WHERE len(words) > 0),
 total AS (SELECT count(*) AS n FROM units WHERE unit > 0),
 df AS (SELECT word, count(*) AS n FROM (SELECT unnest(hits) AS word FROM units WHERE unit > 0) GROUP BY word),
@@ -202,13 +201,13 @@ best AS (SELECT doc_id, path, min(row(-cosine, unit, licence)) AS top,
                 min(CASE WHEN unit = 0 THEN row(-cosine, licence) END) AS whole FROM good GROUP BY doc_id, path),
 own AS (SELECT doc_id, path, top[3] AS own_licence, -top[1] AS cosine, whole[2] AS whole_licence, -whole[1] AS whole_cosine,
                regexp_matches(path, '(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$') AS named FROM best),
-given AS (SELECT {up} AS at, min(row(-CASE WHEN named THEN cosine ELSE whole_cosine END, path,
+given AS (SELECT {up} AS place, min(row(-CASE WHEN named THEN cosine ELSE whole_cosine END, path,
                  CASE WHEN named THEN own_licence ELSE whole_licence END)) AS top
           FROM own WHERE named OR whole_licence IS NOT NULL GROUP BY 1),
 dirs AS (SELECT DISTINCT {up} AS dir FROM files),
-anc AS (SELECT dir, array_to_string(string_split(dir, '/')[1:k], '/') AS at
+anc AS (SELECT dir, array_to_string(string_split(dir, '/')[1:k], '/') AS place
         FROM (SELECT dir, unnest(range(1, len(string_split(dir, '/')) + 1)) AS k FROM dirs)),
-near AS (SELECT dir, max(row(length(anc.at), top[3])) AS near FROM anc JOIN given USING (at) GROUP BY dir)
+near AS (SELECT dir, max(row(length(anc.place), top[3])) AS near FROM anc JOIN given USING (place) GROUP BY dir)
 SELECT f.doc_id, f.path, own_licence, cosine, coalesce(own_licence, near[2]) AS licence,
        CASE WHEN own_licence IS NOT NULL THEN 'own' WHEN near IS NOT NULL THEN 'directory' END AS origin
 FROM files f LEFT JOIN own USING (doc_id, path) LEFT JOIN near ON near.dir = {up.replace('path', 'f.path')}"""

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .common import (KeyFilter, LocalCounts, WordHasher, buffers, components, cut, frequent, row_ranges,
-                     shingle_sets)
+                     shingle_sets, without_ids)
 
 #: Rounds in which rows meet only the first row of each column.
 PIVOT_ROUNDS = 2
@@ -239,6 +239,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return full.unionByName(bare).select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), "component_id")
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5,
+                num: int = 4, den: int = 5) -> DataFrame:
+    """The documents without those of which a linked one with a smaller id stays.
+    Of rows with equal ids, which count as one document, the one with the smallest
+    text (nulls last) stays; rows without an id stay."""
+    found = jaccard_components(docs, id_col, text_col, n, num, den).select(
+        F.col(id_col).alias("id"), "component_id").filter("id IS NOT NULL")
+    per_id = cut(found.groupBy("id").agg(F.min("component_id").alias("c"), F.count("*").alias("n")))
+    again = per_id.filter("n > 1 AND id = c").select("id")
+    kept = without_ids(docs, id_col, per_id.filter("n > 1 OR id <> c").select("id"))
+    if again.isEmpty():
+        return kept
+    order = Window.partitionBy(id_col).orderBy(F.asc_nulls_last(text_col))
+    first = (docs.join(again.toDF("__id"), F.col(id_col) == F.col("__id"), "left_semi")
+             .withColumn("__turn", F.row_number().over(order)).filter("__turn = 1").drop("__turn"))
+    return kept.unionByName(first)
+
+
 def _arrow(spark_type):
     from pyspark.sql.pandas.types import to_arrow_type
     return to_arrow_type(spark_type)

@@ -11,7 +11,7 @@ import os
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, html_extract, license_scan, line_dedup, ngram_join, toxicity
+from . import decontaminate, fingerprints, html_extract, license_scan, line_dedup, ngram_join, suffix_dedup, toxicity
 from .bpe import encode_decode
 from .common import read_table
 from .token_counts import count_tokens
@@ -20,6 +20,11 @@ from .token_counts import count_tokens
 VOCABULARY = os.environ.get("AFFINITY_VOCABULARY") or public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_suffix_array_dedup(spark, sf):
+    """Bytes of every document that earlier documents have in 50-byte strings."""
+    return suffix_dedup.dedup_substrings(read_table(spark, sf, "documents"), digests=True)
+
+
 def op2_license_scans(spark, sf):
     """doc_id, path, own_licence, cosine, licence, origin of every document."""
     return license_scan.scan_licences(license_scan.document_paths(read_table(spark, sf, "documents")), keep=("doc_id",))
@@ -71,13 +76,13 @@ def op10_toxicity(spark, sf):
     """Toxicity score of every document."""
     docs = read_table(spark, sf, "documents")
     model = toxicity.train(docs, read_table(spark, sf, "labels"))
-    scored = toxicity.score_texts(docs, model, id_col="doc_id")
+    scored = docs.select("doc_id", toxicity.score_of(F.col("text"), model, spark).alias("score"))
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
                          (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_license_scans, op3_document_fingerprints, op4_ngram_jaccard_join, op5_benchmark_decontamination,
+    op1_suffix_array_dedup, op2_license_scans, op3_document_fingerprints, op4_ngram_jaccard_join, op5_benchmark_decontamination,
     op6_token_counts, op7_line_dedup, op8_html_extraction, op9_bpe_encoding_decoding, op10_toxicity)}
 
 ORACLES = {"op2_license_scans": license_scan.oracle()}

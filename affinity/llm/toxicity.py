@@ -377,30 +377,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return model
 
 
-def score_texts(docs: DataFrame, model: Model, id_col: str | None = None, text_col: str = "text",
-                score_col: str = "score", threshold: float | None = None) -> DataFrame:
-    """The rows of ``docs`` (or only their ids, with ``id_col``) and their score;
-    with ``threshold`` only rows below it, without the score."""
-    names = [id_col] if id_col else docs.columns
-    src = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)),
-                      F.col(f"`{text_col}`").cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    head = [f for f in src.schema.fields if f.name != "text"]
-
-    def run(it):
-        own = shared.value
-        for part in _parts(it):
-            score = own.score(own.describe(part.column("text")))
-            columns = [part.column(f"c{i}") for i in range(len(names))]
-            if threshold is None:
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(score)],
-                                                 names=[f"c{i}" for i in range(len(names))] + ["__score"])
-            else:
-                kept = pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(names))])
-                yield kept.filter(pa.array(score < threshold))
-
-    from pyspark.sql.types import DoubleType, StructField, StructType
-    schema = StructType(head + ([StructField("__score", DoubleType())] if threshold is None else []))
-    out = src.mapInArrow(run, schema)
-    cols = [F.col(f"c{i}").alias(c) for i, c in enumerate(names)]
-    return out.select(*cols, *([F.col("__score").alias(score_col)] if threshold is None else []))
+def score_of(text: Column, model: Model, spark) -> Column:
+    """The score of each text, by an Arrow function over the text alone."""
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(texts: pa.Array) -> pa.Array:
+        own, out = shared.value, []
+        at, _ = buffers(texts)
+        for lo, hi in row_ranges(at, BATCH_BYTES):
+            out.append(own.score(own.describe(texts.slice(lo, hi - lo))))
+        return pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
+
+    return F.arrow_udf(run, "double")(text.cast("string"))
