@@ -164,32 +164,44 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, span: int, gram: i
     return out
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  item_id_col: str = "item_id", item_text_col: str = "text", span: int = SPAN,
-                  gram: int = GRAM, block_words: int = BLOCK_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per document: id, n_words, hits (array of struct(start, end): word
-    ranges that are hit), item_ids (sorted, distinct), and the columns ``keep``.
-    """
-    spark = docs.sparkSession
-    names = [c for c in dict.fromkeys((id_col, *keep)) if c != text_col]
-    src = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)),
+def _met(docs: DataFrame, items: DataFrame, columns: list[str], text_col: str, item_id_col: str,
+         item_text_col: str, span: int, gram: int, block_words: int, with_text: bool) -> DataFrame:
+    """Columns by position (c0, c1, …), text if asked for, n_words, hits, item_ids."""
+    src = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)),
                       F.col(f"`{text_col}`").cast("string").alias("text"),
                       F.lit(None).cast("long").alias("n_words"),
                       F.array().cast("array<struct<start:long,end:long>>").alias("hits"),
                       F.array().cast("array<string>").alias("item_ids"))
-    # only what comes after needs the text back
     lean = src.drop("text").schema
     blocks = item_blocks(items, item_id_col, item_text_col, span, gram, block_words)
     for i, block in enumerate(blocks):
-        done = i == len(blocks) - 1 and text_col not in keep
-        src = src.mapInArrow(_meet(spark.sparkContext.broadcast(block), done), lean if done else src.schema)
-    own = {c: F.col(f"c{i}").alias(c) for i, c in enumerate(names)}
-    if text_col in keep:
-        own[text_col] = F.col("text").alias(text_col)
-    return src.select(*(own[c] for c in dict.fromkeys((id_col, *keep))), "n_words", "hits",
+        done = i == len(blocks) - 1 and not with_text
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+        src = src.mapInArrow(_meet(shared, done), lean if done else src.schema)
+    return src
+
+
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                  item_id_col: str = "item_id", item_text_col: str = "text", span: int = SPAN,
+                  gram: int = GRAM, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Per document: id, n_words, hits (array of struct(start, end): word
+    ranges that are hit), item_ids (sorted, distinct)."""
+    met = _met(docs, items, [id_col], text_col, item_id_col, item_text_col, span, gram, block_words, False)
+    return met.select(F.col("c0").alias(id_col), "n_words", "hits",
                       F.array_sort(F.array_distinct("item_ids")).alias("item_ids"))
 
 
+def decontaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id",
+                   item_text_col: str = "text", span: int = SPAN, gram: int = GRAM,
+                   block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The documents that aren't contaminated, with their own columns."""
+    rest = [c for c in docs.columns if c != text_col]
+    met = _met(docs, items, rest, text_col, item_id_col, item_text_col, span, gram, block_words, True)
+    own = {c: F.col(f"c{i}").alias(c) for i, c in enumerate(rest)} | {text_col: F.col("text").alias(text_col)}
+    return (met.filter(~is_contaminated(F.col("hits"), F.col("n_words")))
+            .select(*(own[c] for c in docs.columns)))
+
+
 def _meet(shared, done):
     def run(it):
         block, hasher = shared.value, WordHasher(NOT_ALNUM)

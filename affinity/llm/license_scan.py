@@ -12,8 +12,8 @@ Only units that can reach the threshold are multiplied out: a cosine is at most
 the norm of the unit's template words over its whole norm, which is computed in
 the projection over the lines, before any row is multiplied.
 
-A licence file (by its name, or because the file as a whole matches) gives its
-directory a licence: of several the highest cosine counts, then the smallest path.
+A licence file (by its name, or because a file of several lines matches as a whole)
+gives its directory a licence: of several the highest cosine counts, then the smallest path.
 Directories take the licence of their nearest ancestor that has one, themselves
 included, by a join of directory paths; files without a licence of their own take
 their directory's. Each directory is looked up once, so a directory with a third
