@@ -41,9 +41,7 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a twentieth of their words or more inside 13-word windows of benchmark items go."""
-    found = decontaminate.contamination(docs, read_table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
-    bad = decontaminate.is_contaminated(F.col("hits"), F.col("n_words"))
-    return found.filter(~F.coalesce(bad, F.lit(False))).select(*docs.columns)
+    return decontaminate.decontaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
