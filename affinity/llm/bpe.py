@@ -38,9 +38,9 @@ SHORT_WORD = 64
 #: Words of one length that are scanned at a time.
 SCAN_ROWS = 1 << 14
 #: Distinct pieces whose ids are kept between batches; beyond that a task starts anew.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 200_000
 #: Bytes of text encoded at a time.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 NO_MERGE = np.int64(1) << 40
 
 # Fixed value: the split pattern of the byte-level pre-tokenizer, with the

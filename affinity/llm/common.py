@@ -178,6 +178,27 @@ def shingle_sets(words: np.ndarray, row: np.ndarray, rows: int, n: int) -> list[
     return out
 
 
+def row_order(row: np.ndarray, h: np.ndarray, first: np.ndarray | None = None) -> np.ndarray:
+    """The order by (row, first, h); ``first`` are counts, compared on a log scale.
+    One sort of packed keys; only if two hashes agree in all packed bits, by the
+    whole hashes."""
+    if not len(row):
+        return np.zeros(0, np.int64)
+    bits = 64 - int(row.max()).bit_length()
+    key = h >> np.uint64(64 - bits) if bits < 64 else h.copy()
+    scale = None
+    if first is not None:
+        scale = np.minimum(np.log2(1 + first) * 16, 1023).astype(np.uint64)
+        key = (scale << np.uint64(bits - 10)) | (key >> np.uint64(10))
+    if bits < 64:
+        key |= row.astype(np.uint64) << np.uint64(bits)
+    order = np.argsort(key)
+    k, own = key[order], h[order]
+    if ((k[1:] == k[:-1]) & (own[1:] != own[:-1])).any():
+        return np.lexsort((h, row) if scale is None else (h, scale, row))
+    return order
+
+
 # --- counts and filters of proven size ---------------------------------------
 
 #: Most entries of a table of frequent hashes: 8 MB of hashes, 8 MB of counts.

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import (KeyFilter, LocalCounts, WordHasher, buffers, components, cut, frequent, row_ranges,
+from .common import (KeyFilter, LocalCounts, WordHasher, buffers, components, cut, frequent, row_order, row_ranges,
                      shingle_sets, without_ids)
 
 #: Rounds in which rows meet only the first row of each column.
@@ -101,7 +101,7 @@ def _entries(n, num, den, shared):
             size = np.array([len(s) for s in every])
             flat = np.concatenate(every)
             row = np.repeat(np.arange(len(every)), size)
-            order = np.lexsort((flat, common.count(flat), row))
+            order = row_order(row, flat, common.count(flat))
             place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
             first = size - -(-num * size // den) + 1
             take = place < first[row]

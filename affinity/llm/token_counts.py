@@ -27,9 +27,9 @@ from .common import buffers, row_ranges
 from .pieces import distinct_pieces
 
 #: Bytes of text in a batch for the library.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 #: Distinct pieces whose lengths are kept between batches; beyond that a task starts anew.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 200_000
 
 
 class Counter:

@@ -50,8 +50,8 @@ TOP = 3
 #: Paths kept for each state of the decoder.
 PATHS = 6
 #: Distinct words whose scores a task keeps.
-CACHE_WORDS = 300_000
-BATCH_BYTES = 8 << 20
+CACHE_WORDS = 200_000
+BATCH_BYTES = 2 << 20
 
 # What characters stand for in leetspeak.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g",
