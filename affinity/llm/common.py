@@ -199,6 +199,15 @@ def row_order(row: np.ndarray, h: np.ndarray, first: np.ndarray | None = None) -
     return order
 
 
+def enough_shared(shared: str, num: int, den: int) -> str:
+    """SQL: whether two sets (x_size, y_size) that share ``shared`` tokens of their
+    prefixes can have a resemblance of num/den. Whichever prefix ends first in the
+    common order, all shared tokens of that prefix are in the other one too, so
+    the overlap is at most ``shared`` and what stands behind that prefix."""
+    rest = " , ".join(f"(({s}_size * {num}L + {den - 1}) div {den} - 1)" for s in "xy")
+    return f"({shared} + greatest({rest})) * {num + den}L >= (x_size + y_size) * {num}L"
+
+
 # --- counts and filters of proven size ---------------------------------------
 
 #: Most entries of a table of frequent hashes: 8 MB of hashes, 8 MB of counts.

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import (KeyFilter, LocalCounts, WordHasher, buffers, components, cut, frequent, row_order, row_ranges,
+from .common import (KeyFilter, LocalCounts, WordHasher, buffers, components, cut, enough_shared, frequent, row_order, row_ranges,
                      shingle_sets, without_ids)
 
 #: Rounds in which rows meet only the first row of each column.
@@ -222,8 +222,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             x = now.select("h", *(F.col(c).alias(f"x_{c}") for c in ("size", "place", "label")), F.col("sig").alias("x"))
             y = now.select("h", *(F.col(c).alias(f"y_{c}") for c in ("size", "place", "label")), F.col("sig").alias("y"))
             pairs = x.join(y, "h").filter("x_label < y_label")
-        pairs = (pairs.filter(_fits(num, den)).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-                 .groupBy("x", "y").agg(F.count("*").alias("overlap")))
+        pairs = pairs.filter(_fits(num, den))
+        if turn == rounds:  # every column that both rows have has been met: overlaps add up
+            pairs = (pairs.groupBy("x", "y", "x_size", "y_size").agg(F.count("*").alias("overlap"))
+                     .filter(enough_shared("overlap", num, den)))
+        pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["x", "y"], "left_anti")
         found = cut(_linked(pairs, texts, n, num, den))
