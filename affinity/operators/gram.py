@@ -2,8 +2,10 @@
 
 g(a, b) = sum over shared items of r_a * r_b, self pairs included. The user x
 item matrix is never materialised densely: the long (user, item, rating) form
-is the sparse matrix, and the product is an item self-join with a
-partial/final sum per (a, b).
+is the sparse matrix, and the product is an item self-join (hot items in
+blocks, each unordered pair once, then mirrored) with a partial/final sum per
+(a, b). A test pair without a rater of its item, or whose raters share nothing
+with the user, is predicted 0.0, so every test pair counts in every error.
 """
 
 from __future__ import annotations
@@ -11,20 +13,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .llr import block_sides, item_blocks
 
 def gram_similarity(ratings: DataFrame, include_self: bool = True) -> DataFrame:
     """(a, b, g) for every pair of users sharing an item."""
-    left = ratings.select(F.col("user").alias("a"), "item", F.col("rating").alias("ra"))
-    right = ratings.select(F.col("user").alias("b"), "item", F.col("rating").alias("rb"))
-    g = left.join(right, "item").groupBy("a", "b").agg(F.sum(F.col("ra") * F.col("rb")).alias("g"))
-    return g if include_self else g.filter(F.col("a") != F.col("b"))
+    first, second = block_sides(item_blocks(ratings.select("user", "item", "rating")))
+    keys = ["item", "_i", "_j"]
+    left = first.select(F.col("user").alias("a"), *keys, F.col("rating").alias("ra"))
+    right = second.select(F.col("user").alias("b"), *keys, F.col("rating").alias("rb"))
+    half = left.join(right, keys).filter("a <= b" if include_self else "a < b")
+    half = half.groupBy("a", "b").agg(F.sum(F.col("ra") * F.col("rb")).alias("g"))
+    pair = F.struct("a", "b")
+    both = F.when(F.col("a") == F.col("b"), F.array(pair)).otherwise(
+        F.array(pair, F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    return half.select(F.explode(both).alias("_p"), "g").select("_p.a", "_p.b", "g")
 
 
 def ranked_raters(test: DataFrame, train: DataFrame, gram: DataFrame) -> DataFrame:
-    """For each test (user, item), the item's raters with g > 0 ranked
-    by g descending, rater id ascending: (user, item, rating, nbr, g, r, rnk)."""
+    """For each test (user, item), the item's raters that share an
+    item with the user, ranked by g descending, rater id ascending: (user, item, rating, nbr, g, r, rnk)."""
     raters = train.select(F.col("user").alias("nbr"), "item", F.col("rating").alias("r"))
-    g = gram.select(F.col("a").alias("user"), F.col("b").alias("nbr"), "g").filter(F.col("g") > 0)
+    g = gram.select(F.col("a").alias("user"), F.col("b").alias("nbr"), "g")
     cand = (test.select("user", "item", "rating")
             .join(raters, "item")
             .join(g, ["user", "nbr"]))
@@ -34,34 +43,27 @@ def ranked_raters(test: DataFrame, train: DataFrame, gram: DataFrame) -> DataFra
 
 def gram_predict(test: DataFrame, train: DataFrame, gram: DataFrame, n: int = 10,
                  digits: int | None = 6) -> DataFrame:
-    """Weighted rating over the top-n raters: sum(g r) / sum(g).
-
-    Test pairs whose item has no rater in train predict 0.0; pairs whose
-    item has raters but none with g > 0 have no defined prediction (NULL)."""
-    top = ranked_raters(test, train, gram).filter(F.col("rnk") <= n)
-    agg = top.groupBy("user", "item", "rating").agg(
-        (F.sum(F.col("g") * F.col("r")) / F.sum("g")).alias("p"))
-    items = train.select("item").distinct().withColumn("_rated", F.lit(True))
-    out = (test.select("user", "item", "rating")
-           .join(agg, ["user", "item", "rating"], "left")
-           .join(items, "item", "left"))
-    pred = F.when(F.col("_rated").isNull(), F.lit(0.0)).otherwise(F.col("p"))
-    if digits is not None:
-        pred = F.round(pred, digits)
-    return out.select("user", "item", "rating", pred.alias("predicted"))
+    """Weighted rating over the top-n raters: sum(g r) / sum(g), 0.0 where there are none."""
+    one = gram_predict_by_k(test, train, gram, [n], digits)
+    return one.drop("k")
 
 
 def gram_predict_by_k(test: DataFrame, train: DataFrame, gram: DataFrame, ks: list[int],
                       digits: int | None = 6) -> DataFrame:
     """A22 helper: rank once, then predictions for every neighbourhood size k
-    (the k list is a literal array exploded per candidate row)."""
+    (the k list is a literal array exploded per candidate row and per test row;
+    each k has as many predictions as there are test rows)."""
     ranked = ranked_raters(test, train, gram).filter(F.col("rnk") <= max(ks))
     per_k = (ranked.withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in ks])))
              .filter(F.col("rnk") <= F.col("k")))
     agg = per_k.groupBy("k", "user", "item", "rating").agg(
         (F.sum(F.col("g") * F.col("r")) / F.sum("g")).alias("p"))
-    pred = F.round("p", digits) if digits is not None else F.col("p")
-    return agg.select("k", "user", "item", "rating", pred.alias("predicted"))
+    every = test.select("user", "item", "rating").withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in ks])))
+    pred = F.coalesce("p", F.lit(0.0))
+    if digits is not None:
+        pred = F.round(pred, digits)
+    return (every.join(agg, ["k", "user", "item", "rating"], "left")
+            .select("k", "user", "item", "rating", pred.alias("predicted")))
 
 
 def pivot_matrix(ratings: DataFrame, items: list) -> DataFrame:

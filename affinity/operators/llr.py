@@ -8,11 +8,12 @@ a broadcast only when the measured count table is under the adaptive broadcast
 threshold) and the distinct-item total N is a scalar subquery.
 
 Scale notes: the item self-join emits every (a, b) pair that shares an item;
-that pair set *is* the operator's output domain. The activity cap bounds the
-rows per item (``max_interactions``, default 500, at most 250 000 pairs per
-item, never a whole hot item in one task beyond that), and duplicate rows are
-folded into a count before the join so repeated interactions do not multiply
-the join input.
+that pair set *is* the operator's output domain. Nothing is dropped unless a cap
+is asked for (``max_interactions``). The members of an item with more than
+``BLOCK_ROWS`` of them are dealt into blocks, and each pair of blocks is a join
+key of its own, so a hot item is spread over many tasks. Duplicate rows are
+folded into a count before the join so repeated interactions do not multiply the
+join input.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from ..functions import scoring as S
 from ..functions.draws import uniform
 from ..session import cut_lineage
 
+#: Members of an item that meet as one join key.
+BLOCK_ROWS = 1000
 VARIANTS = ("default", "max", "continuous")
 MODES = ("user", "item")
 
@@ -85,26 +88,43 @@ def weighted_interactions(interactions: DataFrame) -> DataFrame:
     return interactions.groupBy("user", "item").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def cooccurrence(weighted: DataFrame, with_totals: bool = False, half: bool = False) -> DataFrame:
+def item_blocks(members: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Members of items with ``_blocks`` (blocks of the item) and ``_block`` (the
+    member's own); items up to ``block_rows`` members are one block."""
+    heavy = (members.groupBy("item").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > block_rows)
+             .select("item", F.ceil(F.col("_n") / block_rows).cast("int").alias("_blocks")))
+    out = members.join(heavy, "item", "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    return out.withColumn("_block", F.pmod(F.xxhash64("user"), F.col("_blocks")).cast("int"))
+
+
+def block_sides(blocked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the self-join, keyed by (item, _i, _j): each member stands in
+    its own block on one side and with all blocks of its item on the other."""
+    every = F.sequence(F.lit(0), F.col("_blocks") - 1)
+    left = blocked.withColumn("_i", F.col("_block")).withColumn("_j", F.explode(every))
+    right = blocked.withColumn("_j", F.col("_block")).withColumn("_i", F.explode(every))
+    return left.drop("_block", "_blocks"), right.drop("_block", "_blocks")
+
+
+def cooccurrence(weighted: DataFrame, with_totals: bool = False, half: bool = False,
+                 block_rows: int = BLOCK_ROWS) -> DataFrame:
     """k11(a, b) = sum over shared items of cnt_a * cnt_b (both
     directions and self pairs). With ``with_totals`` the per-user totals nA, nB
-    ride along through the join so no later join on the pair table is needed."""
-    def side(tag):
+    ride along through the join so no later join on the pair table is needed.
+    With ``half`` one orientation per unordered pair (a <= b); the caller mirrors."""
+    def side(df, tag):
         extra = [F.col("n").alias(f"n_{tag}")] if with_totals else []
-        return weighted.select(F.col("user").alias(tag), "item", F.col("cnt").alias(f"cnt_{tag}"), *extra)
+        return df.select(F.col("user").alias(tag), "item", "_i", "_j", F.col("cnt").alias(f"cnt_{tag}"), *extra)
 
-    left, right = side("a"), side("b")
+    first, second = block_sides(item_blocks(weighted, block_rows))
+    pairs = side(first, "a").join(side(second, "b"), ["item", "_i", "_j"])
+    if half:
+        pairs = pairs.filter("a <= b")
     keys = ["a", "b"] + (["n_a", "n_b"] if with_totals else [])
-    if half:  # one orientation per unordered pair (a <= b); the caller mirrors
-        return (left.join(right, (left["item"] == right["item"]) & (left["a"] <= right["b"]))
-                .groupBy(*keys)
-                .agg(F.sum(F.col("cnt_a") * F.col("cnt_b")).alias("k11")))
-    return (left.join(right, "item")
-            .groupBy(*keys)
-            .agg(F.sum(F.col("cnt_a") * F.col("cnt_b")).alias("k11")))
+    return pairs.groupBy(*keys).agg(F.sum(F.col("cnt_a") * F.col("cnt_b")).alias("k11"))
 
 
-def llr_half_cells(interactions: DataFrame, max_interactions: int | None = 500,
+def llr_half_cells(interactions: DataFrame, max_interactions: int | None = None,
                    cap_mode: str = "cap", seed: int = 12345, dedupe: bool = False,
                    include_self: bool = True) -> DataFrame:
     """(a, b, k11, k12, k21, k22) for each unordered pair once (a <= b)."""
@@ -138,7 +158,7 @@ def mirror(cells: DataFrame, *value_cols: str) -> DataFrame:
                       F.col("_o.p").alias("k12"), F.col("_o.r").alias("k21"), "k22", *value_cols)
 
 
-def llr_cells(interactions: DataFrame, max_interactions: int | None = 500,
+def llr_cells(interactions: DataFrame, max_interactions: int | None = None,
               cap_mode: str = "cap", seed: int = 12345, dedupe: bool = False,
               include_self: bool = True) -> DataFrame:
     """(a, b, k11, k12, k21, k22) in both directions, self pairs included."""
@@ -178,7 +198,7 @@ def score_cells(cells: DataFrame) -> DataFrame:
 
 
 def llr_similarity(interactions: DataFrame, variant: str = "default", mode: str = "user",
-                   threshold: float = 0.6, max_interactions: int | None = 500,
+                   threshold: float = 0.6, max_interactions: int | None = None,
                    include_self: bool = True, dedupe: bool = False, cap_mode: str = "cap",
                    seed: int = 12345, user: str = "user", item: str = "item",
                    digits: int | None = 9) -> DataFrame:

@@ -88,7 +88,7 @@ class LSH:
     def __post_init__(self):
         m = self.measure.lower()
         if m not in LSH_MEASURES:
-            raise ValueError(f"Only {', '.join(LSH_MEASURES)} distances are supported but got {self.measure}.")
+            raise ValueError(f"measure={self.measure!r} is not one of {LSH_MEASURES}")
         self.measure = m
         if isinstance(self.dim, Column):
             if m not in ("hamming", "jaccard"):
@@ -98,14 +98,14 @@ class LSH:
         if self.tables <= 0 or self.signature <= 0:
             raise ValueError("tables and signature must be positive")
         if m in ("euclidean", "manhattan") and not self.bucket_width > 0:
-            raise ValueError("Bucket width must be greater than zero.")
+            raise ValueError(f"bucket_width={self.bucket_width}: {m} projections need a positive width")
         if m == "jaccard":
             if not self.prime > 0:
-                raise ValueError("Prime modulus must be greater than zero.")
+                raise ValueError(f"prime={self.prime}: MinHash needs a positive modulus")
             if not self.bands > 0:
-                raise ValueError("Number of bands must be greater than zero.")
+                raise ValueError(f"bands={self.bands}: MinHash needs at least one band")
             if self.signature % self.bands != 0:
-                raise ValueError("Number of bands must evenly divide signature length.")
+                raise ValueError(f"bands={self.bands} leaves a remainder of signature={self.signature}")
         self.params = self._draw()
 
     # ------------------------------------------------------------ parameters

@@ -30,6 +30,7 @@ def register(name: str, oracle: str | None):
 
 # Fixed parameters of the catalogue queries.
 SUPPLIER_CAP = 600
+LLR_CAP = 40
 SEED = 12345
 
 # ====================================================================== LLR
@@ -119,6 +120,12 @@ def q_llr_item(spark, sf):
     return L.llr_similarity(T.event_interactions(spark, sf), variant="default", mode="item")
 
 
+@register("q_llr_capped", Q.llr_sql(Q.B_INT, "default", cap=LLR_CAP))
+def q_llr_capped(spark, sf):
+    """user-user LLR after the explicit activity cap."""
+    return L.llr_similarity(T.purchases(spark, sf), variant="default", max_interactions=LLR_CAP)
+
+
 @register("q_llr_max", Q.llr_sql(Q.B_INT, "max"))
 def q_llr_max(spark, sf):
     """MaxSale variant, unfiltered."""
@@ -379,14 +386,13 @@ gram AS (SELECT x.user AS a, y.user AS b, sum(x.rating * y.rating) AS g
          FROM train x JOIN train y ON x.item = y.item GROUP BY 1, 2),
 cand AS (SELECT t.user, t.item, t.rating, r.user AS nbr, g.g, r.rating AS r,
                 row_number() OVER (PARTITION BY t.user, t.item ORDER BY g.g DESC, r.user ASC) AS rnk
-         FROM test t JOIN train r ON r.item = t.item JOIN gram g ON g.a = t.user AND g.b = r.user
-         WHERE g.g > 0)"""
+         FROM test t JOIN train r ON r.item = t.item JOIN gram g ON g.a = t.user AND g.b = r.user)"""
 
 
 def _gram_sql_predict(n: int, test_cte: str = "test") -> str:
     return f"""
 SELECT t.user, t.item, t.rating,
-       round(CASE WHEN t.item NOT IN (SELECT item FROM train) THEN 0.0 ELSE p.p END, 6) AS predicted
+       round(coalesce(p.p, 0.0), 6) AS predicted
 FROM {test_cte} t LEFT JOIN (SELECT user, item, rating, sum(g * r) / sum(g) AS p FROM cand
                           WHERE rnk <= {n} GROUP BY 1, 2, 3) p
   ON p.user = t.user AND p.item = t.item AND p.rating = t.rating"""
@@ -450,11 +456,14 @@ def q_pivot(spark, sf):
 @register("q_sweep_k", f"""
 WITH {_GRAM_BASE},
 ks AS (SELECT unnest({list(SWEEP_KS)}) AS k),
-p AS (SELECT ks.k, c.user, c.item, c.rating, sum(c.g * c.r) / sum(c.g) AS predicted
-      FROM cand c JOIN ks ON c.rnk <= ks.k GROUP BY 1, 2, 3, 4)
+h AS (SELECT ks.k, c.user, c.item, c.rating, sum(c.g * c.r) / sum(c.g) AS predicted
+      FROM cand c JOIN ks ON c.rnk <= ks.k GROUP BY 1, 2, 3, 4),
+p AS (SELECT ks.k, t.rating, coalesce(h.predicted, 0.0) AS predicted FROM test t CROSS JOIN ks
+      LEFT JOIN h ON h.k = ks.k AND h.user = t.user AND h.item = t.item AND h.rating = t.rating)
 SELECT k, round(sqrt(avg(pow(rating - round(predicted, 6), 2))), 9) AS rmse FROM p GROUP BY k""")
 def q_sweep_k(spark, sf):
-    """Gram-baseline RMSE for every neighbourhood size k (rank once)."""
+    """Gram-baseline RMSE for every neighbourhood size k (rank once), over
+    all test pairs."""
     train, test, gram = _gram_inputs(spark, sf)
     preds = G.gram_predict_by_k(test, train, gram, list(SWEEP_KS))
     return preds.groupBy("k").agg(F.round(F.sqrt(F.avg(F.pow(F.col("rating") - F.col("predicted"), 2))), 9)
@@ -756,8 +765,10 @@ ep AS (SELECT ks.k, c.user, c.item, c.rating,
        FROM preds_cov c CROSS JOIN ks
        LEFT JOIN pk ON pk.k = ks.k AND pk.user = c.user AND pk.item = c.item AND pk.rating = c.rating),
 emb AS (SELECT k, sqrt(avg(pow(rating - predicted, 2))) AS rmse FROM ep GROUP BY k),
-gp AS (SELECT ks.k, c.user, c.item, c.rating, sum(c.g * c.r) / sum(c.g) AS predicted
+gh AS (SELECT ks.k, c.user, c.item, c.rating, sum(c.g * c.r) / sum(c.g) AS predicted
        FROM cand c JOIN ks ON c.rnk <= ks.k GROUP BY 1, 2, 3, 4),
+gp AS (SELECT ks.k, t.rating, coalesce(gh.predicted, 0.0) AS predicted FROM preds_cov t CROSS JOIN ks
+       LEFT JOIN gh ON gh.k = ks.k AND gh.user = t.user AND gh.item = t.item AND gh.rating = t.rating),
 grm AS (SELECT k, sqrt(avg(pow(rating - round(predicted, 6), 2))) AS rmse FROM gp GROUP BY k)"""
 
 
@@ -776,7 +787,9 @@ SELECT g.k, round(g.rmse, 9) AS gram_rmse, round(e.rmse, 9) AS emb_rmse FROM grm
 def q_compare(spark, sf):
     """Gram baseline vs embedding neighbours, RMSE per neighbourhood size."""
     train, test, gram = _gram_inputs(spark, sf)
-    g = _rmse_by_k(G.gram_predict_by_k(test, train, gram, list(SWEEP_KS)))
+    # both sides are scored on the test pairs of users that have a vector
+    known = T.embeddings(spark, sf).select(F.col("id").alias("user")).distinct()
+    g = _rmse_by_k(G.gram_predict_by_k(test.join(known, "user", "left_semi"), train, gram, list(SWEEP_KS)))
     e = embedding_rmse_by_k(spark, sf)
     return g.join(e.withColumnRenamed("rmse", "emb_rmse"), "k").select(
         "k", F.round("rmse", 9).alias("gram_rmse"), F.round("emb_rmse", 9).alias("emb_rmse"))

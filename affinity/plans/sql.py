@@ -44,7 +44,7 @@ def _ent4(a: str, b: str, c: str, d: str) -> str:
     return f"({_xlogx(tot)} - ({_xlogx(a)} + {_xlogx(b)} + {_xlogx(c)} + {_xlogx(d)}))"
 
 
-def llr_ctes(source: str, mode: str = "user", cap: int | None = 500, dedupe: bool = False,
+def llr_ctes(source: str, mode: str = "user", cap: int | None = None, dedupe: bool = False,
              include_self: bool = True) -> str:
     """CTE chain ending in ``scored(a, b, k11, k12, k21, k22, llr, sim_default,
     sim_max, sim_continuous)``."""
@@ -79,7 +79,7 @@ scored AS (SELECT a, b, k11, k12, k21, k22, llr, sim_default,
 
 
 def llr_sql(source: str, variant: str = "default", mode: str = "user", threshold: float = 0.6,
-            cap: int | None = 500, dedupe: bool = False) -> str:
+            cap: int | None = None, dedupe: bool = False) -> str:
     where = f"WHERE sim_default > {threshold}" if variant == "default" else ""
     return (f"WITH {llr_ctes(source, mode, cap, dedupe)}\n"
             f"SELECT a, b, round(sim_{variant}, 9) AS similarity FROM scored {where}")

@@ -64,7 +64,7 @@ def test_entry_and_registry(spark):
     assert set(df.columns) == {"a", "b", "similarity"} and df.count() > 0
     qs, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(qs) and len(qs) >= 50
-    assert set(qs) - set(sql) == {"q_w2v_vectors", "q_end_to_end"}
+    assert {q for q in set(qs) - set(sql) if q.startswith("q_")} == {"q_w2v_vectors", "q_end_to_end"}
 
 
 @pytest.mark.parametrize("name", ["q_interactions", "q_cap", "q_knn_reference", "q_rmse"])
