@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, ragged, row_ranges
+from .common import (bounded_batches, buffers, ragged, row_ranges, tidy)
 from .pieces import distinct_pieces
 
 #: Words of up to this many bytes are scanned; longer ones use a heap.
@@ -38,7 +38,7 @@ SHORT_WORD = 64
 #: Words of one length that are scanned at a time.
 SCAN_ROWS = 1 << 14
 #: Distinct pieces whose ids are kept between batches; beyond that a task starts anew.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 150_000
 #: Bytes of text encoded at a time.
 BATCH_BYTES = 2 << 20
 NO_MERGE = np.int64(1) << 40
@@ -278,6 +278,7 @@ def encode_decode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text
     """(id, ids array<int>, decoded string) of every text, or, with
     ``digests``, (id, n_tokens, ids_sha256, decoded_sha256) without shipping
     the sequences out of the tasks. One narrow stage, no shuffle."""
+    bounded_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
@@ -303,4 +304,4 @@ def encode_decode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text
 
     tail = ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digests
             else "ids array<int>, decoded string")
-    return src.mapInArrow(run, f"id {id_type}, {tail}").withColumnRenamed("id", id_col)
+    return src.mapInArrow(tidy(run), f"id {id_type}, {tail}").withColumnRenamed("id", id_col)

@@ -7,6 +7,8 @@ task's memory does not follow the size of its partition.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +31,35 @@ MIX_SHIFTS = (30, 27, 31)
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 
 
+#: Bytes of an Arrow batch between the JVM and Python, unless the session sets its own.
+ARROW_BATCH = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """Balance Arrow batches by bytes, so that their memory doesn't follow the
+    length of texts; a setting that the session has is left alone."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(ARROW_BATCH))
+    return spark
+
+
+def tidy(run):
+    """An Arrow function that gives freed memory back when its task ends: workers
+    are kept for later tasks, beside which their old heap would count."""
+    def wrapped(it):
+        yield from run(it)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+    return wrapped
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(sf_dir, name))
+    return bounded_batches(spark).read.parquet(table_path(sf_dir, name))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

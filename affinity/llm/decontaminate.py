@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, WordHasher, buffers, ngram_hashes, row_ranges
+from .common import (NOT_ALNUM, WordHasher, bounded_batches, buffers, ngram_hashes, row_ranges, tidy)
 
 SPAN = 13
 GRAM = 5
@@ -167,6 +167,7 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, span: int, gram: i
 def _met(docs: DataFrame, items: DataFrame, columns: list[str], text_col: str, item_id_col: str,
          item_text_col: str, span: int, gram: int, block_words: int, with_text: bool) -> DataFrame:
     """Columns by position (c0, c1, …), text if asked for, n_words, hits, item_ids."""
+    bounded_batches(docs.sparkSession)
     src = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)),
                       F.col(f"`{text_col}`").cast("string").alias("text"),
                       F.lit(None).cast("long").alias("n_words"),
@@ -177,7 +178,7 @@ def _met(docs: DataFrame, items: DataFrame, columns: list[str], text_col: str, i
     for i, block in enumerate(blocks):
         done = i == len(blocks) - 1 and not with_text
         shared = docs.sparkSession.sparkContext.broadcast(block)
-        src = src.mapInArrow(_meet(shared, done), lean if done else src.schema)
+        src = src.mapInArrow(tidy(_meet(shared, done)), lean if done else src.schema)
     return src
 
 

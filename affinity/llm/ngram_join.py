@@ -37,8 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import (KeyFilter, LocalCounts, WordHasher, buffers, components, cut, enough_shared, frequent, row_order, row_ranges,
-                     shingle_sets, without_ids)
+from .common import (KeyFilter, LocalCounts, WordHasher, bounded_batches, buffers, components, cut, enough_shared,
+                     frequent, row_order, row_ranges, shingle_sets, tidy, without_ids)
 
 #: Rounds in which rows meet only the first row of each column.
 PIVOT_ROUNDS = 2
@@ -164,24 +164,25 @@ def _linked(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> D
     xs = texts.select(F.col("sig").alias("x"), F.col("text").alias("x_text"))
     ys = texts.select(F.col("sig").alias("y"), F.col("text").alias("y_text"))
     return (pairs.join(xs, "x").join(ys, "y").select("x", "y", "x_text", "y_text")
-            .mapInArrow(_verify(n, num, den), "x binary, y binary, linked boolean"))
+            .mapInArrow(tidy(_verify(n, num, den)), "x binary, y binary, linked boolean"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5,
                        num: int = 4, den: int = 5, rounds: int = PIVOT_ROUNDS) -> DataFrame:
     """(id, n_shingles, component_id) of every row; two documents are linked when
     ``den * |A & B| >= num * |A | B|`` over their sets of ``n``-word shingles."""
+    bounded_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     id_type = src.schema["id"].dataType
-    told = cut(src.mapInArrow(_describe(n, _arrow(id_type)),
+    told = cut(src.mapInArrow(tidy(_describe(n, _arrow(id_type))),
                               f"id {id_type.simpleString()}, sig binary, size long, kind int, h long, n long"))
     rows = told.filter("kind = 0").select("id", "sig", "size")
     common = sc.broadcast(frequent(told.filter("kind = 1").select("h", "n")))
     classes = rows.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("id").alias("rep"))
 
     # columns in which at least two rows meet
-    entries = (src.select("text").mapInArrow(_entries(n, num, den, common),
+    entries = (src.select("text").mapInArrow(tidy(_entries(n, num, den, common)),
                                              "h long, sig binary, size int, place int"))
     column = Window.partitionBy("h")
     order = Window.partitionBy("h").orderBy("turn", "sig", "place")

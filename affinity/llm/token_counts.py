@@ -23,13 +23,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, row_ranges
+from .common import (bounded_batches, buffers, row_ranges, tidy)
 from .pieces import distinct_pieces
 
 #: Bytes of text in a batch for the library.
 BATCH_BYTES = 2 << 20
 #: Distinct pieces whose lengths are kept between batches; beyond that a task starts anew.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 150_000
 
 
 class Counter:
@@ -87,6 +87,7 @@ class Counter:
 def count_tokens(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text",
                  limit: int = 512) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) of every row."""
+    bounded_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
@@ -102,5 +103,5 @@ def count_tokens(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_
                     "id": part.column("id"), "n_bytes": pa.array(np.diff(at[lo:hi + 1])),
                     "n_tokens": pa.array(n), "over_limit": pc.greater(pa.array(n), limit)})
 
-    return (src.mapInArrow(run, f"id {id_type}, n_bytes long, n_tokens long, over_limit boolean")
+    return (src.mapInArrow(tidy(run), f"id {id_type}, n_bytes long, n_tokens long, over_limit boolean")
             .withColumnRenamed("id", id_col))

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, cut, row_ranges
+from .common import (bounded_batches, buffers, cut, row_ranges, tidy)
 
 #: Most labelled documents that the classifier is fitted on.
 TRAIN_ROWS = 20_000
@@ -50,7 +50,7 @@ TOP = 3
 #: Paths kept for each state of the decoder.
 PATHS = 6
 #: Distinct words whose scores a task keeps.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 BATCH_BYTES = 2 << 20
 
 # What characters stand for in leetspeak.
@@ -339,6 +339,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
           label_col: str = "toxic", corpus: DataFrame | None = None, rows: int = TRAIN_ROWS) -> Model:
     """Fit the model. ``corpus`` (default: ``docs``) is what the character model
     is counted over."""
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     whole = src if corpus is None else corpus.select(F.col(text_col).cast("string").alias("text"))
@@ -349,10 +350,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # at most `rows` ids: their texts are found without shuffling the documents
     taught = cut(src.join(F.broadcast(chosen), "id").select("text", "toxic"))
     trigrams = {r[0]: r[1] for r in
-                whole.select("text").mapInArrow(_count_letters, "gram string, n long")
+                whole.select("text").mapInArrow(tidy(_count_letters), "gram string, n long")
                 .groupBy("gram").agg(F.sum("n")).toLocalIterator()}
     sizes = {r[0]: r[1] for r in taught.groupBy("toxic").count().collect()}
-    found = (taught.mapInArrow(_count_features, "feature string, clean long, toxic long")
+    found = (taught.mapInArrow(tidy(_count_features), "feature string, clean long, toxic long")
              .groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
              .filter(F.col("toxic") >= LEAST_TOXIC)
              .filter(F.col("toxic") * sum(sizes.values())
@@ -371,7 +372,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 {"y": pa.array(y, pa.int32())} | {f"x{i}": pa.array(x[:, i], pa.float64()) for i in range(TOP)})
 
     fields = ", ".join(f"x{i} double" for i in range(TOP))
-    data = taught.mapInArrow(describe, f"y int, {fields}").toArrow()
+    data = taught.mapInArrow(tidy(describe), f"y int, {fields}").toArrow()
     x = np.stack([np.asarray(data[f"x{i}"]) for i in range(TOP)], 1) if len(data) else np.zeros((0, TOP))
     model.fit(x, np.asarray(data["y"]))
     return model
