@@ -37,6 +37,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 # Short notices by which licences are declared, by SPDX name.
 TEMPLATES = {
     "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
@@ -127,6 +129,7 @@ def scan_licences(files: DataFrame, path_col: str = "path", text_col: str = "tex
         F.min(F.when(F.col("unit") == 0, F.struct((-F.col("cosine")).alias("c"), "licence"))).alias("whole"))
         .select("file", F.col("top.licence").alias("own_licence"), (-F.col("top.c")).alias("cosine"),
                 F.col("whole.licence").alias("whole_licence"), (-F.col("whole.c")).alias("whole_cosine")))
+    best = cut(best)  # one row for each file with a licence; met twice below
     slim = base.withColumn("file", file_key).drop("text")
     marked = slim.join(best.withColumnRenamed("file", "f"), F.col("file").eqNullSafe(F.col("f")), "left").drop("f")
     marked = marked.withColumn("dir", F.regexp_extract("path", "^(.*)/[^/]*$", 1))
