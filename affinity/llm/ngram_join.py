@@ -15,8 +15,9 @@ Pairs that are left get their whole overlap from their texts.
 
 Groups don't cost all their pairs. Equal sets are one row from the start. In each
 of a few rounds every row meets only the first row of each of its columns (an
-order by a hash that changes with the round), and rows found linked share a
-component; columns that lie in one component are finished. What is left, pairs of
+order by a hash; after the first round one of its own for each column, so that a
+row meets many members of its group), and rows found linked share a component;
+columns that lie in one component are finished. What is left, pairs of
 different components that share a column, is then looked at in full, so every
 link that could join two components is checked: the components are exact.
 
@@ -179,7 +180,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                               f"id {id_type.simpleString()}, sig binary, size long, kind int, h long, n long"))
     rows = told.filter("kind = 0").select("id", "sig", "size")
     common = sc.broadcast(frequent(told.filter("kind = 1").select("h", "n")))
-    classes = rows.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("id").alias("rep"))
+    classes = cut(rows.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("id").alias("rep")))
 
     # columns in which at least two rows meet
     entries = (src.select("text").mapInArrow(tidy(_entries(n, num, den, common)),
@@ -193,12 +194,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
            .filter("sig <> first.sig OR next IS NOT NULL")
            .select("h", "sig", "size", "place", "first"))
     met = cut(met)
-    # texts of the rows that meet another one: one for each set
-    names = met.select("sig").distinct()
-    wanted = cut(names.join(classes, "sig").select("sig", "rep"))
-    keys = KeyFilter(wanted.select(F.xxhash64("rep").alias("k")))
-    texts = (src.filter(keys.passes(F.xxhash64("id"))).join(wanted.withColumnRenamed("rep", "id"), "id")
-             .select("sig", "text").dropDuplicates(["sig"]))
+
+    def texts_of(pairs: DataFrame) -> DataFrame:
+        """(sig, text) of the sets that are in pairs: one text for each set."""
+        names = pairs.select(F.explode(F.array("x", "y")).alias("sig")).distinct()
+        wanted = cut(names.join(classes, "sig").select("sig", F.col("rep").alias("id")))
+        keys = KeyFilter(wanted.select(F.xxhash64("id").alias("k")))
+        return (src.filter(keys.passes(F.xxhash64("id"))).join(wanted, "id")
+                .select("sig", "text").dropDuplicates(["sig"]))
 
     pair = ["sig AS x", "size AS x_size", "place AS x_place",
             "first.sig AS y", "first.size AS y_size", "first.place AS y_place"]
@@ -215,7 +218,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if turn == 0:
             pairs = met.selectExpr(*pair).filter("x <> y")
         elif turn < rounds:
-            other = Window.partitionBy("h").orderBy(F.xxhash64("sig", F.lit(turn)), "sig", "place")
+            other = Window.partitionBy("h").orderBy(F.xxhash64("sig", "h", F.lit(turn)), "sig", "place")
             pairs = (now.withColumn("first", F.first(F.struct("sig", "size", "place", "label")).over(other))
                      .filter("label <> first.label").selectExpr(*pair))
         else:
@@ -230,7 +233,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["x", "y"], "left_anti")
-        found = cut(_linked(pairs, texts, n, num, den))
+        pairs = cut(pairs)
+        found = cut(_linked(pairs, texts_of(pairs), n, num, den))
         tried = found.select("x", "y") if tried is None else tried.unionByName(found.select("x", "y"))
         own = found.filter("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
         links = own if links is None else links.unionByName(own)
