@@ -25,6 +25,7 @@ repeated rows are scored each; extra columns don't matter.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -33,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import (bounded_batches, buffers, cut, row_ranges, tidy)
+from .common import (bounded_batches, buffers, cut, ragged, row_ranges, tidy)
 
 #: Most labelled documents that the classifier is fitted on.
 TRAIN_ROWS = 20_000
@@ -59,6 +60,8 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg",
 ANY_LETTER = "*#%?"
 SIGNS = " ._-~,:;'\"/\\^&=*#%?"
 END, OTHER = "$", "~"
+LETTERS = "abcdefghijklmnopqrstuvwxyz" + END + OTHER
+THRICE = re.compile(r"(.)\1\1", re.DOTALL)
 
 
 def letter_class(c: str) -> str:
@@ -67,6 +70,8 @@ def letter_class(c: str) -> str:
 
 def plain(word: str) -> str:
     """Without signs at both ends."""
+    if word.isalnum():
+        return word
     i, j = 0, len(word)
     while i < j and not word[i].isalnum():
         i += 1
@@ -77,6 +82,8 @@ def plain(word: str) -> str:
 
 def disguised(word: str) -> str | None:
     """The part of a lower-case word to decode, if it looks disguised."""
+    if word.isalpha():
+        return word if THRICE.search(word) else None
     core = plain(word)
     start = word.find(core) if core else 0
     # a lone leet sign in front belongs to the word
@@ -85,8 +92,7 @@ def disguised(word: str) -> str | None:
     if not any(c.isalpha() for c in core):
         return None
     odd = any(not c.isalpha() for c in core)
-    run = any(core[i] == core[i - 1] == core[i - 2] for i in range(2, len(core)))
-    return core if odd or run else None
+    return core if odd or THRICE.search(core) else None
 
 
 class Decoder:
@@ -201,31 +207,36 @@ def _parts(it):
 
 def _count_letters(it):
     """Trigrams of letter classes over all words, one table of bounded size a task."""
-    grams: Counter = Counter()
+    size = len(LETTERS)
+    table = np.zeros(size ** 3, np.int64)
     for part in _parts(it):
         words = TextWords(part.column("text"))
-        count = np.bincount(words.which, minlength=len(words.words)).tolist()
-        for word, n in zip(words.words, count, strict=True):
-            core = plain(word)
-            if core.isalpha():
-                s = END + END + (core if core.isascii() else "".join(map(letter_class, core))) + END
-                for i in range(len(s) - 2):
-                    grams[s[i:i + 3]] += n
-    yield pa.RecordBatch.from_pydict({"gram": pa.array(list(grams), pa.string()),
-                                      "n": pa.array(list(grams.values()), pa.int64())})
+        count = np.bincount(words.which, minlength=len(words.words))
+        cores = [plain(w) for w in words.words]
+        on = np.array([c.isalpha() for c in cores], bool)
+        cores = [c for c in cores if c.isalpha()]
+        points = np.frombuffer("".join(f"{END}{END}{c}{END}" for c in cores).encode("utf-32-le"), np.uint32)
+        code = np.where((points >= ord("a")) & (points <= ord("z")), points - ord("a"),
+                        np.where(points == ord(END), LETTERS.index(END), LETTERS.index(OTHER))).astype(np.int64)
+        length = np.array([len(c) for c in cores], np.int64)
+        at = ragged(np.cumsum(length + 3) - (length + 3), length + 1)
+        gram = (code[at] * size + code[at + 1]) * size + code[at + 2]
+        table += np.bincount(gram, np.repeat(count[on], length + 1), len(table)).astype(np.int64)
+    found = np.flatnonzero(table)
+    yield pa.RecordBatch.from_pydict({
+        "gram": pa.array([LETTERS[g // size ** 2] + LETTERS[g // size % size] + LETTERS[g % size]
+                          for g in found.tolist()], pa.string()),
+        "n": pa.array(table[found])})
 
 
 def _count_features(it):
     for part in _parts(it):
         words = TextWords(part.column("text"))
-        toxic = part.column("toxic").to_pylist()
         have: tuple[Counter, Counter] = (Counter(), Counter())
-        for i, label in enumerate(toxic):
-            own = set()
-            for k in set(words.which[words.at[i]:words.at[i + 1]].tolist()):
-                for w in simple_words(words.words[k]):
-                    own.update(features(w))
-            have[label].update(own)
+        own = [[f for w in simple_words(token) for f in features(w)] for token in words.words]
+        for i, label in enumerate(part.column("toxic").to_pylist()):
+            held = set(words.which[words.at[i]:words.at[i + 1]].tolist())
+            have[label].update(set().union(*(own[k] for k in held)))
         keys = list(have[0] | have[1])
         yield pa.RecordBatch.from_pydict({"feature": pa.array(keys, pa.string()),
                                           "clean": pa.array([have[0][k] for k in keys], pa.int64()),
@@ -242,6 +253,7 @@ class Model:
         self.weights = np.array([self.base, *[0.0] * TOP])
         telling = {w for w, (a, b) in counts.items() if not w.endswith("-") and self.odds(a, b) >= 2.0}
         self.decoder = Decoder(trigrams, telling)
+        self.scores = {f: self.odds(a, b) for f, (a, b) in counts.items()}
         self.cache: dict[str, float] = {}
 
     def odds(self, clean: int, toxic: int) -> float:
@@ -249,21 +261,22 @@ class Model:
         p = min(max(p, 1e-6), 1 - 1e-6)
         return max(0.0, math.log(p / (1 - p)) - self.base)
 
-    def word(self, word: str, label: int | None = None) -> float:
-        """The highest odds of a word's features, for a training document
-        without its own contribution."""
-        best = 0.0
-        for f in features(word):
-            c = self.counts.get(f)
-            if c:
-                best = max(best, self.odds(c[0] - (label == 0), c[1] - (label == 1)))
-        return best
-
-    def token(self, token: str, label: int | None = None) -> float:
+    def words_of(self, token: str) -> list[str]:
+        """The words of a token, with those of its likeliest reading if it looks disguised."""
         words = simple_words(token)
         if (odd := disguised(token)) is not None:
             words = words + self.decoder.restore(odd)
-        return max((self.word(w, label) for w in words), default=0.0)
+        return words
+
+    def best(self, words: list[str], label: int | None = None) -> float:
+        """The highest odds of the words' features, for a training document
+        without its own contribution."""
+        found = [f for w in words for f in features(w) if f in self.scores]
+        if not found:
+            return 0.0
+        if label is None:
+            return max(self.scores[f] for f in found)
+        return max(self.odds(self.counts[f][0] - (label == 0), self.counts[f][1] - (label == 1)) for f in found)
 
     def describe(self, texts: pa.Array, labels: list[int] | None = None) -> np.ndarray:
         """The highest scores among the distinct words of each text, ``TOP`` of them."""
@@ -277,18 +290,18 @@ class Model:
             for i, w in enumerate(words.words):
                 s = known.get(w)
                 if s is None:
-                    s = known[w] = self.token(w)
+                    s = known[w] = self.best(self.words_of(w))
                 score[i] = s
             value = score[words.which]
         else:
-            both = [np.array([self.token(w, y) for w in words.words]) for y in (0, 1)]
+            read = [self.words_of(w) for w in words.words]
+            both = [np.array([self.best(r, y) for r in read]) for y in (0, 1)]
             value = np.where(np.array(labels)[words.row] == 1, both[1][words.which], both[0][words.which]) \
                 if len(words.which) else np.zeros(0)
         row, which = words.row, words.which
         on = value > 0
         row, which, value = row[on], which[on], value[on]
-        extra = [(r, max((self.word(w, labels[r] if labels else None)
-                          for w in self.decoder.restore(s)), default=0.0), -1 - k)
+        extra = [(r, self.best(self.decoder.restore(s), labels[r] if labels else None), -1 - k)
                  for k, (r, s) in enumerate(words.spaced())]
         if extra:
             row = np.concatenate((row, [e[0] for e in extra]))
