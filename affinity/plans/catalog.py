@@ -576,7 +576,7 @@ DEGREE = 30
 WALK_P, WALK_Q = 5.0, 1.0
 WALK_SEED = 1
 FIRST_WALKS = 10
-NUM_WALKS, WALK_LENGTH = 3, 20
+NUM_WALKS, WALK_LENGTH = 10, 80
 
 
 def llr_graph_edges(spark, sf) -> DataFrame:

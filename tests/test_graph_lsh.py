@@ -61,6 +61,25 @@ def test_walk_properties(spark):
     assert again == {(r.walk, r.start): list(r.path) for r in rows}  # partition-independent
 
 
+def test_walks_shuffled_and_broadcast_are_equal_with_a_hub(spark):
+    # node 0 is a neighbour of every other node: a third of all edge ends or more
+    edges = spark.createDataFrame(
+        [(0, i, 1.0 + i / 100) for i in range(1, 60)] + [(i, i % 59 + 1, 0.5) for i in range(1, 60)],
+        "src long, dst long, weight double")
+    adj = H.build_graph(edges, degree=5)
+    found = [{(r.walk, r.start): list(r.path) for r in
+              H.random_walks(adj, 10, 80, 5.0, 1.0, 1, broadcast_bytes=size).collect()} for size in (64 << 20, 0)]
+    assert found[0] == found[1] and len(found[0]) == 600
+    # each step follows the transition table's distribution for its draw
+    table = {(r.prev, r.cur): r for r in H.transitions(adj, 5.0, 1.0).collect()}
+    draws = spark.range(1, 81).select(
+        "id", uniform(F.lit(1), F.lit(3), F.lit(7), F.col("id").cast("int")).alias("u")).collect()
+    path = found[0][(3, 7)]
+    for r in draws:
+        t = table[(path[r.id - 1], path[r.id])]
+        assert path[r.id + 1] == next(e.nxt for e in t.cum if e.hi >= r.u * t.tot)
+
+
 def test_walk_stops_at_sink(spark):
     adj = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0)], "src long, dst long, weight double")
     paths = {r.start: list(r.path) for r in H.random_walks(adj, 1, 5, seed=1, checkpoint_every=2).collect()}
