@@ -43,6 +43,8 @@ from .common import (KeyFilter, LocalCounts, WordHasher, bounded_batches, buffer
 
 #: Rounds in which rows meet only the first row of each column.
 PIVOT_ROUNDS = 2
+#: Shingles of verified sets that a task keeps from one slice of pairs to the next.
+HELD_SHINGLES = 1 << 21
 
 
 def signature(grams: np.ndarray) -> bytes | None:
@@ -136,8 +138,6 @@ def _verify(n, num, den):
                     new[s] = t
             if new:
                 at, data = buffers(pa.array(list(new.values()), pa.large_string()))
-                if sum(map(len, known.values())) > 1 << 21:
-                    known.clear()
                 for lo, hi in row_ranges(at):
                     h, row, _, _ = hasher(data, at[lo:hi + 1])
                     known.update(zip(list(new)[lo:hi], shingle_sets(h, row, hi - lo, n), strict=True))
@@ -146,13 +146,13 @@ def _verify(n, num, den):
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 x, y = part.column("x").to_pylist(), part.column("y").to_pylist()
+                if sum(map(len, known.values())) > HELD_SHINGLES:  # all go but those of this slice
+                    known = {s: known[s] for s in {*x, *y} & known.keys()}
                 sets_of(x, part.column("x_text").to_pylist())
-                held = dict(known)
                 sets_of(y, part.column("y_text").to_pylist())
-                held |= known
                 good = []
                 for a, b in zip(x, y, strict=True):
-                    p, q = held[a], held[b]
+                    p, q = known[a], known[b]
                     both = len(np.intersect1d(p, q, assume_unique=True))
                     good.append(den * both >= num * (len(p) + len(q) - both))
                 yield pa.RecordBatch.from_pydict({"x": part.column("x"), "y": part.column("y"),

@@ -180,6 +180,22 @@ def test_ngram_join(docs, n, num, den, rounds):
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == brute_components(n, num, den)
 
 
+def test_verified_sets_outlive_a_full_cache(monkeypatch):
+    """A slice that mixes cached and new sets, when the cache is over its limit."""
+    monkeypatch.setattr(ngram_join, "HELD_SHINGLES", 3, raising=False)
+    text = {c: " ".join(f"{c}{i}" for i in range(40)) for c in "abcd"}
+    text["e"] = text["a"] + " end"
+
+    def batch(*pairs):
+        return pa.RecordBatch.from_pydict({
+            "x": pa.array([x.encode() for x, _ in pairs]), "y": pa.array([y.encode() for _, y in pairs]),
+            "x_text": [text[x] for x, _ in pairs], "y_text": [text[y] for _, y in pairs]})
+
+    batches = [batch(("a", "b")), batch(("a", "e"), ("c", "b")), batch(("c", "a"), ("d", "d"), ("e", "a"))]
+    got = [x for part in ngram_join._verify(5, 4, 5)(iter(batches)) for x in part.column("linked").to_pylist()]
+    assert got == [False, True, False, False, True, True]
+
+
 def test_one_of_each(docs, none, odd):
     kept = ngram_join.one_of_each(docs, n=5, num=4, den=5)
     assert kept.columns == docs.columns
