@@ -10,7 +10,10 @@ and headings of their own.
 Left out wherever they are: scripts, styles, forms and their controls, menus,
 footers, sidebars, page headers, dialogs, hidden elements, and elements whose
 class, id or role says that they are one of these, an advert, a notice or reader
-comments; and lists, tables and boxes that mostly are links.
+comments; and lists, tables and boxes that mostly are links. They end where HTML ends
+them, also without an end tag. A name only says so if no has, no or with goes before
+it. The scores decide on a block whose other names are of a main text, and on one that
+holds most of the running text and an article, main or h1 where none stands elsewhere.
 
 A block is a run of text and inline elements between block tags. Character
 references are decoded, white space (with line breaks) becomes one space, blocks
@@ -46,6 +49,10 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 #: A tag of a group ends an open element of the group.
 ENDED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
             "th": ("td", "th"), "option": ("option",)}
+ENDED_BY |= dict.fromkeys(("tbody", "thead", "tfoot"), ("tbody", "thead", "tfoot", "caption", "tr", "td", "th"))
+#: Elements that only tags of a table end from within.
+CELLS = frozenset("table caption td th".split())
+TABLE_TAGS = frozenset("table caption thead tbody tfoot tr td th".split())
 #: Where the search for an element to end stops.
 LIMITS = frozenset("ul ol dl table body html article section main div".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -53,8 +60,9 @@ PARAGRAPHS = frozenset("p pre blockquote li td dd div section article main body"
 BOXES = frozenset("ul ol dl table div section".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
 
-#: Words of class and id names. Elements named by the first kind are left out; those
-#: of the second kind too, unless a word of the third kind stands beside it.
+#: Words of class and id names. Elements named by the first kind are left out (or
+#: doubtful, see ``unwanted``); those of the second kind too, unless a word of the third
+#: kind stands beside it.
 NEVER = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion comment "
                   "comments disqus replies respond cookie cookies consent gdpr popup modal overlay newsletter subscribe "
                   "signup login breadcrumb breadcrumbs pagination pager sidebar sidebars footer nav navbar navigation "
@@ -67,42 +75,59 @@ TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)"
                  r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|[^>]*(?:>|\Z))", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: What a word says after one of these is a trait of the element, not its kind.
+TRAIT = frozenset("has no not with without".split())
+#: What ``unwanted`` says: left out unless it holds the main text; the scores decide.
+UNLESS_MAIN, BY_SCORE = 2, 3
+MAIN_TAGS = frozenset("article main h1".split())
 
 
-def unwanted(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is left out with all that it holds."""
+def unwanted(tag: str, attributes: str, in_article: bool) -> int:
+    """Whether an element is left out with all that it holds: 0, 1 or a doubtful case."""
     if tag in DROPPED or tag == "header" and not in_article:
-        return True
+        return 1
     if not attributes or tag in ("html", "body"):
-        return False
+        return 0
     words: set[str] = set()
+    beside = False  # a name of words of a main text only
     for name, a, b, c, bare in ATTRIBUTE.findall(attributes):
         value = a or b or c
         name = name.lower()
         if bare or name == "hidden":
-            return True
+            return 1
         if name == "role" and value.lower() in ROLES or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return 1
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return 1
         if name in ("class", "id"):
-            words.update(w.lower() for w in NAME_WORD.findall(value))
+            for one in value.split():
+                own = [w.lower() for w in NAME_WORD.findall(one)]
+                own = own[:next((i for i, w in enumerate(own) if w in TRAIT), len(own))]
+                words.update(own)
+                beside = beside or not GOOD.isdisjoint(own) and NEVER.isdisjoint(own) and SELDOM.isdisjoint(own)
     if tag in ("article", "main"):
-        return bool(words & {"comment", "comments", "ad", "ads", "advert"})
-    return bool(words & NEVER) or bool(words & SELDOM) and not words & GOOD
+        return int(bool(words & {"comment", "comments", "ad", "ads", "advert"}))
+    if words & NEVER:
+        return BY_SCORE if beside else UNLESS_MAIN
+    return UNLESS_MAIN if words & SELDOM and not words & GOOD else 0
 
 
 class Element:
-    __slots__ = ("tag", "parent", "points", "chars", "linked", "good", "order")
+    __slots__ = ("tag", "parent", "points", "chars", "linked", "good", "order", "doubt")
 
     def __init__(self, tag: str, parent: "Element | None", good: bool, order: int):
         self.tag, self.parent, self.good, self.order = tag, parent, good, order
-        self.points, self.chars, self.linked = 0.0, 0, 0
+        self.points, self.chars, self.linked, self.doubt = 0.0, 0, 0, False
 
     def link_share(self) -> float:
         return self.linked / self.chars if self.chars else 0.0
 
 
+def block_points(text: str, in_links: int) -> float:
+    commas = sum(text.count(c) for c in ",،、，")
+    return (1 + commas + min(len(text) / 100, 3.0)) * (1 - in_links / len(text))
+
+
 class Page:
     """The elements and blocks of one page."""
 
@@ -111,14 +136,14 @@ class Page:
         self.blocks: list[tuple[Element, str, int]] = []  # (element, text, characters in links)
         self.elements = [self.root]
         self._read(source)
+        self._leave_out()
         self._score()
 
     def _read(self, source: str) -> None:
         stack = [self.root]
         text: list[str] = []
-        linked = depth = link_chars = 0  # depth: of the element that is left out, if any
-        left_out: list[str] = []
-        articles = 0
+        linked = link_chars = articles = 0
+        left_out = 0  # place in the stack of the element that is left out, if any
 
         def flush() -> None:
             nonlocal link_chars
@@ -129,7 +154,14 @@ class Page:
             link_chars = 0
 
         def close(upto: int) -> None:
-            nonlocal articles
+            nonlocal articles, left_out
+            if left_out:
+                inside = upto > left_out or upto == left_out and stack[upto].tag in INLINE  # the line goes on
+                del stack[max(upto, left_out):]
+                if upto <= left_out:
+                    left_out = 0
+                if inside:
+                    return
             flush()
             for e in stack[upto:]:
                 articles -= e.tag in ("article", "main")
@@ -139,6 +171,8 @@ class Page:
         while at < end:
             found = TAG.search(source, at)
             stop = found.start() if found else end
+            if left_out and stack[left_out].tag == "head" and source[at:stop].strip():
+                close(left_out)
             if stop > at and not left_out:
                 piece = source[at:stop]
                 text.append(piece)
@@ -158,58 +192,104 @@ class Page:
                     over = re.compile(rf"</{re.escape(tag)}\s*>?", re.I).search(source, at)
                     at = over.end() if over else end
                 continue
-            if left_out:
-                if tag == left_out[0] and not empty:
-                    depth += -1 if closing else 1
-                    if not depth:
-                        left_out.clear()
-                elif not closing and tag == "body" and left_out[0] == "head":
-                    left_out.clear()
-                    depth = 0
-                continue
+            if left_out and stack[left_out].tag == "head" and not closing and tag != "html" and tag not in VOID:
+                close(left_out)
             if tag == "br":
-                text.append(" ")
+                if not left_out:
+                    text.append(" ")
                 continue
             if tag in INLINE:
+                if left_out:  # of those inside only the namesakes count
+                    if tag == stack[left_out].tag and closing:
+                        close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
+                    elif tag == stack[left_out].tag and not empty:
+                        stack.append(Element(tag, stack[-1], False, -1))
+                    continue
                 if tag == "a":
                     linked = 0 if closing else 1
                 if not closing and not empty and tag != "a" and unwanted(tag, attributes[:-1], True):
-                    left_out[:], depth = [tag], 1
+                    left_out = len(stack)
+                    stack.append(Element(tag, stack[-1], False, -1))
                 continue
             if tag in ("html", "body"):
-                flush()
+                if not left_out:
+                    flush()
                 continue
             if closing:
-                where = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-                if where:
-                    close(where)
-                else:
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag == tag:
+                        close(i)
+                        break
+                    if i >= left_out > 0 and stack[i].tag in CELLS and tag not in TABLE_TAGS:
+                        break
+                if not left_out:
                     flush()
-                linked = 0
+                    linked = 0
                 continue
             # an opening block tag ends an open paragraph and its like
-            linked = 0
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in ENDED_BY.get(tag, ()) or stack[i].tag == "p" and tag in CLOSES_P \
                         or stack[i].tag in HEADINGS and tag in HEADINGS:
                     close(i)
+                    if tag not in ("tr", "tbody", "thead", "tfoot"):  # these end a cell and its row
+                        break
+                elif stack[i].tag in LIMITS or stack[i].tag in DROPPED:
                     break
-                if stack[i].tag in LIMITS:
-                    break
+            if left_out:
+                if not empty:
+                    stack.append(Element(tag, stack[-1], False, -1))
+                continue
+            linked = 0
             flush()
             if empty:
                 continue
-            if unwanted(tag, attributes[:-1], articles > 0):
-                left_out[:], depth = [tag], 1
+            doubt = unwanted(tag, attributes[:-1], articles > 0)
+            if doubt == 1:
+                left_out = len(stack)
+                stack.append(Element(tag, stack[-1], False, -1))
                 continue
             words = {w.lower() for _, a, b, c, _ in ATTRIBUTE.findall(attributes) for w in NAME_WORD.findall(a or b or c)} \
                 if len(attributes) > 1 else set()
             element = Element(tag, stack[-1], tag in ("article", "main") or bool(words & GOOD), len(self.elements))
+            element.doubt = doubt == UNLESS_MAIN
             articles += tag in ("article", "main")
             self.elements.append(element)
             stack.append(element)
+        if left_out:
+            del stack[left_out:]
         flush()
 
+    def _leave_out(self) -> None:
+        """Takes the doubtful elements that don't hold the main text off the page."""
+        if not any(e.doubt for e in self.elements):
+            return
+
+        def doubts(e: Element | None):
+            while e is not None:
+                if e.doubt:
+                    yield e
+                e = e.parent
+
+        weight: dict[Element, float] = {}
+        total = 0.0
+        for element, text, in_links in self.blocks:
+            if element.tag in PARAGRAPHS:
+                points = block_points(text, in_links)
+                total += points
+                for e in doubts(element):
+                    weight[e] = weight.get(e, 0.0) + points
+        # elements of a main text by the nearest doubtful element around them
+        holders = {next(doubts(e), None) for e in self.elements if e.tag in MAIN_TAGS}
+        if None not in holders:
+            for e in {d for h in holders for d in doubts(h)}:
+                e.doubt = 2 * weight.get(e, 0.0) <= total
+        out: set[int] = set()
+        for e in self.elements:
+            if e.doubt or e.parent is not None and e.parent.order in out:
+                out.add(e.order)
+        self.blocks = [b for b in self.blocks if b[0].order not in out]
+        self.elements = [e for e in self.elements if e.order not in out]
+
     def _score(self) -> None:
         for element, text, in_links in self.blocks:
             e: Element | None = element
@@ -220,8 +300,7 @@ class Page:
         for element, text, in_links in self.blocks:
             if element.tag not in PARAGRAPHS:
                 continue
-            commas = sum(text.count(c) for c in ",،、，")
-            points = (1 + commas + min(len(text) / 100, 3.0)) * (1 - in_links / len(text))
+            points = block_points(text, in_links)
             holder = element if element.tag in ("div", "section", "article", "main", "body", "html") else element.parent
             share = 1.0
             while holder is not None:

@@ -317,6 +317,30 @@ def test_html():
     assert html_extract.main_text("<div>a<div>b</div>c") == "a\nb\nc"
 
 
+@pytest.mark.parametrize("page,want", [
+    ("<ul><li class=share>Share<li>More</ul><p>Article, text", "More\nArticle, text"),
+    ("<p class=ad>Buy<p>Article, text", "Article, text"),
+    ("<p class=ad>Buy<hr>Article, text", "Article, text"),
+    ("<div><p class=ad>Buy</div><p>Article, text</p>", "Article, text"),
+    ("<dl><dt class=ad>Buy<dd>Article, text</dl>", "Article, text"),
+    ("<table><tr class=ad><td>Buy<tr><td>Article, text</table>", "Article, text"),
+    ("<table><tr><td class=ad>Buy<td>Article, text</table>", "Article, text"),
+    ("<div><form><p>Name</div><p>Article, text", "Article, text"),
+    ("<p>One, <span class=ad>Buy <span>now</span> or</span> two.</p>", "One, two."),
+    ("<p>One, <span class=ad>Buy<p>Article, text", "One,\nArticle, text"),
+    ("<head><title>T</title><meta a=b><p>Article, text", "Article, text"),
+    ("<div class='content has-sidebar'><p>Article, text</div>", "Article, text"),
+    ("<div class='post no-comments'><p>Article, text</div>", "Article, text"),
+    ("<div class='main with-menu'><p>Article, text</div>", "Article, text"),
+    ("<div class='content sidebar'><p>Article, text</div>", "Article, text"),
+    ("<div class=sidebar-layout><h1>Title</h1><p>Article, text</p><div class=share><p>Share</div></div><p>End", "Title\nArticle, text\nEnd"),
+    ("<article><p>Article, text</article><section id=comments><article>" + "<p>Nice, very, nice" * 9 + "</section>", "Article, text"),
+    ("<div><p>Article, text</p><div class=main-menu><p>Home, page</div><aside><p>a, b</aside></div>", "Article, text"),
+])
+def test_html_ends_and_names(page, want):
+    assert html_extract.main_text(page) == want
+
+
 def test_html_table(spark):
     rows = [(1, None, "<p>a, b", "x"), (1, "u", "<p>a, b", None), (None, "v", None, "y"), (3, "w", "<p>" + "word, " * 50000, "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
