@@ -691,7 +691,7 @@ def q_w2v_vectors(spark, sf):
     """Skip-gram vectors of every walked node, labelled through
     the node dictionary. Word2Vec is iterative SGD: rows-only check."""
     corpus = H.walk_tokens(llr_walks(spark, sf))
-    model = M.fit_embeddings(corpus, dim=16, window=5, iters=1, partitions=1, seed=WALK_SEED)
+    model = M.fit_embeddings(corpus, seed=WALK_SEED)  # the original system's settings
     vecs = M.vectors(model)
     names = vecs.select(F.col("id"), F.concat(F.lit("c"), F.col("token")).alias("name"))
     labelled = H.decode_vectors(vecs.select("id", "vec"), names)
