@@ -11,7 +11,8 @@ import os
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, html_extract, license_scan, line_dedup, ngram_join, suffix_dedup, toxicity
+from . import (decontaminate, exact_dedup, fingerprints, html_extract, license_scan, line_dedup, ngram_join, suffix_dedup,
+               target_sampling, toxicity, whitening)
 from .bpe import encode_decode
 from .common import read_table
 from .token_counts import count_tokens
@@ -81,8 +82,25 @@ def op10_toxicity(spark, sf):
                          (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op11_exact_dedup(spark, sf):
+    """Groups of equal texts and the row of each that stays."""
+    return exact_dedup.mark_copies(read_table(spark, sf, "documents"))
+
+
+def op12_target_resampling(spark, sf):
+    """Scores of every document for a draw that resembles the benchmark texts."""
+    out = target_sampling.importance_resample(read_table(spark, sf, "documents"), read_table(spark, sf, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_embedding_whitening(spark, sf):
+    """Whitened values of every embedding along its first four components."""
+    return whitening.whiten(read_table(spark, sf, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_array_dedup, op2_license_scans, op3_document_fingerprints, op4_ngram_jaccard_join, op5_benchmark_decontamination,
-    op6_token_counts, op7_line_dedup, op8_html_extraction, op9_bpe_encoding_decoding, op10_toxicity)}
+    op6_token_counts, op7_line_dedup, op8_html_extraction, op9_bpe_encoding_decoding, op10_toxicity, op11_exact_dedup,
+    op12_target_resampling, op13_embedding_whitening)}
 
-ORACLES = {"op2_license_scans": license_scan.oracle()}
+ORACLES = {"op2_license_scans": license_scan.oracle(), "op11_exact_dedup": exact_dedup.oracle()}
