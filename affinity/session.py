@@ -109,3 +109,27 @@ def ship_code() -> None:
         cloudpickle.register_pickle_by_value(pkg)
     except ValueError:
         pass  # already registered
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the executors of the session (once), so that Python
+    workers can import it wherever they run; modules stay modules there, with one
+    copy of their tables in a worker."""
+    import sys
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_affinity_shipped", False):
+        return
+    pkg = sys.modules[__name__.rsplit(".", 1)[0]]
+    root = os.path.dirname(os.path.abspath(pkg.__file__))
+    if os.path.isdir(root):  # not where the package itself came as an archive
+        # the driver serves the archive itself; executors fetch it from there
+        archive = os.path.join(tempfile.mkdtemp(prefix="affinity-code-"), f"{pkg.__name__}.zip")
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+            for folder, _, names in os.walk(root):
+                for name in sorted(n for n in names if n.endswith(".py")):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.join(pkg.__name__, os.path.relpath(path, root)))
+        sc.addPyFile(archive)
+    sc._affinity_shipped = True

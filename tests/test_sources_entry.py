@@ -82,3 +82,14 @@ def test_catalogue_queries_against_duckdb(spark, name):
     norm = lambda df: sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in row)
                              for row in df[cols].itertuples(index=False))
     assert norm(got) == norm(want)
+
+
+def test_entry_without_tokenizer_package():
+    """The catalogue is there where what the corpus operators import isn't."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = ("import sys, warnings; warnings.simplefilter('ignore'); sys.modules['public_tokenizers'] = None; sys.path.insert(0, sys.argv[1])\n"
+            "import __spark_entry__ as e; assert 'q_llr_user' in e.queries() and not any(n.startswith('op') for n in e.queries())")
+    subprocess.run([sys.executable, "-c", code, str(Path(__file__).parents[1])], check=True, cwd="/")
