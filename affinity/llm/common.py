@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, table_path
+from ..session import cut_lineage, ship_package, table_path
 
 #: Bytes of text that a task hashes at once.
 CHUNK_BYTES = 2 << 20
@@ -37,7 +37,9 @@ ARROW_BATCH = 4 << 20
 
 def bounded_batches(spark: SparkSession) -> SparkSession:
     """Balance Arrow batches by bytes, so that their memory doesn't follow the
-    length of texts; a setting that the session has is left alone."""
+    length of texts; a setting that the session has is left alone. Workers get the
+    package, as every operator comes through here or ``tidy``."""
+    ship_package(spark)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key, None) is None:
         spark.conf.set(key, str(ARROW_BATCH))
@@ -47,6 +49,8 @@ def bounded_batches(spark: SparkSession) -> SparkSession:
 def tidy(run):
     """An Arrow function that gives freed memory back when its task ends: workers
     are kept for later tasks, beside which their old heap would count."""
+    ship_package(SparkSession.active())
+
     def wrapped(it):
         yield from run(it)
         gc.collect()
