@@ -22,15 +22,6 @@ def uniform(*parts) -> Column:
     return (h + F.lit(0.5)) / F.lit(TWO_POW_32)
 
 
-def bias_weight(weight, nxt, prev, prev_has_nxt, p: float, q: float) -> Column:
-    """node2vec second-order bias, in this priority: return to prev -> w/p,
-    neighbour of prev -> w, otherwise -> w/q."""
-    w, nxt, prev = (F.col(c) if isinstance(c, str) else c for c in (weight, nxt, prev))
-    return (F.when(nxt == prev, w / F.lit(float(p)))
-            .when(prev_has_nxt, w)
-            .otherwise(w / F.lit(float(q))))
-
-
 def weighted_pick(cum: Column, total: Column, u: Column) -> Column:
     """Inverse-CDF pick: the first entry whose running sum reaches u * total."""
     target = u * total
@@ -49,17 +40,3 @@ def running_sums(entries: Column, value: str) -> Column:
     sums = F.aggregate(entries, start, add, lambda state: state["sums"])
     return F.zip_with(entries, sums, lambda e, hi: F.struct(
         e["nxt"].alias("nxt"), e[value].alias(value), hi.alias("hi")))
-
-
-def pick_entry(entries: Column, value: str, u: Column) -> Column:
-    """``weighted_pick`` over entries (nxt, ...) without the array of running
-    sums: the total first, then the first entry whose running sum reaches u * total."""
-    total = F.aggregate(entries, F.lit(0.0), lambda s, e: s + e[value])
-    start = F.struct(F.lit(0.0).alias("sum"), (u * total).alias("target"), F.lit(None).cast("bigint").alias("nxt"))
-
-    def add(state, e):
-        hi = state["sum"] + e[value]
-        hit = F.when(hi >= state["target"], e["nxt"])
-        return F.struct(hi.alias("sum"), state["target"].alias("target"), F.coalesce(state["nxt"], hit).alias("nxt"))
-
-    return F.coalesce(F.aggregate(entries, start, add, lambda state: state["nxt"]), F.element_at(entries, -1)["nxt"])

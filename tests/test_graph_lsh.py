@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from affinity.functions.draws import uniform
 from affinity.operators import graph as H
 from affinity.operators.lsh import LSH
+from affinity.session import cut_lineage
 
 
 def test_md5_draw_fixture(spark):
@@ -144,3 +145,46 @@ def test_lsh_query_allows_self_matches(spark):
     res = LSH("cosine", 2, signature=1, seed=1).query(df, df, 1).collect()
     assert {(r.id, r.nbr) for r in res} <= {(1, 1), (2, 2), (1, 2), (2, 1)}
     assert all(r.dist == 0.0 for r in res if r.id == r.nbr)
+
+
+def test_running_sums_and_picks_of_ragged_rows(monkeypatch):
+    from affinity.operators import steps
+    rng = np.random.default_rng(2)
+    monkeypatch.setattr(steps, "CELLS", 40)
+    lengths = rng.integers(0, 12, 50)
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    values = rng.random(offsets[-1])
+    u = rng.random(50)
+    sums, totals = steps.running_sums(offsets, values)
+    places = steps.pick(offsets, values, u)
+    for r in range(50):
+        own = values[offsets[r]:offsets[r + 1]]
+        want, total = [], 0.0
+        for v in own:
+            total += v
+            want.append(total)
+        assert sums[offsets[r]:offsets[r + 1]].tolist() == want and totals[r] == total
+        assert places[r] == (offsets[r] + next(i for i, h in enumerate(want) if h >= u[r] * total) if len(own) else -1)
+
+
+def test_bucketed_steps_shuffle_only_the_frontier(spark):
+    """A step beyond the held size has no exchange over the adjacency, and walkers of a hub are split."""
+    n = 400
+    edges = spark.createDataFrame([(0, i, 1.0) for i in range(1, n)] + [(i, i % (n - 1) + 1, 0.3) for i in range(1, n)],
+                                  "src long, dst long, weight double")
+    rows = H.adjacency_rows(H.build_graph(edges, degree=4))
+    way = H.BucketedSteps(rows, 1, 1.0, 1.0)
+    try:
+        assert {r.hub for r in way.hubs.collect()} >= {0} and way.hubs.count() <= 2 * way.buckets
+        frontier = cut_lineage(rows.filter("src > 0").select(
+            F.lit(0).alias("walk"), F.col("src").alias("start"), F.col("src").alias("prev"), F.lit(0).cast("long").alias("cur"),
+            F.col("nbrs.nxt").alias("ids")).withColumn("seg", F.array().cast("array<long>")))
+        step = way.step(frontier, F.lit(0.5))
+        plan = step._jdf.queryExecution().executedPlan().toString()
+        assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning(cur") == plan.count("Exchange hashpartitioning") == 1
+        moved = spark.table(way.name)
+        assert moved.filter("src = 0").count() == way.hubs.filter("hub = 0").first().salts > 1
+        assert all(r.cur is not None for r in step.collect())
+    finally:
+        way.close()
+    assert not spark.catalog.tableExists(way.name)
