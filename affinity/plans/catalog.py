@@ -579,20 +579,35 @@ FIRST_WALKS = 10
 NUM_WALKS, WALK_LENGTH = 10, 80
 
 
-def llr_graph_edges(spark, sf) -> DataFrame:
-    """S3/U4: the user-user LLR similarities written as ``(a,b,w)`` text,
-    parsed back as an undirected weighted edge list, de-duplicated."""
+def write_llr_triplets(spark, sf) -> str:
+    """K1: the user-user LLR similarities as ``(a,b,w)`` lines, each unordered pair once;
+    the path of this hand-off file."""
     from ..session import scratch_path
     sims = L.llr_similarity(T.purchases(spark, sf), variant="default", threshold=0.6)
     path = scratch_path(spark, "llr-triplets")
-    Z.write_text(Z.format_triplets(sims), path)  # K1 sink: the stage hand-off file
-    edges = X.parse_triplets(X.read_lines(spark, path))
-    return H.expand_edges(edges).groupBy("src", "dst").agg(F.max("weight").alias("weight"))
+    Z.write_text(Z.format_triplets(sims.filter("a <= b")), path)
+    return path
+
+
+def read_llr_edges(spark, path: str) -> DataFrame:
+    """S3/U4: the triplets parsed back, every pair in both directions, self pairs once."""
+    return H.expand_edges(X.parse_triplets(X.read_lines(spark, path)), unique=True)
+
+
+def llr_graph_edges(spark, sf) -> DataFrame:
+    """The undirected weighted edge list by way of the hand-off file, which stays, as it
+    is read when the result is."""
+    return read_llr_edges(spark, write_llr_triplets(spark, sf))
 
 
 def llr_adjacency(spark, sf) -> DataFrame:
-    from ..session import cut_lineage
-    return cut_lineage(H.build_graph(llr_graph_edges(spark, sf), directed=True, degree=DEGREE))
+    """The capped adjacency, checkpointed; the hand-off file goes."""
+    from ..session import cut_lineage, remove_path
+    path = write_llr_triplets(spark, sf)
+    try:
+        return cut_lineage(H.build_graph(read_llr_edges(spark, path), directed=True, degree=DEGREE, unique=True))
+    finally:
+        remove_path(spark, path)
 
 
 _GRAPH_BASE = f"""{Q.llr_ctes(Q.B_INT)},

@@ -97,6 +97,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/affinity-{uuid.uuid4().hex}/{name}"
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a ``scratch_path`` of this package with its folder, whatever file system it is on."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def ship_code() -> None:
     """Let Python workers run this package's functions without installing it:
     functions from ``affinity`` are pickled by value (PySpark's cloudpickle),
