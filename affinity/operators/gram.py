@@ -10,10 +10,18 @@ with the user, is predicted 0.0, so every test pair counts in every error.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .llr import block_sides, item_blocks
+from .numbering import number_rows
+
+#: Matches of ratings that a tile expands at once.
+MATCHES = 1 << 21
+
 
 def gram_similarity(ratings: DataFrame, include_self: bool = True) -> DataFrame:
     """(a, b, g) for every pair of users sharing an item."""
@@ -29,44 +37,122 @@ def gram_similarity(ratings: DataFrame, include_self: bool = True) -> DataFrame:
     return half.select(F.explode(both).alias("_p"), "g").select("_p.a", "_p.b", "g")
 
 
-def ranked_raters(test: DataFrame, train: DataFrame, gram: DataFrame) -> DataFrame:
-    """For each test (user, item), the item's raters that share an
-    item with the user, ranked by g descending, rater id ascending: (user, item, rating, nbr, g, r, rnk)."""
-    raters = train.select(F.col("user").alias("nbr"), "item", F.col("rating").alias("r"))
-    g = gram.select(F.col("a").alias("user"), F.col("b").alias("nbr"), "g")
-    cand = (test.select("user", "item", "rating")
-            .join(raters, "item")
-            .join(g, ["user", "nbr"]))
+def _spans(item: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first place, number) of each item in the sorted ``items``."""
+    lo = np.searchsorted(items, item, "left")
+    return lo, np.searchsorted(items, item, "right") - lo
+
+
+def _expanded(lo: np.ndarray, count: np.ndarray):
+    """(entries, places) of all matches, for runs of entries with a bounded number of them."""
+    ends, i = np.cumsum(count), 0
+    while i < len(count):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + MATCHES, "right")))
+        n = count[i:j]
+        rows = np.repeat(np.arange(i, j), n)
+        yield rows, np.arange(len(rows)) + np.repeat(lo[i:j] - (np.cumsum(n) - n), n)
+        i = j
+
+
+def _best_raters(most: int):
+    """A tile: (ratings and questions of one block of users, ratings of one block of
+    raters) -> the ``most`` raters of each question with the largest g."""
+    def run(own: pa.Table, raters: pa.Table) -> pa.Table:
+        users, a = np.unique(np.asarray(own["user"]), return_inverse=True)
+        nbrs, b = np.unique(np.asarray(raters["nbr"]), return_inverse=True)
+        order = np.argsort(np.asarray(raters["of"]), kind="stable")
+        items, b, rating = np.asarray(raters["of"])[order], b[order], np.asarray(raters["given"])[order]
+        item, asked, mine = np.asarray(own["item"]), np.asarray(own["asked"]), np.asarray(own["r"])
+        lo, count = _spans(item, items)
+        g, shared = np.zeros(len(users) * len(nbrs)), np.zeros(len(users) * len(nbrs), np.int64)
+        has = np.flatnonzero(~asked)
+        for rows, places in _expanded(lo[has], count[has]):
+            cell = a[has][rows] * len(nbrs) + b[places]
+            g += np.bincount(cell, mine[has][rows] * rating[places], len(g))
+            shared += np.bincount(cell, minlength=len(g))
+        out = {"user": [], "item": [], "nbr": [], "g": [], "r": []}
+        asks = np.flatnonzero(asked)
+        for rows, places in _expanded(lo[asks], count[asks]):
+            cell = a[asks][rows] * len(nbrs) + b[places]
+            found = np.flatnonzero(shared[cell] > 0)
+            rows, places, cell = rows[found], places[found], cell[found]
+            best = np.lexsort((nbrs[b[places]], -g[cell], rows))
+            rows, places, cell = rows[best], places[best], cell[best]
+            first = np.flatnonzero(np.diff(rows, prepend=-1))
+            rank = np.arange(len(rows)) - np.repeat(first, np.diff(np.append(first, len(rows))))
+            rows, places, cell = (x[rank < most] for x in (rows, places, cell))
+            for name, values in zip(out, (users[a[asks][rows]], item[asks][rows], nbrs[b[places]], g[cell], rating[places]), strict=True):
+                out[name].append(values)
+        kinds = (np.int64, np.int64, np.int64, np.float64, np.float64)
+        return pa.table({name: np.concatenate([np.zeros(0, kind), *parts]) for (name, parts), kind in zip(out.items(), kinds, strict=True)})
+    return run
+
+
+def ranked_raters(test: DataFrame, train: DataFrame, most: int, block_users: int = 1024) -> DataFrame:
+    """For each test (user, item), the item's ``most`` best raters that share an
+    item with the user, by g descending, rater id ascending: (user, item, nbr, g, r, rnk).
+
+    A masked sparse product: only test users are rows, only ratings of items that a block
+    of them has rated or asks for are sent to the block, and g is summed up in tiles of
+    ``block_users`` users by as many raters. No row stands for a test pair and a rater
+    before the tile's ranking; a tile gives ``most`` rows for a test pair at most."""
+    ship_package(train.sparkSession)
+    asked = test.select(F.col("user").cast("long"), F.col("item").cast("long")).distinct()
+    rated = train.select(F.col("user").cast("long"), F.col("item").cast("long"), F.col("rating").cast("double").alias("r"))
+    users = asked.select("user").distinct()
+    # two counts of distinct users set the number of tiles
+    rows, columns = (max(1, -(-d.select("user").distinct().count() // block_users)) for d in (users, rated))
+    own = (rated.join(users, "user", "left_semi").withColumn("asked", F.lit(False))
+           .unionByName(asked.withColumn("r", F.lit(0.0)).withColumn("asked", F.lit(True)))
+           .withColumn("i", F.pmod(F.xxhash64("user"), F.lit(rows))))
+    left = own.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(columns - 1)).cast("array<long>")))
+    right = (rated.withColumnRenamed("user", "nbr").withColumn("j", F.pmod(F.xxhash64("nbr"), F.lit(columns)))
+             .join(own.select("item", "i").distinct(), "item")             .select("nbr", "item", "r", "i", "j").toDF("nbr", "of", "given", "row", "column"))
+    found = left.groupBy("i", "j").cogroup(right.groupBy("row", "column")).applyInArrow(
+        _best_raters(most), "user long, item long, nbr long, g double, r double")
     w = Window.partitionBy("user", "item").orderBy(F.col("g").desc(), F.col("nbr").asc())
-    return cand.withColumn("rnk", F.row_number().over(w))
+    return found.withColumn("rnk", F.row_number().over(w)).filter(F.col("rnk") <= most)
 
 
-def gram_predict(test: DataFrame, train: DataFrame, gram: DataFrame, n: int = 10,
-                 digits: int | None = 6) -> DataFrame:
+def gram_predict(test: DataFrame, train: DataFrame, n: int = 10, digits: int | None = 6) -> DataFrame:
     """Weighted rating over the top-n raters: sum(g r) / sum(g), 0.0 where there are none."""
-    one = gram_predict_by_k(test, train, gram, [n], digits)
-    return one.drop("k")
+    return gram_predict_by_k(test, train, [n], digits).drop("k")
 
 
-def gram_predict_by_k(test: DataFrame, train: DataFrame, gram: DataFrame, ks: list[int],
-                      digits: int | None = 6) -> DataFrame:
+def gram_predict_by_k(test: DataFrame, train: DataFrame, ks: list[int], digits: int | None = 6) -> DataFrame:
     """A22 helper: rank once, then predictions for every neighbourhood size k
     (the k list is a literal array exploded per candidate row and per test row;
     each k has as many predictions as there are test rows)."""
-    ranked = ranked_raters(test, train, gram).filter(F.col("rnk") <= max(ks))
-    per_k = (ranked.withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in ks])))
-             .filter(F.col("rnk") <= F.col("k")))
-    agg = per_k.groupBy("k", "user", "item", "rating").agg(
-        (F.sum(F.col("g") * F.col("r")) / F.sum("g")).alias("p"))
-    every = test.select("user", "item", "rating").withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in ks])))
+    ranked = ranked_raters(test, train, max(ks))
+    sizes = F.explode(F.array(*[F.lit(int(k)) for k in ks]))
+    per_k = ranked.withColumn("k", sizes).filter(F.col("rnk") <= F.col("k"))
+    agg = per_k.groupBy("k", "user", "item").agg((F.sum(F.col("g") * F.col("r")) / F.sum("g")).alias("p"))
+    every = test.select("user", "item", "rating").withColumn("k", sizes)
     pred = F.coalesce("p", F.lit(0.0))
     if digits is not None:
         pred = F.round(pred, digits)
-    return (every.join(agg, ["k", "user", "item", "rating"], "left")
+    return (every.join(agg, ["k", "user", "item"], "left")
             .select("k", "user", "item", "rating", pred.alias("predicted")))
 
 
-def pivot_matrix(ratings: DataFrame, items: list) -> DataFrame:
-    """Dense user x item matrix over an explicit item list, 0-filled."""
-    wide = ratings.groupBy("user").pivot("item", items).agg(F.max("rating"))
-    return wide.fillna(0.0)
+def dense_rows(ratings: DataFrame, item_block: int = 4096) -> DataFrame:
+    """The whole user x item matrix, 0-filled, in dense rows: (user, block, ratings
+    ARRAY<DOUBLE>), item number n at place n mod ``item_block`` + 1 of block n div
+    ``item_block``. Items are numbered in id order (``item_numbers``); the last block may be
+    shorter. Of repeated ratings the highest counts. The output is users x items by
+    definition; an array has ``item_block`` entries at most, and no column list is collected."""
+    numbers = item_numbers(ratings)
+    items = numbers.count()
+    placed = (ratings.groupBy("user", "item").agg(F.max("rating").cast("double").alias("rating")).join(numbers, "item")
+              .withColumn("block", F.floor(F.col("number") / item_block)).withColumn("at", (F.col("number") % item_block).cast("int")))
+    cells = placed.groupBy("user", "block").agg(F.map_from_entries(F.collect_list(F.struct("at", "rating"))).alias("cells"))
+    blocks = F.sequence(F.lit(0).cast("long"), F.lit(max(items - 1, 0) // item_block).cast("long"))
+    every = ratings.select("user").distinct().select("user", F.explode(blocks).alias("block"))
+    width = F.least(F.lit(item_block).cast("long"), F.lit(items) - F.col("block") * item_block).cast("int")
+    filled = F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.coalesce(F.try_element_at("cells", i), F.lit(0.0)))
+    return every.join(cells, ["user", "block"], "left").select("user", "block", filled.alias("ratings"))
+
+
+def item_numbers(ratings: DataFrame) -> DataFrame:
+    """(item, number): dense numbers from 0 in id order."""
+    return number_rows(ratings.select("item").distinct(), "item")

@@ -378,6 +378,7 @@ def q_all_metrics(spark, sf):
 # ====================================================================== Gram baseline
 
 GRAM_N = 10
+PIVOT_BLOCK = 512
 SWEEP_KS = (10, 50, 100, 200, 300, 400, 500, 600, 700, 800, 900, 1000)
 
 _GRAM_BASE = f"""train AS ({Q.B_TRAIN}),
@@ -411,46 +412,38 @@ def q_gram(spark, sf):
     return g.select("a", "b", F.round("g", 6).alias("g"))
 
 
-def _gram_inputs(spark, sf):
-    train, test = T.split_ratings(T.ratings(spark, sf))
-    return train, test, G.gram_similarity(train)
-
-
 @register("q_gram_predict", f"WITH {_GRAM_BASE}" + _gram_sql_predict(GRAM_N))
 def q_gram_predict(spark, sf):
     """Gram-weighted rating from the 10 most similar raters."""
-    train, test, gram = _gram_inputs(spark, sf)
-    return G.gram_predict(test, train, gram, n=GRAM_N)
+    train, test = T.split_ratings(T.ratings(spark, sf))
+    return G.gram_predict(test, train, n=GRAM_N)
 
 
 @register("q_predict_limit", f"WITH {_GRAM_BASE},\nfirst5 AS (SELECT * FROM test ORDER BY user, item LIMIT 5)"
           + _gram_sql_predict(GRAM_N, "first5"))
 def q_predict_limit(spark, sf):
     """Predictions for the first five test rows (ordered by user, item)."""
-    train, test, gram = _gram_inputs(spark, sf)
+    train, test = T.split_ratings(T.ratings(spark, sf))
     first = test.orderBy("user", "item").limit(5)
-    return G.gram_predict(first, train, gram, n=GRAM_N)
+    return G.gram_predict(first, train, n=GRAM_N)
 
 
 @register("q_pivot", f"""
 WITH train AS ({Q.B_TRAIN}),
-top AS (SELECT item FROM train GROUP BY item ORDER BY count(*) DESC, item ASC LIMIT 10),
-cells AS (SELECT u.user, t.item, coalesce(max(r.rating), 0.0) AS rating
-          FROM (SELECT DISTINCT user FROM train) u CROSS JOIN top t
-          LEFT JOIN train r ON r.user = u.user AND r.item = t.item GROUP BY 1, 2)
-SELECT user, CAST(item AS VARCHAR) AS item, rating FROM cells""")
+items AS (SELECT item, row_number() OVER (ORDER BY item) - 1 AS n FROM (SELECT DISTINCT item FROM train) z),
+cells AS (SELECT u.user, i.n, coalesce(max(r.rating), 0.0) AS rating
+          FROM (SELECT DISTINCT user FROM train) u CROSS JOIN items i
+          LEFT JOIN train r ON r.user = u.user AND r.item = i.item GROUP BY 1, 2)
+SELECT user, CAST(n // {PIVOT_BLOCK} AS BIGINT) AS block, CAST(count(*) AS BIGINT) AS items,
+       sum(rating) AS total, sum(rating * (1 + n % 997)) AS weighted FROM cells GROUP BY 1, 2""")
 def q_pivot(spark, sf):
-    """Dense user x item matrix over the ten most-rated items, 0-filled,
-    returned in long form (user, item, rating) for comparison."""
-    train = T.train_ratings(spark, sf)
-    top = (train.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
-           .orderBy(F.col("n").desc(), F.col("item").asc()).limit(10))
-    items = [r["item"] for r in top.collect()]  # ten ids: the pivot's column list
-    wide = G.pivot_matrix(train, items)
-    cols = [c for c in wide.columns if c != "user"]
-    stacked = F.explode(F.array(*[F.struct(F.lit(c).alias("item"), F.col(f"`{c}`").cast("double")
-                                           .alias("rating")) for c in cols]))
-    return wide.select("user", stacked.alias("cell")).select("user", "cell.item", "cell.rating")
+    """The dense user x item matrix over all items, 0-filled, in blocks of items; a
+    row for each (user, block) with the array's length, sum and sum by place."""
+    wide = G.dense_rows(T.train_ratings(spark, sf), PIVOT_BLOCK)
+    total = F.aggregate("ratings", F.lit(0.0), lambda s, r: s + r)
+    by_place = F.aggregate(F.transform("ratings", lambda r, i: r * (1 + (F.col("block") * PIVOT_BLOCK + i) % 997)), F.lit(0.0),
+                           lambda s, r: s + r)
+    return wide.select("user", "block", F.size("ratings").cast("long").alias("items"), total.alias("total"), by_place.alias("weighted"))
 
 
 @register("q_sweep_k", f"""
@@ -464,8 +457,8 @@ SELECT k, round(sqrt(avg(pow(rating - round(predicted, 6), 2))), 9) AS rmse FROM
 def q_sweep_k(spark, sf):
     """Gram-baseline RMSE for every neighbourhood size k (rank once), over
     all test pairs."""
-    train, test, gram = _gram_inputs(spark, sf)
-    preds = G.gram_predict_by_k(test, train, gram, list(SWEEP_KS))
+    train, test = T.split_ratings(T.ratings(spark, sf))
+    preds = G.gram_predict_by_k(test, train, list(SWEEP_KS))
     return preds.groupBy("k").agg(F.round(F.sqrt(F.avg(F.pow(F.col("rating") - F.col("predicted"), 2))), 9)
                                   .alias("rmse"))
 
@@ -816,10 +809,10 @@ def embedding_rmse_by_k(spark, sf) -> DataFrame:
 SELECT g.k, round(g.rmse, 9) AS gram_rmse, round(e.rmse, 9) AS emb_rmse FROM grm g JOIN emb e ON e.k = g.k""")
 def q_compare(spark, sf):
     """Gram baseline vs embedding neighbours, RMSE per neighbourhood size."""
-    train, test, gram = _gram_inputs(spark, sf)
+    train, test = T.split_ratings(T.ratings(spark, sf))
     # both sides are scored on the test pairs of users that have a vector
     known = T.embeddings(spark, sf).select(F.col("id").alias("user")).distinct()
-    g = _rmse_by_k(G.gram_predict_by_k(test.join(known, "user", "left_semi"), train, gram, list(SWEEP_KS)))
+    g = _rmse_by_k(G.gram_predict_by_k(test.join(known, "user", "left_semi"), train, list(SWEEP_KS)))
     e = embedding_rmse_by_k(spark, sf)
     return g.join(e.withColumnRenamed("rmse", "emb_rmse"), "k").select(
         "k", F.round("rmse", 9).alias("gram_rmse"), F.round("emb_rmse", 9).alias("emb_rmse"))

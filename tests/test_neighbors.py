@@ -114,11 +114,10 @@ def test_gram_fixture(spark):
 def test_gram_predict_weighted_top_n(spark):
     train = spark.createDataFrame(C6, "user long, item long, rating double")
     test = spark.createDataFrame([(2, 20, 1.0), (2, 30, 1.0)], "user long, item long, rating double")
-    gram = G.gram_similarity(train)
-    rows = {r.item: r.predicted for r in G.gram_predict(test, train, gram, n=10).collect()}
+    rows = {r.item: r.predicted for r in G.gram_predict(test, train, n=10).collect()}
     # raters of 20: user 1 (g=20, r=3) and user 3 (g=4, r=2); item 30 has no rater -> 0.0
     assert rows[20] == pytest.approx((20 * 3 + 4 * 2) / 24, abs=1e-6) and rows[30] == 0.0
-    one = {r.item: r.predicted for r in G.gram_predict(test, train, gram, n=1).collect()}
+    one = {r.item: r.predicted for r in G.gram_predict(test, train, n=1).collect()}
     assert one[20] == pytest.approx(3.0)
 
 
