@@ -1,13 +1,15 @@
 """Exact k-nearest neighbours without all-pairs rows.
 
-Plan: queries and points are hashed into blocks of at most ``block_rows``
-rows. Every (query block, point block) pair becomes one co-group (each side is
-replicated once per block of the other side, a bounded fan-out); the group
+Plan: queries and points are hashed into blocks, as few as let every task have a
+tile and keep a side of a tile under ``TILE_BYTES``: a vector is sent to about the square
+root of the number of tasks tiles, and more only when all vectors are beyond tasks x
+``TILE_BYTES`` in product. Every (query block, point block) pair becomes one co-group (each side is
+replicated once per block of the other side); the group
 computes its distance tile with one NumPy matrix product and emits only its
 top-k per query. A final ``row_number() <= k`` (planned as a partial
 WindowGroupLimit before the shuffle) merges the per-tile candidates.
 
-Memory per task is O(block_rows * (block_rows + dim)); no task ever sees a
+Memory per task is two sides of ``TILE_BYTES`` and ``TILE_CELLS`` distances; no task ever sees a
 whole table, and no row per (query, point) pair is materialised in Spark.
 """
 
@@ -22,6 +24,9 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, ship_code
 
+#: Bytes of vectors on a side of a tile; distances held at once.
+TILE_BYTES, TILE_CELLS = 32 << 20, 1 << 21
+
 ORDERS = ("nearest", "reference")
 DENSE_MEASURES = ("cosine", "euclidean", "manhattan")
 SET_MEASURES = ("hamming", "jaccard")
@@ -78,41 +83,59 @@ def set_distance_tile(q: list, p: list, measure: str) -> np.ndarray:
         return np.where(union == 0, np.nan, 1.0 - inter / union)
 
 
+def best_of(key: np.ndarray, take: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of the ``take`` smallest finite keys of each row, ties to the lower column."""
+    kth = np.partition(key, take - 1, axis=1)[:, take - 1:take]
+    rows, cols = np.nonzero((key <= kth) & np.isfinite(key))
+    order = np.lexsort((cols, key[rows, cols], rows))
+    rows, cols = rows[order], cols[order]
+    first = np.flatnonzero(np.diff(rows, prepend=-1))
+    rank = np.arange(len(rows)) - np.repeat(first, np.diff(np.append(first, len(rows))))
+    return rows[rank < take], cols[rank < take]
+
+
 def tile_top_k(qids, qvecs, pids, pvecs, k: int, measure: str, order: str,
                digits: int | None, exclude_self: bool) -> pd.DataFrame:
-    """Top-k per query inside one tile; ties broken by neighbour id."""
+    """Top-k per query inside one tile; ties broken by neighbour id. Distances are held
+    for as many queries at a time as make ``TILE_CELLS`` cells."""
+    out = [pd.DataFrame({"id": np.zeros(0, np.int64), "nbr": np.zeros(0, np.int64), "dist": np.zeros(0)})]
     if len(qids) == 0 or len(pids) == 0:
-        return pd.DataFrame({"id": [], "nbr": [], "dist": []})
+        return out[0]
     porder = np.argsort(pids, kind="stable")
     pids = pids[porder]
-    if measure in SET_MEASURES:
-        d = set_distance_tile(qvecs, [pvecs[i] for i in porder], measure)
-    else:
-        p = np.stack(pvecs)[porder].astype(np.float64)
-        q = np.stack(qvecs).astype(np.float64)
-        d = distance_tile(q, p, measure)
-    key = np.round(d, digits) if digits is not None else d.copy()
-    if order == "reference":
-        key = -key
-    key = np.where(np.isnan(key), np.inf, key)
-    if exclude_self:
-        key = np.where(qids[:, None] == pids[None, :], np.inf, key)
+    sets = measure in SET_MEASURES
+    p = [pvecs[i] for i in porder] if sets else np.stack(pvecs)[porder].astype(np.float64)
+    step = max(1, TILE_CELLS // len(pids))
     take = min(k + (1 if exclude_self else 0), len(pids))
-    idx = np.argsort(key, axis=1, kind="stable")[:, :take]
-    rows = np.repeat(np.arange(len(qids)), take)
-    cols = idx.ravel()
-    keep = np.isfinite(key[rows, cols])
-    return pd.DataFrame({"id": qids[rows][keep], "nbr": pids[cols][keep],
-                         "dist": d[rows, cols][keep]})
+    for i in range(0, len(qids), step):
+        own = qvecs[i:i + step]
+        d = set_distance_tile(own, p, measure) if sets else distance_tile(np.stack(own).astype(np.float64), p, measure)
+        key = np.round(d, digits) if digits is not None else d.copy()
+        if order == "reference":
+            key = -key
+        key = np.where(np.isnan(key), np.inf, key)
+        if exclude_self:
+            key = np.where(qids[i:i + step, None] == pids[None, :], np.inf, key)
+        rows, cols = best_of(key, take)
+        out.append(pd.DataFrame({"id": qids[i:i + step][rows], "nbr": pids[cols], "dist": d[rows, cols]}))
+    return pd.concat(out[1:], ignore_index=True)
+
+
+def _blocks(n: int, block_rows: int, tasks: int) -> int:
+    """Blocks of at most ``block_rows`` rows, and enough that the tiles of two such sides
+    are ``tasks`` or more (where there are rows for it)."""
+    return max(1, math.ceil(n / block_rows), min(n // 64, math.ceil(math.sqrt(tasks))))
 
 
-def _blocks(n: int, block_rows: int) -> int:
-    return max(1, math.ceil(n / block_rows))
+def tile_rows(pts: DataFrame) -> int:
+    """Rows of a tile's side, from the length of a vector: ``TILE_BYTES`` of doubles."""
+    widest = pts.agg(F.max(F.size("vec"))).first()[0] or 1
+    return max(1, TILE_BYTES // (8 * max(1, widest)))
 
 
 def exact_neighbors(points: DataFrame, queries: DataFrame | None = None, k: int = 100,
                     measure: str = "cosine", order: str = "nearest",
-                    both_directions: bool = False, block_rows: int = 1024,
+                    both_directions: bool = False, block_rows: int | None = None,
                     digits: int | None = 6) -> DataFrame:
     """(id, nbr, dist, rnk) for every query id (default: every point).
 
@@ -137,13 +160,14 @@ def exact_neighbors(points: DataFrame, queries: DataFrame | None = None, k: int
 
 
 def block_candidates(qry: DataFrame, pts: DataFrame, k: int, measure: str = "cosine",
-                     order: str = "nearest", block_rows: int = 1024,
+                     order: str = "nearest", block_rows: int | None = None,
                      digits: int | None = 6) -> DataFrame:
     """Per-tile top-k candidates (id, nbr, dist) of every query row among the
     point rows; the global top-k of a query is contained in their union."""
     ship_code()
     n_q, n_p = qry.count(), pts.count()
-    qb, pb = _blocks(n_q, block_rows), _blocks(n_p, block_rows)
+    rows, tasks = block_rows or tile_rows(pts), pts.sparkSession.sparkContext.defaultParallelism
+    qb, pb = _blocks(n_q, rows, tasks), _blocks(n_p, rows, tasks)
     # fresh attribute ids on both sides: queries are often a subset of the points
     qry = qry.select(F.col("id").alias("id"), F.col("vec").alias("vec"))
     pts = pts.select(F.col("id").alias("id"), F.col("vec").alias("vec"))

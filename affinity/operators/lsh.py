@@ -1,9 +1,9 @@
 """Locality-sensitive hashing: signatures, collision keys, neighbour search.
 
-Hash functions are drawn once on the driver from a seeded NumPy generator
-(tables x signature x dim numbers, bounded by the parameters, never by the
-data) and inlined as literal arrays, so signatures are native expressions
-folded into a single constant by Catalyst.
+Hash functions are drawn from a seeded NumPy generator (tables x signature x dim
+numbers, bounded by the parameters, never by the data). Signatures of dense vectors are
+one matrix product for an Arrow batch, whose task draws the planes again; those of
+sets are native expressions.
 
 Candidate search never emits one Spark row per colliding pair. Each bucket
 (table[, band], key) is split into sub-blocks of at most ``block_rows``
@@ -14,28 +14,31 @@ many bounded tasks instead of one task enumerating all of its pairs, and no
 candidate is dropped: the exact top-k over all colliding points is the top-k
 of the union of the tile top-k's.
 
-Average selectivity counts distinct colliding ordered pairs exactly by
-inclusion-exclusion over hash units (sum of squared group sizes of every
-combined key), again without enumerating pairs.
+Average selectivity counts distinct colliding ordered pairs exactly: by
+inclusion-exclusion over a few hash units, or in tiles at the first unit in which a
+pair agrees.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, ship_code
-
-from ..functions.vectors import dot
-from .knn import DENSE_MEASURES, distance_tile, rank_neighbors, set_distance_tile
+from ..session import cut_lineage, ship_code, ship_package
+from . import steps
+from .knn import DENSE_MEASURES, rank_neighbors, tile_top_k
+from .numbering import number_rows
 
 LSH_MEASURES = ("hamming", "cosine", "euclidean", "manhattan", "jaccard")
-MAX_SELECTIVITY_UNITS = 16
+#: Up to so many units selectivity goes by combined keys (2^units - 1 rows for a point).
+COMBINED_UNITS = 6
+#: Pairs of a tile that selectivity looks at at once.
+PAIRS_AT_ONCE = 1 << 20
 
 
 def _dlit(x: float) -> Column:
@@ -44,26 +47,31 @@ def _dlit(x: float) -> Column:
 
 def pair_tile_top_k(qdf: pd.DataFrame, pdf: pd.DataFrame, k: int, measure: str,
                     digits: int | None, exclude_self: bool) -> pd.DataFrame:
-    if len(qdf) == 0 or len(pdf) == 0:
-        return pd.DataFrame({"id": [], "nbr": [], "dist": []})
-    pdf = pdf.sort_values("id", kind="stable")
-    qids, pids = qdf["id"].to_numpy(), pdf["id"].to_numpy()
-    if measure in DENSE_MEASURES:
-        d = distance_tile(np.stack(list(qdf["vec"])).astype(np.float64),
-                          np.stack(list(pdf["vec"])).astype(np.float64), measure)
+    return tile_top_k(qdf["id"].to_numpy(), list(qdf["vec"]), pdf["id"].to_numpy(), list(pdf["vec"]), k, measure, "nearest",
+                      digits, exclude_self)
+
+
+def draw(measure: str, seed: int, tables: int, signature: int, dim: int, bucket_width: float) -> dict:
+    """The hash functions of a family, the same for equal arguments."""
+    rng = np.random.default_rng(seed)
+    shape = (tables, signature)
+    if measure in ("cosine", "euclidean"):
+        out = {"planes": rng.standard_normal((*shape, dim))}
+    elif measure == "manhattan":
+        out = {"planes": rng.standard_cauchy((*shape, dim))}
     else:
-        d = set_distance_tile(list(qdf["vec"]), list(pdf["vec"]), measure)
-    key = np.round(d, digits) if digits is not None else d.copy()
-    key = np.where(np.isnan(key), np.inf, key)
-    if exclude_self:
-        key = np.where(qids[:, None] == pids[None, :], np.inf, key)
-    take = min(k + (1 if exclude_self else 0), len(pids))
-    idx = np.argsort(key, axis=1, kind="stable")[:, :take]
-    rows = np.repeat(np.arange(len(qids)), take)
-    cols = idx.ravel()
-    keep = np.isfinite(key[rows, cols])
-    return pd.DataFrame({"id": qids[rows][keep], "nbr": pids[cols][keep],
-                         "dist": d[rows, cols][keep]})
+        out = {"planes": None}
+    if measure in ("euclidean", "manhattan"):
+        out["offsets"] = rng.random(shape) * bucket_width
+    if measure == "hamming":
+        # sampled dimension j = floor(u_j * dim), u_j uniform in [0, 1)
+        out["sample_u"] = rng.random(shape)
+    if measure == "jaccard":
+        a = rng.integers(-2**31, 2**31, size=shape, dtype=np.int64)
+        a[a == 0] = 1
+        out["a"] = a
+        out["b"] = rng.integers(-2**31, 2**31, size=shape, dtype=np.int64)
+    return out
 
 
 @dataclass
@@ -110,27 +118,8 @@ class LSH:
 
     # ------------------------------------------------------------ parameters
     def _draw(self) -> dict:
-        rng = np.random.default_rng(self.seed)
-        t, s = self.tables, self.signature
-        d = self.dim if isinstance(self.dim, int) else 0
-        if self.measure in ("cosine", "euclidean"):
-            planes = rng.standard_normal((t, s, d))
-        elif self.measure == "manhattan":
-            planes = rng.standard_cauchy((t, s, d))
-        else:
-            planes = None
-        out: dict = {"planes": planes}
-        if self.measure in ("euclidean", "manhattan"):
-            out["offsets"] = rng.random((t, s)) * self.bucket_width
-        if self.measure == "hamming":
-            # sampled dimension j = floor(u_j * dim), u_j uniform in [0, 1)
-            out["sample_u"] = rng.random((t, s))
-        if self.measure == "jaccard":
-            a = rng.integers(-2**31, 2**31, size=(t, s), dtype=np.int64)
-            a[a == 0] = 1
-            out["a"] = a
-            out["b"] = rng.integers(-2**31, 2**31, size=(t, s), dtype=np.int64)
-        return out
+        dim = self.dim if isinstance(self.dim, int) else 0
+        return draw(self.measure, self.seed, self.tables, self.signature, dim, self.bucket_width)
 
     @property
     def units(self) -> int:
@@ -138,16 +127,40 @@ class LSH:
         return self.tables * (self.bands if self.measure == "jaccard" else 1)
 
     # ------------------------------------------------------------ signatures
+    def _projected(self, points: DataFrame) -> DataFrame:
+        """H3-H6: (id, vec, tbl, sig) by one matrix product for a batch of vectors; tasks draw the
+        planes from the seed again, so that none are in the plan. Shorter vectors count as
+        padded by zeros, entries beyond ``dim`` don't count; null is a zero vector."""
+        ship_package(points.sparkSession)
+        measure, seed, tables, size, dim, width = self.measure, self.seed, self.tables, self.signature, self.dim, self.bucket_width
+
+        def run(batches):
+            drawn = draw(measure, seed, tables, size, dim, width)
+            planes = drawn["planes"].reshape(-1, dim).T
+            for batch in batches:
+                offsets, flat = steps.flat(batch.column(1))
+                n = len(offsets) - 1
+                row = np.repeat(np.arange(n), np.diff(offsets))
+                place = np.arange(len(flat)) - np.repeat(offsets[:-1], np.diff(offsets))
+                vec = np.zeros((n, dim))
+                vec[row[place < dim], place[place < dim]] = np.nan_to_num(np.asarray(flat, np.float64)[place < dim])
+                projected = (vec @ planes).reshape(n * tables, size)
+                if measure == "cosine":
+                    on = projected > 0
+                    counts, values = on.sum(axis=1), np.nonzero(on)[1].astype(np.int32)
+                else:
+                    moved = projected + np.tile(drawn["offsets"], (n, 1)).reshape(n * tables, size)
+                    counts, values = np.full(n * tables, size), np.floor(moved / width).astype(np.int32).ravel()
+                sig = steps.lists(np.concatenate([[0], np.cumsum(counts)]), values)
+                again = pa.array(np.repeat(np.arange(n), tables))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(again), batch.column(1).take(again),
+                                                  pa.array(np.tile(np.arange(tables, dtype=np.int32), n)), sig], ["id", "vec", "tbl", "sig"])
+
+        return points.select("id", "vec").mapInArrow(run, "id long, vec array<double>, tbl int, sig array<int>")
+
     def _table_signature(self, t: int, vec: Column, dimc: Column | None = None) -> Column:
+        """H7/H8 of set vectors, as a native expression."""
         p, s = self.params, self.signature
-        if self.measure in ("cosine", "euclidean", "manhattan"):
-            planes = F.array(*[F.array(*[_dlit(x) for x in row]) for row in p["planes"][t]])
-            proj = F.transform(planes, lambda pl: dot(pl, vec))
-            if self.measure == "cosine":
-                return F.filter(F.sequence(F.lit(0), F.lit(s - 1)),
-                                lambda i: F.element_at(proj, i + 1) > 0)
-            offs = F.array(*[_dlit(x) for x in p["offsets"][t]])
-            return F.zip_with(proj, offs, lambda a, b: F.floor((a + b) / _dlit(self.bucket_width)).cast("int"))
         if dimc is None:
             dimc = F.lit(int(self.dim))
         if self.measure == "hamming":
@@ -167,6 +180,8 @@ class LSH:
     def signatures(self, points: DataFrame) -> DataFrame:
         """H3-H8: one row per (point, table): (id, vec, tbl, sig ARRAY<INT>).
         Empty sets have no MinHash and get no entries."""
+        if self.measure in DENSE_MEASURES:
+            return self._projected(points)
         pts = points
         if self.measure == "jaccard":
             pts = pts.filter(F.size("vec") > 0)
@@ -259,38 +274,76 @@ class LSH:
             "id1", "id2", distance("v1", "v2", self.measure).alias("dist"))
 
     def avg_selectivity(self, points: DataFrame) -> DataFrame:
-        """(distinct colliding ordered pairs incl. self) / n^2, exact, via
-        inclusion-exclusion over collision units."""
-        u = self.units
-        if u > MAX_SELECTIVITY_UNITS:
-            raise ValueError(f"selectivity supports at most {MAX_SELECTIVITY_UNITS} tables x bands")
+        """(distinct colliding ordered pairs incl. self) / n^2, exact for any number of units.
+
+        A few units: inclusion-exclusion (sums of squared group sizes of every combined key).
+        More: pairs are counted in tiles of the buckets, each in the first unit in which
+        its keys agree. A point without a key (an empty set) is in no pair."""
         pts = self._vectors(points)
         ent = self.entries(pts).withColumn("unit", F.col("tbl") * F.lit(max(1, self.bands)) + F.col("band"))
+        pairs = self._combined_keys(ent) if self.units <= COMBINED_UNITS else self._first_collisions(ent)
+        n = pts.select(F.count(F.lit(1))).scalar()
+        return pairs.select(F.lit("avg_selectivity").alias("metric"), (F.col("pairs") / n / n).alias("value"))
+
+    def _combined_keys(self, ent: DataFrame) -> DataFrame:
         per_point = ent.groupBy("id").agg(
             F.array_sort(F.collect_list(F.struct("unit", "key"))).alias("keys"))
-        masks = F.array(*[F.lit(m) for m in range(1, 2 ** u)])
+        masks = F.array(*[F.lit(m) for m in range(1, 2 ** self.units)])
         combos = (per_point.select("id", "keys", F.explode(masks).alias("mask"))
                   .select("mask", F.transform(
                       F.filter("keys", lambda e: F.floor(F.col("mask") / F.pow(F.lit(2.0), e["unit"])) % 2 == 1),
                       lambda e: e["key"]).alias("combo")))
         groups = combos.groupBy("mask", "combo").agg(F.count(F.lit(1)).alias("c"))
         sign = F.when(F.bit_count("mask") % 2 == 1, F.lit(1)).otherwise(F.lit(-1))
-        pairs = groups.agg(F.sum(sign * F.col("c") * F.col("c")).alias("pairs"))
-        n = pts.select(F.count(F.lit(1))).scalar()
-        return pairs.select(F.lit("avg_selectivity").alias("metric"),
-                            (F.col("pairs") / n / n).alias("value"))
+        return groups.agg(F.coalesce(F.sum(sign * F.col("c") * F.col("c")), F.lit(0).cast("long")).alias("pairs"))
+
+    def _first_collisions(self, ent: DataFrame) -> DataFrame:
+        ship_package(ent.sparkSession)
+        codes = number_rows(ent.select("unit", "key").distinct(), "unit", "key", name="code")
+        points = cut_lineage(ent.select("id", "unit", "key").join(codes, ["unit", "key"]).groupBy("id").agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("unit", "code"))), lambda e: e["code"]).alias("codes")))
+        placed = points.select("id", "codes", F.posexplode("codes").alias("unit", "code"))
+        sizes = placed.groupBy("code").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        block = self.block_rows
+        # small buckets share groups; a large one is cut into blocks and gets a group for each pair of blocks
+        groups = max(1, -(-placed.count() // (4 * block)))
+        met = placed.join(sizes.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).drop("n"), "code")
+        own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+        met = met.withColumn("s", own).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        group = F.when(F.col("blocks") > 1, F.col("code") + groups).otherwise(F.pmod("code", F.lit(groups)))
+        met = met.select(group.alias("group"), F.least("s", "t").alias("lo"), F.greatest("s", "t").alias("hi"),
+                         F.col("s").alias("own"), "unit", "code", "codes")
+        units = self.units
+
+        def count(table: pa.Table) -> pa.Table:
+            table = table.combine_chunks()
+            code, unit, own = (np.asarray(table[c]) for c in ("code", "unit", "own"))
+            every = np.asarray(pa.concat_arrays(table["codes"].chunks).flatten()).reshape(-1, units)
+            order = np.argsort(code, kind="stable")
+            code, unit, own, every = code[order], unit[order], own[order], every[order]
+            across = table["lo"][0].as_py() != table["hi"][0].as_py()
+            left = np.flatnonzero(own == table["lo"][0].as_py())
+            right = np.flatnonzero(own == table["hi"][0].as_py())
+            first = np.searchsorted(code[right], code[left], "left")
+            many = np.searchsorted(code[right], code[left], "right") - first
+            ends, i, total = np.cumsum(many), 0, 0
+            while i < len(left):
+                j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PAIRS_AT_ONCE, "right")))
+                m = many[i:j]
+                a = np.repeat(left[i:j], m)
+                b = right[np.arange(len(a)) + np.repeat(first[i:j] - (np.cumsum(m) - m), m)]
+                new = a != b
+                for earlier in range(units):
+                    new &= (every[a, earlier] != every[b, earlier]) | (unit[a] <= earlier)
+                total += int(new.sum()) * (2 if across else 1)
+                i = j
+            return pa.table({"pairs": np.array([total], np.int64)})
+
+        found = met.groupBy("group", "lo", "hi").applyInArrow(count, "pairs long").agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("p"))
+        alone = points.agg(F.count(F.lit(1)).alias("own"))  # each with itself
+        return found.select((F.col("p") + F.lit(alone.first()[0])).alias("pairs"))
 
     def _vectors(self, df: DataFrame) -> DataFrame:
         if self.measure in ("hamming", "jaccard"):
             return df.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<int>").alias("vec"))
         return df.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
-
-
-def lsh_neighbors(points: DataFrame, k: int, dim: int, measure: str = "cosine", tables: int = 1,
-                  signature: int = 16, seed: int = 0, **kw) -> DataFrame:
-    """LSH neighbours of every embedding (cosine by default)."""
-    return LSH(measure, dim, tables=tables, signature=signature, seed=seed, **kw).neighbors(points, k)
-
-
-def block_count(n: int, block_rows: int) -> int:
-    return max(1, math.ceil(n / block_rows))

@@ -188,3 +188,57 @@ def test_bucketed_steps_shuffle_only_the_frontier(spark):
     finally:
         way.close()
     assert not spark.catalog.tableExists(way.name)
+
+
+@pytest.mark.parametrize("spec", [dict(measure="cosine", tables=20, signature=5), dict(measure="jaccard", tables=4, signature=10, bands=5, prime=101),
+                                  dict(measure="cosine", tables=3, signature=2)])
+def test_selectivity_of_many_units(spark, spec, monkeypatch):
+    """20 units, more than combined keys reach; large buckets in pairs of blocks; empty sets."""
+    from affinity.operators import lsh as S
+    rng = np.random.default_rng(6)
+    sets = spec["measure"] == "jaccard"
+    pts = [(i, sorted(set(rng.integers(0, 30, rng.integers(0, 6)).tolist())) if sets else rng.standard_normal(4).tolist()) for i in range(90)]
+    pts += [(100 + i, pts[1][1]) for i in range(40)]  # a third of all points in the same buckets
+    df = spark.createDataFrame(pts, "id long, vec array<int>" if sets else "id long, vec array<double>")
+    lsh = LSH(dim=30 if sets else 4, seed=3, block_rows=8, **spec)
+    keys = {}
+    for r in lsh.entries(lsh._vectors(df)).collect():
+        keys.setdefault(r.id, set()).add((r.tbl, r.band, tuple(r.key)))
+    want = sum(bool(keys[a] & keys[b]) for a in keys for b in keys) / len(pts) ** 2
+    monkeypatch.setattr(S, "COMBINED_UNITS", 0)
+    assert lsh.avg_selectivity(df).first().value == pytest.approx(want)
+    monkeypatch.setattr(S, "COMBINED_UNITS", 6)
+    assert lsh.avg_selectivity(df).first().value == pytest.approx(want)
+
+
+@pytest.mark.parametrize("measure", ["cosine", "euclidean", "manhattan"])
+def test_signatures_against_projections(spark, measure):
+    rng = np.random.default_rng(8)
+    pts = [(i, rng.standard_normal(6).tolist()) for i in range(50)]
+    lsh = LSH(measure, 6, tables=3, signature=4, bucket_width=0.7 if measure != "cosine" else 0.0, seed=5)
+    sigs = lsh.signatures(spark.createDataFrame(pts, "id long, vec array<double>"))
+    got = {(r.id, r.tbl): (list(r.sig), list(r.vec)) for r in sigs.collect()}
+    for i, v in pts:
+        for t in range(3):
+            x = lsh.params["planes"][t] @ np.array(v)
+            want = np.flatnonzero(x > 0) if measure == "cosine" else np.floor((x + lsh.params["offsets"][t]) / 0.7)
+            assert got[i, t] == (want.astype(int).tolist(), v)
+    plan = sigs._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and str(float(lsh.params["planes"][0][0][0]))[:9] not in plan
+
+
+def test_copies_of_a_vector_do_not_grow_with_the_table(spark):
+    """At two sizes, five-fold apart, each vector is sent to equally many tiles."""
+    from affinity.operators import knn as K
+    rng = np.random.default_rng(9)
+    sent = []
+    for n in (400, 2000):
+        df = spark.createDataFrame([(i, rng.standard_normal(4).tolist()) for i in range(n)], "id long, vec array<double>")
+        tasks = spark.sparkContext.defaultParallelism
+        blocks = K._blocks(n, K.tile_rows(df), tasks)
+        sent.append(blocks)
+        assert blocks * blocks >= tasks
+        got = {(r.id, r.nbr): r.dist for r in K.exact_neighbors(df, k=3).collect()}
+        assert len(got) == 3 * n
+    assert sent[0] == sent[1]
+    assert K._blocks(10 ** 9, 1 << 16, 64) == -(-10 ** 9 // (1 << 16))
