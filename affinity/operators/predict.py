@@ -4,7 +4,8 @@ Plan: covered test pairs (user has neighbours AND item occurs in train, two
 left-semi joins) -> join the user's k neighbours (test x k rows, never
 test x raters-of-item, which explodes on popular items) -> left join the
 neighbours' train ratings of that item on (nbr, item) -> one aggregate per
-test row. Train ratings are first reduced to one rating per (user, item);
+test row. Test rows of a hot user are dealt over salts, its neighbours repeated for
+each (``operators.skew``). Train ratings are first reduced to one rating per (user, item);
 that aggregate's hash partitioning on (user, item) is the one the rating
 join needs, so it costs no extra shuffle.
 """
@@ -14,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .skew import SALT, split_hot
+
 WEIGHTS = ("distance", "similarity")
 
 
@@ -27,8 +30,8 @@ def group_ratings(ratings: DataFrame, by: str = "item") -> DataFrame:
 
 def covered(test: DataFrame, train: DataFrame, neighbors: DataFrame) -> DataFrame:
     """test rows whose user has neighbours and whose item is in train."""
-    users = neighbors.select(F.col("id").alias("user"))
-    items = train.select("item")
+    users = neighbors.select(F.col("id").alias("user")).distinct()
+    items = train.select("item").distinct()
     return test.join(users, "user", "left_semi").join(items, "item", "left_semi")
 
 
@@ -50,7 +53,8 @@ def predict(test: DataFrame, train: DataFrame, neighbors: DataFrame, weight: str
     pairs = covered(test.select("user", "item", "rating"), train, neighbors)
     nbrs = neighbors.select(F.col("id").alias("user"), "nbr", w.alias("w"))
     rated = _unique_train(train).select(F.col("user").alias("nbr"), "item", F.col("rating").alias("r"))
-    joined = pairs.join(nbrs, "user").join(rated, ["nbr", "item"], "left")
+    pairs, nbrs = split_hot(pairs, "user", "item", nbrs)
+    joined = pairs.join(nbrs, ["user", SALT]).join(rated, ["nbr", "item"], "left")
     agg = joined.groupBy("user", "item", "rating").agg(
         F.sum(F.when(F.col("r").isNotNull(), F.col("w") * F.col("r"))).alias("num"),
         F.sum(F.when(F.col("r").isNotNull(), F.col("w"))).alias("den"),
@@ -91,7 +95,8 @@ def predict_by_k(test: DataFrame, train: DataFrame, neighbors: DataFrame, ks: li
     nbrs = (neighbors.filter(F.col("rnk") <= max(ks))
             .select(F.col("id").alias("user"), "nbr", w.alias("w"), "rnk"))
     rated = _unique_train(train).select(F.col("user").alias("nbr"), "item", F.col("rating").alias("r"))
-    hits = pairs.join(nbrs, "user").join(rated, ["nbr", "item"])
+    dealt, nbrs = split_hot(pairs, "user", "item", nbrs)
+    hits = dealt.join(nbrs, ["user", SALT]).join(rated, ["nbr", "item"])
     per_k = (hits.withColumn("k", F.explode(karr)).filter(F.col("rnk") <= F.col("k"))
              .groupBy("k", "user", "item", "rating")
              .agg(F.sum(F.col("w") * F.col("r")).alias("num"), F.sum("w").alias("den")))
