@@ -27,6 +27,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -395,11 +396,17 @@ def score_of(text: Column, model: Model, spark) -> Column:
     """The score of each text, by an Arrow function over the text alone."""
     shared = spark.sparkContext.broadcast(model)
 
-    def run(texts: pa.Array) -> pa.Array:
-        own, out = shared.value, []
-        at, _ = buffers(texts)
-        for lo, hi in row_ranges(at, BATCH_BYTES):
-            out.append(own.score(own.describe(texts.slice(lo, hi - lo))))
-        return pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = shared.value
+        for texts in batches:
+            at, _ = buffers(texts)
+            out = [own.score(own.describe(texts.slice(lo, hi - lo))) for lo, hi in row_ranges(at, BATCH_BYTES)]
+            yield pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
+        own.cache = {}  # the model stays with the worker; what it has cached needn't
+
+    freeing = tidy(score)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from freeing(batches)
 
     return F.arrow_udf(run, "double")(text.cast("string"))
