@@ -1,19 +1,27 @@
 """License scans: sparse TF-IDF cosine of headers and licence files to templates,
 then inheritance from the nearest ancestor directory. DataFrame functions only.
 
-Units are the lines of a file and the file as a whole. A unit's vector has a 1
-for each distinct word, times the word's idf over all lines of all files; words
-that no template has share the idf of a word of one line. A unit's licence is the
-template with the highest cosine of at least ``least`` (then the smallest name),
-a file's own licence that of its best unit (then the whole file, then the first
-line).
-
-Only units that can reach the threshold are multiplied out: a cosine is at most
-the norm of the unit's template words over its whole norm, which is computed in
-the projection over the lines, before any row is multiplied.
+Units of a file are its lines, its blocks (lines between lines without words, so
+that comment signs alone end a block too) and the file as a whole. A unit's vector
+has a 1 for each distinct template word, times the word's idf over all lines of
+all files. Words that no template has are counted by line (distinct ones in each)
+and have the idf of a word of one line. Squared idfs are whole millionths, so sums
+do not depend on their order. A unit is of the template with the highest cosine of
+at least ``least`` (of several the lowest rank, then the smallest name), a file of
+its unit with the lowest rank (0 a licence by name and version, 1 one of them open,
+2 rights reserved), then the highest cosine, then the smallest name: the title block
+of a licence text decides its version, however near a single line of it is to other
+versions, and a licence goes before the rights reserved beside it. A notice of a
+licence that no template names is nearer to one without a name and is 'Other', or
+none where its own words outweigh the notice's (``EUPL-1.2`` in a tag).
+
+Texts are read and cut into words once; what is written in the shared folder, of
+each file, is the template words and the number of others of each line. Only units
+that can reach the threshold are multiplied out: those that hold one of the words
+without which every template is too far, and have not too many other words.
 
 A licence file (by its name, or because a file of several lines matches as a whole)
-gives its directory a licence: of several the highest cosine counts, then the smallest path.
+gives its directory a licence: of several the lowest rank, then the highest cosine, then the smallest path.
 Directories take the licence of their nearest ancestor that has one, themselves
 included, by a join of directory paths; files without a licence of their own take
 their directory's. Each directory is looked up once, so a directory with a third
@@ -26,7 +34,8 @@ word.
 
 Edge cases: null and empty texts have no own licence but may inherit; a null
 path has no directory and inherits nothing; equal paths are separate files (rows
-are not merged, and only ``keep`` columns come back); ties as above.
+are not merged, and only ``keep`` columns come back), a licence of one of several
+rows with equal paths and ``keep`` columns counts for all of them; ties as above.
 """
 
 from __future__ import annotations
@@ -37,112 +46,123 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from affinity.session import scratch_path
+
 from .common import cut
+from .licence_texts import default_templates
 
-# Short notices by which licences are declared, by SPDX name.
-TEMPLATES = {
-    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "BSD-2-Clause": "Released under the BSD 2-Clause License.",
-    "BSD-3-Clause": "Released under the BSD 3-Clause License.",
-    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
-    "CC0-1.0": "Dedicated to the public domain under CC0 1.0.",
-    "EPL-2.0": "Licensed under the Eclipse Public License, Version 2.0.",
-    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "ISC": "Released under the ISC License.",
-    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-    "MPL-2.0": "Licensed under the Mozilla Public License, Version 2.0.",
-    "Unlicense": "This is free and unencumbered software released into the public domain.",
-}
 WORD = r"[a-z0-9]+(?:\.[0-9]+)*"
-LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice)"
+GAP = r"\n[^a-z0-9]*\n"
 LEAST = 0.7
+UNIT = 1_000_000
+
 
+def template_words(templates: list[tuple[str, int, str]]) -> list[tuple[str, int, list[str]]]:
+    return [(name, rank, sorted(set(re.findall(WORD, text.lower())))) for name, rank, text in templates]
 
-def template_words(templates: dict[str, str]) -> dict[str, list[str]]:
-    return {name: sorted(set(re.findall(WORD, text.lower()))) for name, text in templates.items()}
 
+def reduced(text: Column, vocabulary: list[str]) -> Column:
+    """Blocks of lines with words; of each line its distinct template words and the
+    number of others."""
+    words = F.transform(F.split(F.lower(text), GAP, -1), lambda block: F.filter(
+        F.transform(F.split(block, "\n", -1),
+                    lambda line: F.array_distinct(F.regexp_extract_all(line, F.lit(WORD), F.lit(0)))),
+        lambda ws: F.size(ws) > 0))
+    return F.transform(F.filter(words, lambda b: F.size(b) > 0), lambda block: F.transform(
+        F.transform(block, lambda ws: F.struct(F.filter(ws, lambda w: w.isin(vocabulary)).alias("hits"),
+                                               F.size(ws).alias("n"))),
+        lambda line: F.struct(line["hits"].alias("hits"), (line["n"] - F.size(line["hits"])).alias("others"))))
 
-def words_of(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
 
+def joined(lines: Column) -> Column:
+    """Some lines as one unit."""
+    return F.struct(F.array_distinct(F.flatten(lines["hits"])).alias("hits"),
+                    F.aggregate(lines["others"], F.lit(0), lambda a, n: a + n).alias("others"))
 
-def units(files: DataFrame) -> DataFrame:
-    """(file columns but text, unit, words): a row for each line (from 1) that
-    has words, and one (0) for a file of several lines as a whole."""
-    split = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    parts = F.when(F.size(split) > 1, F.concat(F.array("text"), split)).otherwise(F.concat(F.array(F.lit("")), split))
-    rest = [c for c in files.columns if c != "text"]
-    return (files.select(*rest, F.posexplode(parts).alias("unit", "line"))
-            .select(*rest, "unit", words_of(F.col("line")).alias("words")).filter(F.size("words") > 0))
+
+def decisive(words: list[str], square: dict[str, int], least: float) -> list[str]:
+    """Words of a template without all of which a unit can't reach the threshold:
+    the rest of its mass is too small."""
+    rest, out = sum(square[w] for w in words), []
+    mass = rest
+    for w in sorted(words, key=lambda w: (-square[w], w)):
+        if rest < (least - 1e-6) ** 2 * (1 - 1e-9) * mass:
+            break
+        rest -= square[w]
+        out.append(w)
+    return out
 
 
 def scan_licences(files: DataFrame, path_col: str = "path", text_col: str = "text", keep: tuple[str, ...] = (),
-                  templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
+                  templates: list[tuple[str, int, str]] | None = None, least: float = LEAST) -> DataFrame:
     """``keep`` columns, path, own_licence, cosine, licence, origin ('own',
-    'directory' or null) of every file."""
+    'directory' or null) of every file. ``templates``: (licence, rank, text)."""
     spark = files.sparkSession
-    wanted = template_words(templates or TEMPLATES)
-    vocabulary = sorted({w for ws in wanted.values() for w in ws})
-    vocab = F.array(*map(F.lit, vocabulary))
+    wanted = template_words(templates or default_templates())
+    vocabulary = sorted({w for _, _, ws in wanted for w in ws})
     base = files.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)),
                         F.col(f"`{path_col}`").cast("string").alias("path"),
                         F.col(f"`{text_col}`").cast("string").alias("text"))
+    slim = base.withColumn("file", F.struct("path", *(f"k{i}" for i in range(len(keep))))).drop("text")
+    path = scratch_path(spark, "licence_words")
+    (base.select(F.struct("path", *(f"k{i}" for i in range(len(keep)))).alias("file"),
+                 reduced(F.col("text"), vocabulary).alias("blocks"))
+     .filter(F.size("blocks") > 0).write.parquet(path))
+    read = spark.read.parquet(path)
+    blocks = F.col("blocks")
+    lines = F.flatten(blocks)
 
     # idf of the template words over all lines
-    lines = units(base.select("text")).filter("unit > 0")
-    counted = (lines.select(F.explode(F.concat(F.array(F.lit("")), F.array_intersect("words", vocab))).alias("word"))
+    counted = (read.select(F.explode(F.flatten(F.transform(lines, lambda x: F.concat(F.array(F.lit("")), x["hits"])))).alias("word"))
                .groupBy("word").count().collect())
     df = {r["word"]: r["count"] for r in counted}
     total = df.get("", 0)
 
-    def idf(n: int) -> float:
-        return math.log((1 + total) / (1 + n)) + 1.0
+    def idf_squared(n: int) -> int:
+        idf = math.log((1 + total) / (1 + n)) + 1.0
+        return math.floor(UNIT * (idf * idf))
 
-    square = {w: idf(df.get(w, 0)) ** 2 for w in vocabulary}
-    other = idf(1) ** 2
-    norm = {name: math.sqrt(sum(square[w] for w in ws)) for name, ws in wanted.items()}
+    square = {w: idf_squared(df.get(w, 0)) for w in vocabulary}
+    other = idf_squared(1)
+    norm = [sum(square[w] for w in ws) for _, _, ws in wanted]
     matrix = F.broadcast(spark.createDataFrame(
-        [(name, w, square[w] / norm[name]) for name, ws in wanted.items() for w in ws],
-        "licence string, word string, weight double"))
+        [(t, name, rank, w, square[w], norm[t]) for t, (name, rank, ws) in enumerate(wanted) for w in ws],
+        "template int, licence string, rank int, word string, weight long, norm long"))
     squares = F.create_map(*[F.lit(x) for w in vocabulary for x in (w, square[w])])
-
-    # numbered rows: the best unit of a file is found without its text
-    file_key = F.struct("path", *(f"k{i}" for i in range(len(keep))))
-    shared = F.array_sort(F.array_intersect("words", vocab))
-    able = (units(base.withColumn("file", file_key).select("file", "text"))
-            .withColumn("hits", shared).filter(F.size("hits") > 0)
-            .withColumn("inner", F.aggregate("hits", F.lit(0.0), lambda a, w: a + F.element_at(squares, w)))
-            .withColumn("square", F.col("inner") + (F.size("words") - F.size("hits")) * F.lit(other))
-            .filter(F.col("inner") >= F.lit(least * least * (1 - 1e-9)) * F.col("square"))
+    needed = sorted({w for _, _, ws in wanted for w in decisive(ws, square, least)})
+    most = int(max(norm) / (least - 1e-6) ** 2 / other) + 1
+
+    # numbered units: the best one of a file is found without its text
+    units = F.concat(
+        F.when(F.size(lines) > 1, F.array(joined(lines))).otherwise(F.array(F.struct(F.array(F.lit("")).alias("hits"), F.lit(0).alias("others")))),
+        lines, F.transform(F.filter(blocks, lambda b: F.size(b) > 1), joined))
+    able = (read.filter(F.exists(lines, lambda x: F.exists(x["hits"], lambda w: w.isin(needed))))
+            .select("file", F.posexplode(units).alias("unit", "held"))
+            .select("file", "unit", F.col("held.hits").alias("hits"), F.col("held.others").alias("others"))
+            .filter(F.col("others") <= most).filter(F.exists("hits", lambda w: w.isin(needed)))
+            .withColumn("square", F.aggregate("hits", F.lit(0).cast("long"), lambda a, w: a + F.element_at(squares, w))
+                        + F.col("others").cast("long") * F.lit(other))
             .select("file", "unit", "square", F.explode("hits").alias("word")))
-    scored = (able.join(matrix, "word").groupBy("file", "unit", "licence")
-              .agg((F.sum("weight") / F.sqrt(F.first("square"))).alias("cosine"))
+    scored = (able.join(matrix, "word").groupBy("file", "unit", "template")
+              .agg(F.first("licence").alias("licence"), F.first("rank").alias("rank"),
+                   (F.sum("weight") / F.sqrt(F.first("norm").cast("double") * F.first("square").cast("double"))).alias("cosine"))
               .withColumn("cosine", F.round("cosine", 6)).filter(F.col("cosine") >= least))
-    best = (scored.groupBy("file").agg(
-        F.min(F.struct((-F.col("cosine")).alias("c"), "unit", "licence")).alias("top"),
-        F.min(F.when(F.col("unit") == 0, F.struct((-F.col("cosine")).alias("c"), "licence"))).alias("whole"))
-        .select("file", F.col("top.licence").alias("own_licence"), (-F.col("top.c")).alias("cosine"),
-                F.col("whole.licence").alias("whole_licence"), (-F.col("whole.c")).alias("whole_cosine")))
+    judged = (scored.groupBy("file", "unit").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "rank", "licence")).alias("u"))
+              .select("file", "unit", F.struct("u.rank", "u.c", "u.licence").alias("u")))
+    best = (judged.groupBy("file").agg(F.min("u").alias("top"), F.min(F.when(F.col("unit") == 0, F.col("u"))).alias("whole"))
+            .select("file", "top", "whole", F.col("top.licence").alias("own_licence"), (-F.col("top.c")).alias("cosine")))
     best = cut(best)  # one row for each file with a licence; met twice below
-    slim = base.withColumn("file", file_key).drop("text")
-    marked = slim.join(best.withColumnRenamed("file", "f"), F.col("file").eqNullSafe(F.col("f")), "left").drop("f")
+    marked = (slim.join(best.select(F.col("file").alias("f"), "own_licence", "cosine"),
+                        F.col("file").eqNullSafe(F.col("f")), "left").drop("f"))
     marked = marked.withColumn("dir", F.regexp_extract("path", "^(.*)/[^/]*$", 1))
 
     # licences of directories, then of every directory below them
     named = F.col("path").rlike(r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$")
-    given = (best.select(F.col("file.path").alias("path"), "own_licence", "cosine", "whole_licence", "whole_cosine")
-             .filter(F.col("path").isNotNull()).filter(named | F.col("whole_licence").isNotNull())
-             .select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("at"), "path",
-                     F.when(named, F.col("own_licence")).otherwise(F.col("whole_licence")).alias("l"),
-                     F.when(named, F.col("cosine")).otherwise(F.col("whole_cosine")).alias("c"))
-             .groupBy("at").agg(F.min(F.struct((-F.col("c")).alias("c"), "path", "l")).alias("top"))
-             .select("at", F.col("top.l").alias("dir_licence")))
+    given = (best.select(F.col("file.path").alias("path"), "top", "whole")
+             .filter(F.col("path").isNotNull()).filter(named | F.col("whole").isNotNull())
+             .select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("at"), "path", F.when(named, F.col("top")).otherwise(F.col("whole")).alias("u"))
+             .groupBy("at").agg(F.min(F.struct("u.rank", "u.c", "path", "u.licence")).alias("near"))
+             .select("at", F.col("near.licence").alias("dir_licence")))
     steps = F.split("dir", "/")
     ancestors = (base.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir")).filter("dir IS NOT NULL").distinct()
                  .select("dir", F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)),
@@ -171,46 +191,52 @@ def document_paths(docs: DataFrame) -> DataFrame:
 
 def oracle() -> str:
     """The query over ``documents`` in DuckDB SQL."""
-    rows = ", ".join(f"('{n}', '{w}')" for n, ws in template_words(TEMPLATES).items() for w in ws)
+    rows = ", ".join(f"({t}, '{name}', {rank}, '{w}')"
+                     for t, (name, rank, ws) in enumerate(template_words(default_templates())) for w in ws)
     up = "regexp_extract(path, '^(.*)/[^/]*$', 1)"
     return f"""
-WITH tpl(licence, word) AS (VALUES {rows}),
+WITH tpl(template, licence, rank, word) AS (VALUES {rows}),
 vocab AS (SELECT list(DISTINCT word) AS v FROM tpl),
 files AS (SELECT doc_id, '/' || coalesce(source, 'unknown') || '/' || coalesce(lang, 'unknown') || '/'
     || CAST(floor(doc_id / 64) AS BIGINT) || '/'
     || CASE WHEN regexp_matches(split_part(text, chr(10), 1) || ' ' || split_part(text, chr(10), -1), '(?i)licen[cs]e') THEN 'LICENSE-' || doc_id
             ELSE doc_id || '.txt' END AS path, coalesce(text, '') AS text FROM documents),
-cutup AS (SELECT doc_id, path, text, string_split(text, chr(10)) AS ls FROM files),
-u AS (SELECT doc_id, path, 0 AS unit, text AS line FROM cutup WHERE len(ls) > 1
-      UNION ALL SELECT doc_id, path, unnest(range(1, len(ls) + 1)), unnest(ls) FROM cutup),
-w AS (SELECT doc_id, path, unit, list_distinct(regexp_extract_all(lower(line), '{WORD}')) AS words FROM u),
-units AS (SELECT w.*, list_intersect(words, v) AS hits FROM w, vocab WHERE len(words) > 0),
-total AS (SELECT count(*) AS n FROM units WHERE unit > 0),
-df AS (SELECT word, count(*) AS n FROM (SELECT unnest(hits) AS word FROM units WHERE unit > 0) GROUP BY word),
-sq AS (SELECT t.word, power(ln((1 + total.n) / (1 + coalesce(df.n, 0))) + 1.0, 2) AS s
-       FROM (SELECT DISTINCT word FROM tpl) t LEFT JOIN df USING (word), total),
-norms AS (SELECT licence, sqrt(sum(s)) AS norm FROM tpl JOIN sq USING (word) GROUP BY licence),
-h AS (SELECT doc_id, path, unit, len(words) AS nw, len(hits) AS nh, unnest(hits) AS word FROM units WHERE len(hits) > 0),
-inner_sq AS (SELECT doc_id, path, unit, sum(s) + (any_value(nw) - any_value(nh)) * any_value(o) AS square
-             FROM h JOIN sq USING (word), (SELECT power(ln((1 + n) / 2) + 1.0, 2) AS o FROM total)
-             GROUP BY doc_id, path, unit),
-scored AS (SELECT h.doc_id, h.path, h.unit, tpl.licence,
-                  round(sum(s / norm) / sqrt(any_value(square)), 6) AS cosine
-           FROM h JOIN sq USING (word) JOIN tpl USING (word) JOIN norms USING (licence)
-           JOIN inner_sq USING (doc_id, path, unit)
-           GROUP BY h.doc_id, h.path, h.unit, tpl.licence),
-good AS (SELECT * FROM scored WHERE cosine >= {LEAST}),
-best AS (SELECT doc_id, path, min(row(-cosine, unit, licence)) AS top,
-                min(CASE WHEN unit = 0 THEN row(-cosine, licence) END) AS whole FROM good GROUP BY doc_id, path),
-own AS (SELECT doc_id, path, top[3] AS own_licence, -top[1] AS cosine, whole[2] AS whole_licence, -whole[1] AS whole_cosine,
-               regexp_matches(path, '(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$') AS named FROM best),
-given AS (SELECT {up} AS place, min(row(-CASE WHEN named THEN cosine ELSE whole_cosine END, path,
-                 CASE WHEN named THEN own_licence ELSE whole_licence END)) AS top
-          FROM own WHERE named OR whole_licence IS NOT NULL GROUP BY 1),
+cutup AS (SELECT doc_id, path, string_split_regex(lower(text), '{GAP}') AS bs FROM files),
+b AS (SELECT doc_id, path, unnest(range(len(bs))) AS b, unnest(bs) AS block FROM cutup),
+sp AS (SELECT doc_id, path, b, string_split(block, chr(10)) AS ls FROM b),
+l AS (SELECT doc_id, path, b, unnest(range(len(ls))) AS l,
+             list_distinct(regexp_extract_all(unnest(ls), '{WORD}')) AS words FROM sp),
+lines AS (SELECT doc_id, path, b, l, list_intersect(words, v) AS hits, len(words) AS n FROM l, vocab WHERE len(words) > 0),
+total AS (SELECT count(*) AS n FROM lines),
+df AS (SELECT word, count(*) AS n FROM (SELECT unnest(hits) AS word FROM lines) GROUP BY word),
+idf AS (SELECT t.word, ln((1 + total.n) / (1 + coalesce(df.n, 0))) + 1.0 AS x
+        FROM (SELECT DISTINCT word FROM tpl) t LEFT JOIN df USING (word), total),
+sq AS (SELECT word, CAST(floor({UNIT} * (x * x)) AS BIGINT) AS s FROM idf),
+other AS (SELECT CAST(floor({UNIT} * (x * x)) AS BIGINT) AS o FROM (SELECT ln((1 + n) / 2) + 1.0 AS x FROM total)),
+norms AS (SELECT template, sum(s) AS norm FROM tpl JOIN sq USING (word) GROUP BY template),
+member AS (SELECT doc_id, path, 'l' || b || '.' || l AS unit, hits, n FROM lines
+           UNION ALL SELECT doc_id, path, 'b' || b, hits, n FROM lines
+           UNION ALL SELECT doc_id, path, 'w', hits, n FROM lines),
+sizes AS (SELECT doc_id, path, unit, sum(n - len(hits)) AS others, count(*) AS k FROM member GROUP BY ALL
+          HAVING k > 1 OR unit LIKE 'l%'),
+h AS (SELECT DISTINCT doc_id, path, unit, word FROM (SELECT doc_id, path, unit, unnest(hits) AS word FROM member)),
+squares AS (SELECT doc_id, path, unit, sum(s) + any_value(others) * any_value(o) AS square
+            FROM h JOIN sizes USING (doc_id, path, unit) JOIN sq USING (word), other GROUP BY doc_id, path, unit),
+scored AS (SELECT doc_id, path, unit, template, any_value(licence) AS licence, any_value(rank) AS rank,
+                  round(sum(s) / sqrt(CAST(any_value(norm) AS DOUBLE) * CAST(any_value(square) AS DOUBLE)), 6) AS cosine
+           FROM h JOIN sq USING (word) JOIN tpl USING (word) JOIN norms USING (template) JOIN squares USING (doc_id, path, unit)
+           GROUP BY doc_id, path, unit, template),
+judged AS (SELECT doc_id, path, unit, min(row(-cosine, rank, licence)) AS u FROM scored WHERE cosine >= {LEAST}
+           GROUP BY doc_id, path, unit),
+ranked AS (SELECT doc_id, path, unit, row(u[2], u[1], u[3]) AS u FROM judged),
+own AS (SELECT doc_id, path, min(u) AS top, min(CASE WHEN unit = 'w' THEN u END) AS whole,
+               regexp_matches(path, '(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$') AS named FROM ranked GROUP BY doc_id, path),
+picked AS (SELECT path, CASE WHEN named THEN top ELSE whole END AS u FROM own WHERE named OR whole IS NOT NULL),
+given AS (SELECT {up} AS place, min(row(u[1], u[2], path, u[3])) AS top FROM picked GROUP BY 1),
 dirs AS (SELECT DISTINCT {up} AS dir FROM files),
 anc AS (SELECT dir, array_to_string(string_split(dir, '/')[1:k], '/') AS place
         FROM (SELECT dir, unnest(range(1, len(string_split(dir, '/')) + 1)) AS k FROM dirs)),
-near AS (SELECT dir, max(row(length(anc.place), top[3])) AS near FROM anc JOIN given USING (place) GROUP BY dir)
-SELECT f.doc_id, f.path, own_licence, cosine, coalesce(own_licence, near[2]) AS licence,
-       CASE WHEN own_licence IS NOT NULL THEN 'own' WHEN near IS NOT NULL THEN 'directory' END AS origin
+near AS (SELECT dir, max(row(length(anc.place), top[4])) AS near FROM anc JOIN given USING (place) GROUP BY dir)
+SELECT f.doc_id, f.path, top[3] AS own_licence, -top[2] AS cosine, coalesce(top[3], near[2]) AS licence,
+       CASE WHEN top IS NOT NULL THEN 'own' WHEN near IS NOT NULL THEN 'directory' END AS origin
 FROM files f LEFT JOIN own USING (doc_id, path) LEFT JOIN near ON near.dir = {up.replace('path', 'f.path')}"""
