@@ -8,7 +8,9 @@
 3. Words that look disguised (leetspeak, letters set apart by spaces or signs,
    repeated letters) become a lattice of what each character may stand for;
    Viterbi decoding finds the likeliest text under the character model, with a
-   prior for words that training found toxic.
+   prior for words that training found toxic. As that prior counts only where a
+   word ends, states hold the beginnings of those words; no reading is lost. Time
+   follows a word's length, memory what its readings do not share.
 4. The restored text is scored: a logistic function of its three most telling
    words. Its few parameters are fitted on the same training documents, each
    scored without its own contribution to the counts.
@@ -49,8 +51,8 @@ LEAST_TOXIC = 3
 STEMS = (4, 5)
 #: Features of a text: its highest word scores.
 TOP = 3
-#: Paths kept for each state of the decoder.
-PATHS = 6
+#: Nodes that the decoder makes before it looks for those that are of no more use.
+NODES = 4_096
 #: Distinct words whose scores a task keeps.
 CACHE_WORDS = 100_000
 BATCH_BYTES = 2 << 20
@@ -61,6 +63,8 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg",
 ANY_LETTER = "*#%?"
 SIGNS = " ._-~,:;'\"/\\^&=*#%?"
 END, OTHER = "$", "~"
+#: A word that no toxic word begins like.
+LOST = "~"
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + END + OTHER
 THRICE = re.compile(r"(.)\1\1", re.DOTALL)
 
@@ -105,6 +109,7 @@ class Decoder:
         for gram, n in trigrams.items():
             self.two[gram[:2]] += n
         self.toxic_words = toxic_words
+        self.begun = {w[:n] for w in toxic_words for n in range(1, len(w) + 1)}
 
     def cost(self, before: str, c: str) -> float:
         """Minus log of the probability of a letter class after two others."""
@@ -126,40 +131,119 @@ class Decoder:
 
     def restore(self, text: str) -> list[str]:
         """The words of the likeliest reading."""
-        states = {END + END: [(0.0, "")]}
+        return self.decode(text)[1].split()
+
+    def decode(self, text: str) -> tuple[float, str]:
+        """Cost and text of the likeliest reading; of equal costs the one that begins smallest.
+        All that later costs depend on is a state's key: the last two letter classes,
+        the word so far (``LOST`` where no toxic word begins so) and the last letter.
+        A state is (cost, node of the letters before the last one)."""
+        done = Readings()
+        states = {(END + END, "", ""): (0.0, -1)}
         for i in range(len(text)):
-            following: dict[str, list[tuple[float, str]]] = {}
-            for before, paths in states.items():
-                for cost, done in paths:
-                    last = done[-1:]
-                    for c, extra in self.options(text, i):
-                        if c == "":
-                            following.setdefault(before, []).append((cost + extra, done))
-                            continue
-                        if c == END:
-                            if last and last != " ":
-                                following.setdefault(END + END, []).append(
-                                    (cost + extra + self.ended(before, done), done + " "))
-                            else:
-                                following.setdefault(before, []).append((cost + extra, done))
-                            continue
+            following: dict[tuple[str, str, str], tuple[float, int]] = {}
+            choices = self.options(text, i)
+
+            def reach(key, cost, parent, following=following):
+                held = following.get(key)
+                if held is None or cost < held[0] or (cost == held[0] and parent != held[1]
+                                                      and done.compare(parent, held[1]) < 0):
+                    following[key] = cost, parent
+
+            for key, (cost, parent) in states.items():
+                before, word, last = key
+                node = done.node(parent, last)
+                for c, extra in choices:
+                    if c == "" or c == END and last in ("", " "):
+                        reach(key, cost + extra, parent)
+                    elif c == END:
+                        reach((END + END, "", " "), cost + extra + self.ended(before, word), node)
+                    else:
                         if c == last:  # a repeated letter may count once
-                            following.setdefault(before, []).append((cost + 1.0, done))
+                            reach(key, cost + 1.0, parent)
                         k = letter_class(c)
-                        following.setdefault(before[1] + k, []).append((cost + extra + self.cost(before, k), done + c))
-            states = {s: sorted(set(p))[:PATHS] for s, p in following.items()}
-        best = min(((cost + self.ended(before, done), done) for before, paths in states.items()
-                    for cost, done in paths), default=(0.0, ""))
-        return best[1].split()
-
-    def ended(self, before: str, done: str) -> float:
-        word = done.rsplit(" ", 1)[-1]
+                        reach((before[1] + k, word + c if word + c in self.begun else LOST, c),
+                              cost + extra + self.cost(before, k), node)
+            states = following
+            if len(done.letter) >= done.enough:
+                states = done.shrink(states)
+        least = min(cost + self.ended(key[0], key[1]) for key, (cost, _) in states.items())
+        return least, min(done.text(parent, key[2]) for key, (cost, parent) in states.items()
+                          if cost + self.ended(key[0], key[1]) == least)
+
+    def ended(self, before: str, word: str) -> float:
         if not word:
             return 0.0
         # a toxic word is likelier than the model of all words has it
         return min(self.cost(before, END), 5.0) - (4.0 + len(word) if word in self.toxic_words else 0.0)
 
 
+class Readings:
+    """The letters of decoding paths as a tree, one node for each distinct beginning,
+    so that a step costs the same at every length. What all paths share is written
+    out and their dead ends go as the tree grows."""
+
+    def __init__(self) -> None:
+        self.parent: list[int] = []
+        self.letter: list[str] = []
+        self.depth: list[int] = []
+        self.known: dict[tuple[int, str], int] = {}
+        self.settled: list[str] = []
+        self.enough = NODES
+
+    def node(self, parent: int, letter: str) -> int:
+        at = self.known.get((parent, letter))
+        if at is None:
+            at = self.known[parent, letter] = len(self.letter)
+            self.parent.append(parent)
+            self.letter.append(letter)
+            self.depth.append(self.depth[parent] + 1 if parent >= 0 else 0)
+        return at
+
+    def compare(self, p: int, q: int) -> int:
+        """Order of the texts at two nodes, from where they part."""
+        m, n = (self.depth[k] if k >= 0 else -1 for k in (p, q))
+        x = y = ""
+        for _ in range(m - n):
+            p, x = self.parent[p], self.letter[p]
+        for _ in range(n - m):
+            q, y = self.parent[q], self.letter[q]
+        while p != q:
+            p, x, q, y = self.parent[p], self.letter[p], self.parent[q], self.letter[q]
+        return (x > y) - (x < y)
+
+    def text(self, parent: int, letter: str) -> str:
+        out = [letter]
+        while parent >= 0:
+            out.append(self.letter[parent])
+            parent = self.parent[parent]
+        return "".join(self.settled) + "".join(reversed(out))
+
+    def shrink(self, states: dict) -> dict:
+        """The states, on a tree with only what they need."""
+        ends = {parent for _, parent in states.values()}
+        needed = set()
+        for at in ends:
+            while at >= 0 and at not in needed:
+                needed.add(at)
+                at = self.parent[at]
+        kept = sorted(needed)
+        children = Counter(self.parent[at] for at in kept)
+        top = 0  # parents come before their children: the shared beginning is a run of single children
+        if -1 not in ends:
+            while kept[top] not in ends and children[kept[top]] == 1:
+                top += 1
+        self.settled.append("".join(self.letter[at] for at in kept[:top]))
+        kept = kept[top:]
+        new = {at: k for k, at in enumerate(kept)}
+        self.parent = [new.get(self.parent[at], -1) for at in kept]
+        self.letter = [self.letter[at] for at in kept]
+        self.depth = [self.depth[at] for at in kept]
+        self.known = {(p, c): k for k, (p, c) in enumerate(zip(self.parent, self.letter, strict=True))}
+        self.enough = 2 * len(kept) + NODES
+        return {key: (cost, new.get(parent, -1)) for key, (cost, parent) in states.items()}
+
+
 class TextWords:
     """The words of some texts: distinct ones, and which are in which text."""
 
