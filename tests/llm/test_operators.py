@@ -9,6 +9,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 P = pytest.importorskip("public_tokenizers")
 tokenizers = pytest.importorskip("tokenizers")
@@ -217,8 +218,9 @@ def test_decontamination(spark, docs, none):
         v = split(t)
         for k in range(len(v) - min(13, len(v)) + 1 if v else 0):
             windows.setdefault(tuple(v[k:k + 13]), set()).add(i)
-    for block in (1 << 20, 20):  # one block and many
-        got = by_id(decontaminate.contamination(docs, bench, block_words=block))
+    for parts in (1, 5):
+        bench = bench.repartition(parts)
+        got = by_id(decontaminate.contamination(docs, bench))
         clean = []
         for i in IDS:
             v, hit, found = split(TEXT[i]), set(), set()
@@ -232,7 +234,7 @@ def test_decontamination(spark, docs, none):
             assert got[i]["n_words"] == len(v)
             if not hit or 20 * len(hit) < len(v):
                 clean.append(next(r for r in ROWS if r[0] == i))
-        left = decontaminate.decontaminated(docs, bench, block_words=block)
+        left = decontaminate.decontaminated(docs, bench)
         assert left.columns == docs.columns
         assert sorted(tuple(r) for r in left.select("doc_id", "text", "hits").fillna("-").collect()) == sorted(
             (r[0], r[1] if r[1] is not None else "-", r[12]) for r in clean)
@@ -241,6 +243,41 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.contamination(docs, bench.limit(0)).filter("size(hits) > 0").count() == 0
 
 
+def test_shared_passages(spark):
+    """A passage in a third of all documents and in many items, repeated rows, null ids
+    and a long text of one phrase: the words hit and the items, by brute force."""
+    rnd = random.Random(11)
+    say = lambda n: " ".join(rnd.choice("abcdefgh") + str(rnd.randrange(9)) for _ in range(n))
+    passage = say(40)
+    rows = [(i, f"{say(i % 30)} {passage if i % 3 == 0 else passage[:60]} {say(20)}") for i in range(300)]
+    rows += [rows[0], rows[0], (None, rows[3][1]), (None, rows[3][1]), (None, say(30)), (400, "r r " * 3000)]
+    items = [(i, f"{say(i)} {passage}") for i in range(40)] + [(40, "r " * 15), (41, "r r r"), (41, say(14)), (42, passage[:60])]
+    bench = spark.createDataFrame(items, "item_id int, text string").repartition(4)
+    windows = {}
+    for i, t in items:
+        v = t.split()
+        for k in range(len(v) - min(13, len(v)) + 1):
+            windows.setdefault(tuple(v[k:k + 13]), set()).add(str(i))
+    lengths = {len(w) for w in windows}
+
+    def brute(t):
+        v, hit, found = t.split(), set(), set()
+        for n in lengths:
+            for k in range(len(v) - n + 1):
+                if (own := windows.get(tuple(v[k:k + n]))) is not None:
+                    found |= own
+                    hit.update(range(k, k + n))
+        return len(v), len(hit), sorted(found)
+
+    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(5)
+    got = decontaminate.contamination(docs, bench).withColumn("n", decontaminate.n_hit(F.col("hits"))).collect()
+    told = sorted((str(r["doc_id"]), r["n_words"], r["n"], r["item_ids"]) for r in got)
+    assert told == sorted((str(i), *brute(t)) for i, t in rows)
+    kept = decontaminate.decontaminated(docs, bench).collect()
+    want = [(str(i), t) for i, t in rows if (b := brute(t))[1] == 0 or 20 * b[1] < b[0]]
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == sorted(want)
+
+
 def test_tokens(docs, none, odd):
     coder = tokenizers.Tokenizer.from_file(VOCAB)
     ids = {i: coder.encode(TEXT[i], add_special_tokens=False).ids for i in IDS}
@@ -304,6 +341,16 @@ def test_line_dedup(docs, none, odd):
     assert line_dedup.dedup_lines(odd).count() == 5
 
 
+@pytest.mark.parametrize("kind", ["long", "string", "int"])
+def test_lines_of_rows_without_id(spark, kind):
+    """Rows with a null id are documents of their own, before all others."""
+    texts = ["p q r s t\nu v w x y\nalone a b c", "f g h i j\nk l m n o\nf g h i j", "alone d e f\nu v w x y"]
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (9, "p q r s t\nof nine only")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    got = {r["text"]: r["n_removed"] for r in line_dedup.dedup_lines(docs, counts=True).collect()}
+    assert got == {texts[0]: 0, "f g h i j\nk l m n o": 1, "alone d e f": 1, "of nine only": 1}
+
+
 def test_html():
     page = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p><p>no</p>";</script></head><body>
     <header><h1>Site</h1></header><nav><ul><li><a href=a>Home</a></li></ul></nav><div class="cookie-notice">We use
