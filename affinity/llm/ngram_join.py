@@ -24,8 +24,9 @@ link that could join two components is checked: the components are exact.
 Edge cases: null and empty texts, and texts without words, have empty sets and
 are linked with nothing (their own component); fewer than ``n`` words make one
 shingle; equal ids in several rows keep a row each, and the smallest id names the
-component; null ids take part and come back with their component; extra columns
-are not read.
+component; null ids take part, link others and come back with their component (null
+if no row in it has an id); extra columns are not read. A set's text is that of one
+of its rows, found by a 128-bit hash of id and text.
 """
 
 from __future__ import annotations
@@ -63,14 +64,15 @@ def _sets(batch_it, n):
 
 
 def _describe(n, id_type):
-    """Rows (id, sig, size) of documents and (h, count) of frequent n-grams."""
+    """Rows (id, k1, k2, sig, size) of documents and (h, count) of frequent n-grams."""
     def run(it):
         counts = LocalCounts()
 
         def told(found):
             h, c, size = found
+            none = pa.nulls(len(h) + 1, pa.int64())
             yield pa.RecordBatch.from_pydict({
-                "id": pa.nulls(len(h) + 1, id_type), "sig": pa.nulls(len(h) + 1, pa.binary()),
+                "id": pa.nulls(len(h) + 1, id_type), "k1": none, "k2": none, "sig": pa.nulls(len(h) + 1, pa.binary()),
                 "size": pa.nulls(len(h) + 1, pa.int64()), "kind": pa.array([1] * (len(h) + 1), pa.int32()),
                 "h": pa.array([*h.view(np.int64).tolist(), None], pa.int64()),
                 "n": pa.array([*c.tolist(), size], pa.int64())})
@@ -78,7 +80,7 @@ def _describe(n, id_type):
         for part, sets in _sets(it, n):
             k = len(sets)
             yield pa.RecordBatch.from_pydict({
-                "id": part.column("id"), "sig": pa.array([signature(s) for s in sets], pa.binary()),
+                "id": part.column("id"), "k1": part.column("k1"), "k2": part.column("k2"), "sig": pa.array([signature(s) for s in sets], pa.binary()),
                 "size": pa.array([len(s) for s in sets], pa.int64()),
                 "kind": pa.array([0] * k, pa.int32()), "h": pa.nulls(k, pa.int64()), "n": pa.nulls(k, pa.int64())})
             if sets and (found := counts.add(np.concatenate(sets))):
@@ -175,12 +177,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     bounded_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    src = src.withColumns({"k1": F.xxhash64("id", "text"), "k2": F.xxhash64(F.lit(1), "id", "text")})
     id_type = src.schema["id"].dataType
     told = cut(src.mapInArrow(tidy(_describe(n, _arrow(id_type))),
-                              f"id {id_type.simpleString()}, sig binary, size long, kind int, h long, n long"))
-    rows = told.filter("kind = 0").select("id", "sig", "size")
+                              f"id {id_type.simpleString()}, k1 long, k2 long, sig binary, size long, kind int, h long, n long"))
+    rows = told.filter("kind = 0").select("id", "k1", "k2", "sig", "size")
     common = sc.broadcast(frequent(told.filter("kind = 1").select("h", "n")))
-    classes = cut(rows.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("id").alias("rep")))
+    classes = cut(rows.filter("sig IS NOT NULL").groupBy("sig")
+                  .agg(F.min("id").alias("rep"), F.min(F.struct("k1", "k2")).alias("row")))
 
     # columns in which at least two rows meet
     entries = (src.select("text").mapInArrow(tidy(_entries(n, num, den, common)),
@@ -198,9 +202,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def texts_of(pairs: DataFrame) -> DataFrame:
         """(sig, text) of the sets that are in pairs: one text for each set."""
         names = pairs.select(F.explode(F.array("x", "y")).alias("sig")).distinct()
-        wanted = cut(names.join(classes, "sig").select("sig", F.col("rep").alias("id")))
-        keys = KeyFilter(wanted.select(F.xxhash64("id").alias("k")))
-        return (src.filter(keys.passes(F.xxhash64("id"))).join(wanted, "id")
+        wanted = cut(names.join(classes, "sig").select("sig", "row.k1", "row.k2"))
+        keys = KeyFilter(wanted.select(F.col("k1").alias("k")))
+        return (src.filter(keys.passes(F.col("k1"))).join(wanted, ["k1", "k2"])
                 .select("sig", "text").dropDuplicates(["sig"]))
 
     pair = ["sig AS x", "size AS x_size", "place AS x_place",

@@ -206,6 +206,17 @@ def test_one_of_each(docs, none, odd):
     assert sorted(str(r["doc_id"]) for r in ngram_join.one_of_each(odd).collect()).count(str(ROWS[3][0])) == 1
 
 
+def test_links_of_rows_without_id(spark):
+    """A text without id links two others; rows of one id have different texts."""
+    w = [f"v{i}" for i in range(130)]
+    rows = [(1, " ".join(w[:100])), (None, " ".join(w[8:108])), (2, " ".join(w[16:116])), (3, "a b c d e f"),
+            (5, " ".join(w[16:115])), (5, "q r s t u v"), (None, "g h i j k"), (None, "g h i j k"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    got = sorted(map(str, (tuple(r) for r in ngram_join.jaccard_components(docs).collect())))
+    assert got == sorted(map(str, [(1, 96, 1), (None, 96, 1), (2, 96, 1), (3, 2, 3), (5, 95, 1), (5, 2, 5), (None, 1, None),
+                                   (None, 1, None), (None, 0, None)]))
+
+
 def test_decontamination(spark, docs, none):
     long = next(r[1] for r in ROWS if r[1] and len(words(r[1])) > 100)
     w = long.split()
