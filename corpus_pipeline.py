@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from affinity.llm import decontaminate, line_dedup, ngram_join, toxicity
 from affinity.llm.bpe import encode_decode
 from affinity.llm.common import read_table
-from affinity.session import scratch_path
+from affinity.session import checkpoint_dir, scratch_path
 
 VOCABULARY = os.environ.get("AFFINITY_VOCABULARY") or public_tokenizers.path("byte_bpe_50k.json")
 
@@ -61,21 +61,41 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, run_id: str | None = None) -> DataFrame:
     """Apply the stages to ``documents``. Each stage's result is written below
     the shared checkpoint folder and read again; a result goes as soon as the
-    next one is written."""
-    docs, before = read_table(spark, sf_dir, "documents"), None
-    for name, stage in STAGES[:-1]:
-        path = scratch_path(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        if before:
-            remove(spark, before)
-        docs, before = spark.read.parquet(path), path
+    next one is written. The last stage is not yet worked out in what comes back:
+    its input stays until the caller has no more use for it.
+
+    With a ``run_id`` of the caller's, a run that failed goes on after its last
+    finished stage when called again with that id and the same tables. Without
+    one, what a failed run has written goes."""
+    base = f"{checkpoint_dir(spark).rstrip('/')}/affinity-run-{run_id}" if run_id else scratch_path(spark, "stages")
+    paths = [f"{base}/{name}" for name, _ in STAGES[:-1]]
+    last = max((i for i, path in enumerate(paths) if _files(spark, path, "_SUCCESS").exists()), default=-1)
+    docs = spark.read.parquet(paths[last]) if last >= 0 else read_table(spark, sf_dir, "documents")
+    for i in range(last + 1, len(paths)):
+        try:
+            STAGES[i][1](spark, docs, sf_dir).write.mode("overwrite").parquet(paths[i])
+        except Exception:
+            if not run_id:
+                _files(spark, base).delete()
+            raise
+        docs = spark.read.parquet(paths[i])
+        if i:
+            _files(spark, paths[i - 1]).delete()
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a stage's own result, whatever file system it is on."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+class _files:
+    """A file or folder, whatever file system it is on."""
+
+    def __init__(self, spark: SparkSession, *parts: str):
+        self.path = spark._jvm.org.apache.hadoop.fs.Path("/".join(parts))
+        self.system = self.path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def exists(self) -> bool:
+        return self.system.exists(self.path)
+
+    def delete(self) -> None:
+        self.system.delete(self.path, True)
