@@ -9,8 +9,8 @@ computes its distance tile with one NumPy matrix product and emits only its
 top-k per query. A final ``row_number() <= k`` (planned as a partial
 WindowGroupLimit before the shuffle) merges the per-tile candidates.
 
-Memory per task is two sides of ``TILE_BYTES`` and ``TILE_CELLS`` distances; no task ever sees a
-whole table, and no row per (query, point) pair is materialised in Spark.
+Memory per task is two sides of ``TILE_BYTES``, ``TILE_CELLS`` distances and ``RESULT_BYTES`` of neighbours
+(with many neighbours a tile has fewer queries); no task ever sees a whole table, and no row per (query, point) pair is materialised in Spark.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, ship_code
 
-#: Bytes of vectors on a side of a tile; distances held at once.
-TILE_BYTES, TILE_CELLS = 32 << 20, 1 << 21
+#: Bytes of vectors on a side of a tile, of the neighbours a tile gives; distances held at once.
+TILE_BYTES, RESULT_BYTES, TILE_CELLS = 16 << 20, 96 << 20, 1 << 21
 
 ORDERS = ("nearest", "reference")
 DENSE_MEASURES = ("cosine", "euclidean", "manhattan")
@@ -167,7 +167,8 @@ def block_candidates(qry: DataFrame, pts: DataFrame, k: int, measure: str = "cos
     ship_code()
     n_q, n_p = qry.count(), pts.count()
     rows, tasks = block_rows or tile_rows(pts), pts.sparkSession.sparkContext.defaultParallelism
-    qb, pb = _blocks(n_q, rows, tasks), _blocks(n_p, rows, tasks)
+    asked = rows if block_rows else max(1, min(rows, RESULT_BYTES // (24 * (k + 1))))  # id, nbr, dist
+    qb, pb = _blocks(n_q, asked, tasks), _blocks(n_p, rows, tasks)
     # fresh attribute ids on both sides: queries are often a subset of the points
     qry = qry.select(F.col("id").alias("id"), F.col("vec").alias("vec"))
     pts = pts.select(F.col("id").alias("id"), F.col("vec").alias("vec"))

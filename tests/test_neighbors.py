@@ -126,3 +126,23 @@ def test_softmax_and_naive_averages(spark):
     r = df.agg(P.softmax_average("w", "v").alias("s"), P.naive_average("v", 10).alias("n")).first()
     e = np.e
     assert r.s == pytest.approx((1 + e * 3) / (1 + e)) and r.n == pytest.approx(0.4)
+
+
+def test_a_tile_gives_a_bounded_number_of_neighbours(spark, monkeypatch):
+    """With many neighbours a tile has fewer queries; results are the same."""
+    import numpy as np
+
+    from affinity.operators import knn as K
+    rnd = np.random.default_rng(5)
+    pts = spark.createDataFrame([(i, [float(x) for x in rnd.random(4)]) for i in range(300)], "id long, vec array<double>")
+    whole = sorted(map(tuple, K.exact_neighbors(pts, k=40).collect()))
+    monkeypatch.setattr(K, "RESULT_BYTES", 24 * 41 * 20)
+    asked, blocks = [], K._blocks
+
+    def seen(n, rows, tasks):
+        asked.append(rows)
+        return blocks(n, rows, tasks)
+
+    monkeypatch.setattr(K, "_blocks", seen)
+    assert sorted(map(tuple, K.exact_neighbors(pts, k=40).collect())) == whole
+    assert asked[0] == 20
