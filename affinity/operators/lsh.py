@@ -24,19 +24,20 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, ship_code, ship_package
 from . import steps
-from .knn import DENSE_MEASURES, rank_neighbors, tile_top_k
+from .knn import DENSE_MEASURES, arrow_tile, rank_neighbors
 from .numbering import number_rows
 
 LSH_MEASURES = ("hamming", "cosine", "euclidean", "manhattan", "jaccard")
 #: Up to so many units selectivity goes by combined keys (2^units - 1 rows for a point).
 COMBINED_UNITS = 6
+#: Members of a bucket that meet as a block, where ``block_rows`` isn't given: sets, codes; bytes of dense vectors.
+BLOCK_ROWS, BLOCK_BYTES = 1024, 4 << 20
 #: Pairs of a tile that selectivity looks at at once.
 PAIRS_AT_ONCE = 1 << 20
 
@@ -45,12 +46,6 @@ def _dlit(x: float) -> Column:
     return F.lit(float(x))
 
 
-def pair_tile_top_k(qdf: pd.DataFrame, pdf: pd.DataFrame, k: int, measure: str,
-                    digits: int | None, exclude_self: bool) -> pd.DataFrame:
-    return tile_top_k(qdf["id"].to_numpy(), list(qdf["vec"]), pdf["id"].to_numpy(), list(pdf["vec"]), k, measure, "nearest",
-                      digits, exclude_self)
-
-
 def draw(measure: str, seed: int, tables: int, signature: int, dim: int, bucket_width: float) -> dict:
     """The hash functions of a family, the same for equal arguments."""
     rng = np.random.default_rng(seed)
@@ -90,7 +85,7 @@ class LSH:
     prime: int = 0
     bands: int = 0
     seed: int = 0
-    block_rows: int = 1024
+    block_rows: int | None = None
     params: dict = field(init=False, repr=False)
 
     def __post_init__(self):
@@ -210,7 +205,7 @@ class LSH:
                exclude_self: bool, digits: int | None) -> DataFrame:
         ship_code()
         bucket = ["tbl", "band", "key"]
-        block = self.block_rows
+        block = self.block_rows or (max(BLOCK_ROWS, BLOCK_BYTES // (8 * self.dim)) if self.measure in DENSE_MEASURES else BLOCK_ROWS)
         cols = ["id", "vec"] + bucket
         qent = qent.select(*[F.col(c).alias(c) for c in cols])
         pent = pent.select(*[F.col(c).alias(c) for c in cols])
@@ -232,12 +227,12 @@ class LSH:
              .select(*bucket, "sq", "sp", "id", "vec"))
         measure = self.measure
 
-        def tile(qdf: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
-            return pair_tile_top_k(qdf, pdf, k, measure, digits, exclude_self)
+        def tile(qtable: pa.Table, ptable: pa.Table) -> pa.Table:
+            return arrow_tile(qtable, ptable, k, measure, "nearest", digits, exclude_self)
 
         keys = bucket + ["sq", "sp"]
         cand = (q.groupBy(*keys).cogroup(p.groupBy(*keys))
-                .applyInPandas(tile, schema="id long, nbr long, dist double"))
+                .applyInArrow(tile, schema="id long, nbr long, dist double"))
         if digits is not None:
             cand = cand.withColumn("dist", F.round("dist", digits))
         # A pair colliding in several tables/bands counts once.
@@ -304,7 +299,7 @@ class LSH:
             F.transform(F.array_sort(F.collect_list(F.struct("unit", "code"))), lambda e: e["code"]).alias("codes")))
         placed = points.select("id", "codes", F.posexplode("codes").alias("unit", "code"))
         sizes = placed.groupBy("code").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        block = self.block_rows
+        block = self.block_rows or BLOCK_ROWS
         # small buckets share groups; a large one is cut into blocks and gets a group for each pair of blocks
         groups = max(1, -(-placed.count() // (4 * block)))
         met = placed.join(sizes.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).drop("n"), "code")
