@@ -12,6 +12,9 @@ WindowGroupLimit before the shuffle) merges the per-tile candidates.
 
 Memory per task is sides of ``TILE_BYTES`` and ``POINT_BYTES``, ``ROUGH_CELLS`` rough distances and ``RESULT_BYTES`` of neighbours
 (with many neighbours a tile has fewer queries); no task ever sees a whole table, and no row per (query, point) pair is materialised in Spark.
+
+Sets that share few elements meet by lists of the elements' members instead (``set_lists``), so
+that pairs without a common element aren't looked at.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, ship_code
+from . import set_lists
 
 #: Bytes of vectors on a side of a tile, of the neighbours a tile gives; distances held at once.
 TILE_BYTES, RESULT_BYTES, TILE_CELLS = 16 << 20, 96 << 20, 1 << 21
@@ -330,6 +334,8 @@ def exact_neighbors(points: DataFrame, queries: DataFrame | None = None, k: int
         raise ValueError(f"unknown measure {measure!r}")
     vtype = "array<int>" if measure in SET_MEASURES else "array<double>"
     pts = points.select(F.col("id").cast("long").alias("id"), F.col("vec").cast(vtype).alias("vec"))
+    if measure in SET_MEASURES:
+        pts = cut_lineage(pts)  # read for the sizes, the lists and the nearest of other sets
     qry = pts if queries is None else cut_lineage(pts.join(
         queries.select(F.col("id").cast("long").alias("id")).distinct(), "id", "left_semi"))
     cand = block_candidates(qry, pts, k, measure, order, block_rows, digits)
@@ -346,6 +352,10 @@ def block_candidates(qry: DataFrame, pts: DataFrame, k: int, measure: str = "cos
     point rows; the global top-k of a query is contained in their union."""
     ship_code()
     n_q, n_p = qry.count(), pts.count()
+    if measure in SET_MEASURES and order == "nearest" and block_rows is None and set_lists.unique_ids(pts) and set_lists.unique_ids(qry):
+        pairs = set_lists.common_pairs(qry, pts, [])
+        if n_q * n_p > set_lists.CELLS_A_PAIR * pairs:
+            return set_lists.set_candidates(qry, pts, k, measure, [], pairs, True, digits)
     rows, tasks = block_rows or tile_rows(pts), pts.sparkSession.sparkContext.defaultParallelism
     asked = rows if block_rows else max(1, min(rows, RESULT_BYTES // (24 * (k + 1))))  # id, nbr, dist
     points = rows if block_rows or measure in SET_MEASURES else max(1, rows * POINT_BYTES // TILE_BYTES)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, ship_code, ship_package
-from . import steps
+from . import set_lists, steps
 from .knn import DENSE_MEASURES, arrow_tile, rank_neighbors
 from .numbering import number_rows
 
@@ -211,6 +211,15 @@ class LSH:
         pent = pent.select(*[F.col(c).alias(c) for c in cols])
         qn = qent.groupBy(*bucket).agg(F.count(F.lit(1)).alias("nq"))
         pn = pent.groupBy(*bucket).agg(F.count(F.lit(1)).alias("np"))
+        if self.measure not in DENSE_MEASURES:
+            found = qn.join(pn, bucket).agg(F.sum(F.col("nq").cast("double") * F.col("np")).alias("cells"),
+                                            F.max(F.greatest("nq", "np")).alias("largest")).first()
+            # buckets of more than a tile: sets that share few elements meet by lists of members
+            if (found["largest"] or 0) > block and all(map(set_lists.unique_ids, self._units(qent, pent))):
+                pairs = set_lists.common_pairs(qent, pent, bucket)
+                if found["cells"] > set_lists.CELLS_A_PAIR * pairs:
+                    cand = set_lists.set_candidates(qent, pent, k, self.measure, bucket, pairs, exclude_self, digits)
+                    return cand.groupBy("id", "nbr").agg(F.min("dist").alias("dist"))
         sizes = (qn.join(pn, bucket)
                  .withColumn("bq", F.ceil(F.col("nq") / block).cast("long"))
                  .withColumn("bp", F.ceil(F.col("np") / block).cast("long"))
@@ -238,6 +247,11 @@ class LSH:
         # A pair colliding in several tables/bands counts once.
         return cand.groupBy("id", "nbr").agg(F.min("dist").alias("dist"))
 
+    @staticmethod
+    def _units(*entries: DataFrame) -> list[DataFrame]:
+        """The ids of a hash unit: every point has an entry in each."""
+        return [e.filter("tbl = 0 AND band = 0") for e in {id(e): e for e in entries}.values()]
+
     def neighbors(self, points: DataFrame, k: int, digits: int | None = 6) -> DataFrame:
         """(id, nbr, dist, rnk), the k nearest colliding points of every point."""
         pts = self._vectors(points)
