@@ -5,7 +5,7 @@ elements, the points that hold it, and the number of times a point comes up is t
 intersection. Points that share nothing with a query are at a distance known from the sizes
 alone (Jaccard 1, Hamming the sum of sizes), so the first k + 1 of them by size and id stand for all.
 No pair of sets without a common element is made; lists are shuffled, pairs are not: tasks are by
-query (a query with very many elements by parts of its lists) and make about ``PAIRS_A_TASK`` pairs each.
+query (a query with very many pairs by parts of its lists) and make about ``PAIRS_A_TASK`` pairs each.
 An element with more than ``BLOCK_ROWS`` members is dealt into blocks.
 """
 
@@ -13,10 +13,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .skew import HOT_KEYS
+from ..session import ship_code
 
 #: Tiles are taken unless they have so many times more cells than there are pairs by a common element.
 CELLS_A_PAIR = 16
@@ -58,10 +61,11 @@ def _lists(members: DataFrame, heavy: DataFrame, by: list[str], own: str, other:
 
 def set_candidates(qry: DataFrame, pts: DataFrame, k: int, measure: str, keys: list[str], pairs: int,
                    exclude_self: bool, digits: int | None) -> DataFrame:
-    """(keys, id, nbr, dist): the k nearest points of every query among those with equal ``keys``, ties by id.
+    """(id, nbr, dist): the k nearest points of every query among those with equal ``keys``, ties by id.
 
     ``qry`` and ``pts`` have ``keys``, ``id`` (unique among rows of equal keys) and ``vec``, a set;
     ``pairs`` is what ``common_pairs`` counts. Two empty sets have no Jaccard distance."""
+    ship_code()
     spark, by = pts.sparkSession, [*keys, "item"]
     q, p = _members(qry, keys), _members(pts, keys)
     heavy = (_sizes(q, p, keys).filter(F.greatest("nq", "np") > BLOCK_ROWS)
@@ -80,24 +84,67 @@ def set_candidates(qry: DataFrame, pts: DataFrame, k: int, measure: str, keys: l
     apart = queries.join(first, keys) if keys else queries.crossJoin(F.broadcast(first))
     lists = shared.unionByName(apart.withColumn("c", F.lit(0)))
 
-    rows = q.count()
-    hot = F.broadcast(q.groupBy(F.col("id").alias("_hot")).agg(F.count(F.lit(1)).alias("_rows"))
-                      .filter(F.col("_rows") * HOT_KEYS > rows)
-                      .select("_hot", F.ceil(F.col("_rows") * HOT_KEYS / max(rows, 1)).cast("int").alias("_salts")))
+    # a query with more pairs than a task makes is dealt over parts of its lists
+    made = q.join(p.groupBy(*by).agg(F.count(F.lit(1)).alias("np")), by).groupBy(F.col("id").alias("_hot")).agg(F.sum("np").alias("_pairs"))
+    hot = F.broadcast(made.filter(F.col("_pairs") > PAIRS_A_TASK).select("_hot", F.ceil(F.col("_pairs") / PAIRS_A_TASK).cast("int").alias("_salts")))
     lists = (lists.join(hot, F.col("id").eqNullSafe(F.col("_hot")), "left")
              .withColumn("_salts", F.coalesce("_salts", F.lit(1)))
              .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))))
     lists = lists.withColumn("others", F.when(F.col("_salts") == 1, F.col("others")).otherwise(
         F.filter("others", lambda o: F.pmod(F.xxhash64(o["id"]), F.col("_salts")) == F.col("_salt"))))
     tasks = max(spark.sparkContext.defaultParallelism, math.ceil(pairs / PAIRS_A_TASK))
-    lists = lists.select(*keys, "id", "_salt", "n", "c", F.col("others.id").alias("nbr"), F.col("others.n").alias("m")).repartition(tasks, "id", "_salt")
-
-    pair = lists.select(*keys, "id", "_salt", "n", "c", F.explode(F.arrays_zip("nbr", "m")).alias("o")).select(*keys, "id", "_salt", "n", "c", "o.*")
+    bucket = F.to_json(F.struct(*keys)) if keys else F.lit("")
+    lists = lists.select(F.pmod(F.xxhash64("id", "_salt"), F.lit(tasks)).alias("task"), bucket.alias("bucket"), "id", "n", "c",
+                         F.col("others.id").alias("nbr"), F.col("others.n").alias("m")).repartition(tasks, "task")
+    best = lists.groupBy("task").applyInArrow(lambda table: best_sets(table, k, measure, exclude_self, digits), "id long, nbr long, dist double")
+    return best if digits is None else best.withColumn("dist", F.round("dist", digits))
+
+
+def best_sets(table: pa.Table, k: int, measure: str, exclude_self: bool, digits: int | None) -> pa.Table:
+    """(id, nbr, dist) of the k nearest points of each query of a task, from its lists."""
+    table = table.combine_chunks()
+    offsets, nbr = _flat(table["nbr"])
+    m = _flat(table["m"])[1].astype(np.int64)
+    row = np.repeat(np.arange(table.num_rows), np.diff(offsets))
+    ids = table["id"].combine_chunks()
+    own, other, null = _numbers(ids.take(pa.array(row)), nbr)
+    bucket = np.asarray(table["bucket"].combine_chunks().dictionary_encode().indices)[row]
+    n, c = (np.asarray(table[x], np.int64)[row] for x in ("n", "c"))
     if exclude_self:
-        pair = pair.filter(~F.coalesce(F.col("id") == F.col("nbr"), F.lit(False)))
-    found = pair.groupBy(*keys, "id", "_salt", "nbr", "n", "m").agg(F.sum("c").alias("both"))
-    union = F.col("n") + F.col("m") - F.col("both")
-    dist = (union - F.col("both")).cast("double") if measure == "hamming" else F.when(union > 0, F.lit(1.0) - F.col("both") / union)
-    found = found.select(*keys, "id", "nbr", (F.round(dist, digits) if digits is not None else dist).alias("dist")).filter("dist IS NOT NULL")
-    nearest = Window.partitionBy(*keys, "id").orderBy(F.col("dist").asc(), F.col("nbr").asc())
-    return found.withColumn("_place", F.row_number().over(nearest)).filter(F.col("_place") <= k).drop("_place")
+        kept = np.flatnonzero((own != other) | (own == null))
+        own, other, bucket, n, m, c = (x[kept] for x in (own, other, bucket, n, m, c))
+    order = np.lexsort((other, own, bucket))
+    own, other, bucket, n, m, c = (x[order] for x in (own, other, bucket, n, m, c))
+    new = np.flatnonzero(np.r_[True, (np.diff(own) != 0) | (np.diff(other) != 0) | (np.diff(bucket) != 0)][:len(own)])
+    both = np.add.reduceat(c, new) if len(new) else c
+    own, other, bucket, n, m = (x[new] for x in (own, other, bucket, n, m))
+    union = n + m - both
+    with np.errstate(divide="ignore", invalid="ignore"):
+        dist = (union - both).astype(np.float64) if measure == "hamming" else 1.0 - both / union
+    key = dist
+    if digits is not None and measure == "jaccard":  # rounded half up, as Spark and SQL do
+        key = (2 * (union - both) * 10 ** digits + union) // (2 * np.maximum(union, 1))
+    there = np.flatnonzero(~np.isnan(dist))
+    there = there[np.lexsort((other[there], key[there], own[there], bucket[there]))]
+    first = np.flatnonzero(np.r_[True, (np.diff(own[there]) != 0) | (np.diff(bucket[there]) != 0)][:len(there)])
+    rank = np.arange(len(there)) - np.repeat(first, np.diff(np.append(first, len(there))))
+    best = there[rank < k]
+    ids = (pa.array(x[best], mask=x[best] == null if null is not None else None) for x in (own, other))
+    return pa.table([*ids, pa.array(dist[best])], names=["id", "nbr", "dist"])
+
+
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array | np.ndarray]:
+    """(offsets, entries) of a list column; entries with nulls stay an Arrow array."""
+    lists = column.combine_chunks()
+    entries = lists.flatten()
+    return np.r_[0, np.cumsum(np.asarray(lists.value_lengths()))].astype(np.int64), entries if entries.null_count else np.asarray(entries)
+
+
+def _numbers(own: pa.Array, other: pa.Array | np.ndarray) -> tuple[np.ndarray, np.ndarray, int | None]:
+    """Ids as numbers, and the number below all others that stands for null, if there are any."""
+    other = pa.array(other) if isinstance(other, np.ndarray) else other
+    if not own.null_count and not other.null_count:
+        return np.asarray(own), np.asarray(other), None
+    known = [x for x in (pc.min(own).as_py(), pc.min(other).as_py()) if x is not None]
+    null = min(known, default=0) - 1
+    return np.asarray(own.fill_null(null)), np.asarray(other.fill_null(null)), null
