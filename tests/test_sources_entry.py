@@ -93,3 +93,18 @@ def test_entry_without_tokenizer_package():
     code = ("import sys, warnings; warnings.simplefilter('ignore'); sys.modules['public_tokenizers'] = None; sys.path.insert(0, sys.argv[1])\n"
             "import __spark_entry__ as e; assert 'q_llr_user' in e.queries() and not any(n.startswith('op') for n in e.queries())")
     subprocess.run([sys.executable, "-c", code, str(Path(__file__).parents[1])], check=True, cwd="/")
+
+
+def test_lines_are_split_once(spark):
+    """Checks of the parsed fields don't repeat the parsing, and drop the same lines."""
+    from affinity.operators import graph as H
+    from affinity.sources import text as X
+    lines = spark.createDataFrame([("(1,2,0.5)",), ("(3, 4 )",), ("(x,2,1)",), ("7",), ("",), (None,), ("(,5,1)",), ("5,5,bad",)], "value string")
+    for parse in (X.parse_triplets, X.parse_labelled_edges):
+        assert parse(lines)._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert sorted(map(tuple, X.parse_triplets(lines).collect())) == [(1, 2, 0.5), (3, 4, 1.0), (5, 5, 1.0)]
+    assert sorted(map(tuple, X.parse_labelled_edges(lines).collect())) == [("1", "2", 0.5), ("3", "4", 1.0), ("5", "5", 1.0), ("x", "2", 1.0)]
+    enc, _ = H.index_graph(X.parse_labelled_edges(lines))
+    assert sorted((r.src_name, r.dst_name) for r in H.both_ways(enc).collect()) == [
+        ("1", "2"), ("2", "1"), ("2", "x"), ("3", "4"), ("4", "3"), ("5", "5"), ("x", "2")]
+    assert "SortMergeJoin" not in enc._jdf.queryExecution().executedPlan().toString()
