@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..session import let_go
 from .common import (KeyFilter, LocalCounts, WordHasher, bounded_batches, buffers, components, cut, enough_shared,
                      frequent, row_order, row_ranges, shingle_sets, tidy, without_ids)
 
@@ -162,6 +163,16 @@ def _verify(n, num, den):
     return run
 
 
+def _one_of_alike(now: DataFrame) -> DataFrame:
+    """Of columns that hold the very same rows (by 120 bits of sums of their hashes) the
+    one with the smallest ``h``, with the number of them in ``columns``: rows that meet in
+    one meet in all, and the bounds hold for similar rows in whichever is taken."""
+    sums = [F.sum(F.shiftrightunsigned(F.xxhash64(F.lit(k), "sig"), 24)).alias(f"rows{k}") for k in range(3)]
+    of_column = now.groupBy("h").agg(F.count("*").alias("n"), *sums)
+    taken = of_column.groupBy("n", "rows0", "rows1", "rows2").agg(F.min("h").alias("h"), F.count("*").alias("columns"))
+    return now.join(taken.select("h", "columns"), "h")
+
+
 def _linked(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """(x, y, linked) of the pairs of signatures (x, y)."""
     xs = texts.select(F.col("sig").alias("x"), F.col("text").alias("x_text"))
@@ -198,6 +209,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
            .filter("sig <> first.sig OR next IS NOT NULL")
            .select("h", "sig", "size", "place", "first"))
     met = cut(met)
+    del entries
+    let_go(docs.sparkSession)
 
     def texts_of(pairs: DataFrame) -> DataFrame:
         """(sig, text) of the sets that are in pairs: one text for each set."""
@@ -226,19 +239,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             pairs = (now.withColumn("first", F.first(F.struct("sig", "size", "place", "label")).over(other))
                      .filter("label <> first.label").selectExpr(*pair))
         else:
-            now = now.select("h", "sig", "size", "place", "label")
-            x = now.select("h", *(F.col(c).alias(f"x_{c}") for c in ("size", "place", "label")), F.col("sig").alias("x"))
+            now = _one_of_alike(now).select("h", "sig", "size", "place", "label", "columns")
+            x = now.select("h", "columns", *(F.col(c).alias(f"x_{c}") for c in ("size", "place", "label")), F.col("sig").alias("x"))
             y = now.select("h", *(F.col(c).alias(f"y_{c}") for c in ("size", "place", "label")), F.col("sig").alias("y"))
             pairs = x.join(y, "h").filter("x_label < y_label")
         pairs = pairs.filter(_fits(num, den))
         if turn == rounds:  # every column that both rows have has been met: overlaps add up
-            pairs = (pairs.groupBy("x", "y", "x_size", "y_size").agg(F.count("*").alias("overlap"))
+            pairs = (pairs.groupBy("x", "y", "x_size", "y_size").agg(F.sum("columns").alias("overlap"))
                      .filter(enough_shared("overlap", num, den)))
         pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["x", "y"], "left_anti")
         pairs = cut(pairs)
+        now = x = y = None
+        let_go(docs.sparkSession)
         found = cut(_linked(pairs, texts_of(pairs), n, num, den))
+        let_go(docs.sparkSession)
         tried = found.select("x", "y") if tried is None else tried.unionByName(found.select("x", "y"))
         own = found.filter("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
         links = own if links is None else links.unionByName(own)
