@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, ship_package
-from . import steps
+from . import packed_pairs, steps
 from .llr import half_pairs, mirror_pairs
 from .numbering import number_rows
 
@@ -52,24 +52,41 @@ def _runs(load: np.ndarray):
         i = j
 
 
+def _written(batches):
+    """Raters of items (of, column, nbrs, given) with their lists as bytes (of, column, first, form, list)."""
+    for batch in batches:
+        offsets, user = steps.flat(batch.column(2))
+        rating = steps.flat(batch.column(3))[1].astype(np.float64)
+        order = np.lexsort((user, np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))))
+        user, rating = user[order], rating[order]
+        form = packed_pairs.form_of(rating)
+        data, at = packed_pairs.entries(offsets, user, rating, None, form)
+        text, bounds = data.tobytes(), at[offsets]
+        # a list's first step is one byte, 0: it isn't sent
+        lists = [text[i + 1:j] for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(user[offsets[:-1]]), pa.array(np.full(len(lists), form, np.int32)), pa.array(lists, pa.binary())],
+            ["of", "column", "first", "form", "list"])
+
+
 def _best_raters(most: int):
     """A tile: (ratings and questions of one block of users, lists of the raters of their items)
-    -> the ``most`` raters of each question with the largest g. Only cells of users and raters that
+    -> the ``most`` raters of each question with the largest g, and their rank. Only cells of users and raters that
     share an item are held, for ``MATCHES`` matches at a time."""
     def run(own: pa.Table, raters: pa.Table) -> pa.Table:
         own, raters = own.combine_chunks(), raters.combine_chunks()
         users, a = np.unique(np.asarray(own["user"]), return_inverse=True)
         by_user = np.argsort(a, kind="stable")
         a, item, asked, mine = a[by_user], *(np.asarray(own[c])[by_user] for c in ("item", "asked", "r"))
-        column = lambda c: pa.concat_arrays(raters[c].chunks) if raters.num_rows else pa.array([], raters.schema.field(c).type)
-        offsets, rater = steps.flat(column("nbrs"))
-        _, rating = steps.flat(column("given"))
-        items = np.repeat(np.asarray(raters["of"]), np.diff(offsets))
+        rater, rating, items = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        if raters.num_rows:
+            row, rater, rating, _ = packed_pairs._listed(raters.to_batches()[0], False, True)
+            items = np.asarray(raters["of"])[row]
         order = np.argsort(items, kind="stable")
         items, rating = items[order], rating[order]
         nbrs, b = np.unique(rater[order], return_inverse=True)
         lo, count = _spans(item, items)
-        out = {"user": [], "item": [], "nbr": [], "g": [], "r": []}
+        out = {"user": [], "item": [], "nbr": [], "g": [], "r": [], "rnk": []}
         for first, last in _runs(np.bincount(a, count, len(users)).astype(np.int64)):
             here = np.arange(*np.searchsorted(a, [first, last]))
             has, asks = here[~asked[here]], here[asked[here]]
@@ -85,10 +102,10 @@ def _best_raters(most: int):
             rows, places, value = rows[best], places[best], value[best]
             start = np.flatnonzero(np.diff(rows, prepend=-1))
             rank = np.arange(len(rows)) - np.repeat(start, np.diff(np.append(start, len(rows))))
-            rows, places, value = (x[rank < most] for x in (rows, places, value))
-            for name, values in zip(out, (users[a[asks][rows]], item[asks][rows], nbrs[b[places]], value, rating[places]), strict=True):
+            rows, places, value, rank = (x[rank < most] for x in (rows, places, value, rank))
+            for name, values in zip(out, (users[a[asks][rows]], item[asks][rows], nbrs[b[places]], value, rating[places], rank + 1), strict=True):
                 out[name].append(values)
-        kinds = (np.int64, np.int64, np.int64, np.float64, np.float64)
+        kinds = (np.int64, np.int64, np.int64, np.float64, np.float64, np.int64)
         return pa.table({name: np.concatenate([np.zeros(0, kind), *parts]) for (name, parts), kind in zip(out.items(), kinds, strict=True)})
     return run
 
@@ -100,7 +117,8 @@ def ranked_raters(test: DataFrame, train: DataFrame, most: int, block_users: int
     A masked sparse product: only test users are rows, in blocks of ``block_users``, and a block
     gets the raters of the items that its users have rated or ask for, as lists, once each; so
     what is sent grows with the matches of ratings, not with users x users. Only an item
-    of more than ``RATERS`` raters has them dealt over several tiles of each block. No row stands
+    of more than ``RATERS`` raters has them dealt over several tiles of each block, whose ranks are made anew. The
+    lists are written once as bytes (``packed_pairs``). No row stands
     for a test pair and a rater before the tile's ranking; a tile gives ``most`` rows for a test pair at most."""
     ship_package(train.sparkSession)
     asked = test.select(F.col("user").cast("long"), F.col("item").cast("long")).distinct()
@@ -114,12 +132,16 @@ def ranked_raters(test: DataFrame, train: DataFrame, most: int, block_users: int
            .unionByName(asked.withColumn("r", F.lit(0.0)).withColumn("asked", F.lit(True)))
            .withColumn("i", F.pmod(F.xxhash64("user"), F.lit(rows))))
     left = own.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(columns - 1)).cast("array<long>")))
-    lists = (rated.withColumn("column", F.pmod(F.xxhash64("user"), F.lit(columns))).groupBy("item", "column")
-             .agg(F.collect_list(F.struct("user", "r")).alias("by")))
-    right = (lists.join(own.select("item", F.col("i").alias("row")).distinct(), "item")
-             .select(F.col("item").alias("of"), F.col("by.user").alias("nbrs"), F.col("by.r").alias("given"), "row", "column"))
+    lists = (rated.filter("user IS NOT NULL").withColumn("column", F.pmod(F.xxhash64("user"), F.lit(columns))).groupBy("item", "column")
+             .agg(F.collect_list(F.struct("user", "r")).alias("by"))
+             .select(F.col("item").alias("of"), "column", F.col("by.user").alias("nbrs"), F.col("by.r").alias("given"))
+             .mapInArrow(_written, "of long, column long, first long, form int, list binary"))
+    right = (lists.join(own.select(F.col("item").alias("of"), F.col("i").alias("row")).distinct(), "of")
+             .select("of", "first", "form", "list", "row", "column"))
     found = left.groupBy("i", "j").cogroup(right.groupBy("row", "column")).applyInArrow(
-        _best_raters(most), "user long, item long, nbr long, g double, r double")
+        _best_raters(most), "user long, item long, nbr long, g double, r double, rnk long")
+    if columns == 1:
+        return found
     w = Window.partitionBy("user", "item").orderBy(F.col("g").desc(), F.col("nbr").asc())
     return found.withColumn("rnk", F.row_number().over(w)).filter(F.col("rnk") <= most)
 
@@ -131,18 +153,19 @@ def gram_predict(test: DataFrame, train: DataFrame, n: int = 10, digits: int | N
 
 def gram_predict_by_k(test: DataFrame, train: DataFrame, ks: list[int], digits: int | None = 6) -> DataFrame:
     """A22 helper: rank once, then predictions for every neighbourhood size k
-    (the k list is a literal array exploded per candidate row and per test row;
+    (the k list is a literal array exploded per test row, after the join;
     each k has as many predictions as there are test rows)."""
     ranked = ranked_raters(test, train, max(ks))
-    sizes = F.explode(F.array(*[F.lit(int(k)) for k in ks]))
-    per_k = ranked.withColumn("k", sizes).filter(F.col("rnk") <= F.col("k"))
-    agg = per_k.groupBy("k", "user", "item").agg((F.sum(F.col("g") * F.col("r")) / F.sum("g")).alias("p"))
-    every = test.select("user", "item", "rating").withColumn("k", sizes)
-    pred = F.coalesce("p", F.lit(0.0))
+    # a row for each question with the sums of all sizes, and so many joins, whatever their number
+    sums = [F.when(F.count(F.when(F.col("rnk") <= k, 1)) > 0, F.sum(F.when(F.col("rnk") <= k, F.col("g") * F.col("r")))
+                   / F.sum(F.when(F.col("rnk") <= k, F.col("g")))) for k in map(int, ks)]
+    agg = ranked.groupBy("user", "item").agg(F.array(*sums).alias("p"))
+    found = test.select("user", "item", "rating").join(agg, ["user", "item"], "left")
+    sizes = F.explode(F.array(*[F.struct(F.lit(int(k)).alias("k"), F.lit(i).alias("i")) for i, k in enumerate(ks)]))
+    pred = F.coalesce(F.get("p", F.col("s.i")), F.lit(0.0))
     if digits is not None:
         pred = F.round(pred, digits)
-    return (every.join(agg, ["k", "user", "item"], "left")
-            .select("k", "user", "item", "rating", pred.alias("predicted")))
+    return found.withColumn("s", sizes).select("s.k", "user", "item", "rating", pred.alias("predicted"))
 
 
 def dense_rows(ratings: DataFrame, item_block: int = 4096) -> DataFrame:

@@ -1,10 +1,10 @@
 """Neighbour-weighted rating prediction.
 
 Plan: covered test pairs (user has neighbours AND item occurs in train, two
-left-semi joins) -> join the user's k neighbours (test x k rows, never
+left-semi joins) -> join the user's k neighbours (test x k rows, not
 test x raters-of-item, which explodes on popular items) -> left join the
 neighbours' train ratings of that item on (nbr, item) -> one aggregate per
-test row. Test rows of a hot user are dealt over salts, its neighbours repeated for
+test row. For lists of neighbours by k the raters come first where they are fewer than the neighbours, by count. Test rows of a hot user are dealt over salts, its neighbours repeated for
 each (``operators.skew``). Train ratings are first reduced to one rating per (user, item);
 that aggregate's hash partitioning on (user, item) is the one the rating
 join needs, so it costs no extra shuffle.
@@ -84,6 +84,12 @@ def naive_average(value: Column | str, n: int = 10) -> Column:
     return F.sum(v) / F.lit(float(n))
 
 
+def _matches(pairs: DataFrame, other: DataFrame, key: str) -> int:
+    """Rows of the join of both on ``key``."""
+    sizes = [df.groupBy(key).agg(F.count(F.lit(1)).alias(n)) for df, n in ((pairs, "_m"), (other, "_n"))]
+    return sizes[0].join(sizes[1], key).agg(F.sum(F.col("_m") * F.col("_n"))).first()[0] or 0
+
+
 def predict_by_k(test: DataFrame, train: DataFrame, neighbors: DataFrame, ks: list[int],
                  weight: str = "distance", digits: int | None = 6) -> DataFrame:
     """A22 for neighbour lists: predictions for every neighbourhood size k from
@@ -99,7 +105,12 @@ def predict_by_k(test: DataFrame, train: DataFrame, neighbors: DataFrame, ks: li
             .select(F.col("id").alias("user"), "nbr", w.alias("w"), "rnk"))
     rated = _unique_train(train).select(F.col("user").alias("nbr"), "item", F.col("rating").alias("r"))
     dealt, nbrs = split_hot(pairs, "user", "item", nbrs)
-    hits = dealt.join(nbrs, ["user", SALT]).join(rated, ["nbr", "item"])
+    # only ratings of neighbours count; whichever of an item's raters and a user's neighbours are fewer are joined first
+    raters = rated.join(nbrs.select("nbr").distinct(), "nbr", "left_semi")
+    if _matches(pairs, raters, "item") < _matches(pairs, nbrs.filter(F.col(SALT) == 0), "user"):
+        hits = dealt.join(raters, "item").join(nbrs, ["user", SALT, "nbr"])
+    else:
+        hits = dealt.join(nbrs, ["user", SALT]).join(raters, ["nbr", "item"])
     per_k = (hits.withColumn("k", F.explode(karr)).filter(F.col("rnk") <= F.col("k"))
              .groupBy("k", "user", "item", "rating")
              .agg(F.sum(F.col("w") * F.col("r")).alias("num"), F.sum("w").alias("den")))
