@@ -1,9 +1,8 @@
 """Exact k-nearest neighbours without all-pairs rows.
 
 Plan: queries and points are hashed into blocks, as few as let every task have a
-tile and keep a side of a tile under ``TILE_BYTES``: a vector is sent to about the square
-root of the number of tasks tiles, and more only when all vectors are beyond tasks x
-``TILE_BYTES`` in product. Every (query block, point block) pair becomes one co-group (each side is
+tile and keep a side of a tile under ``TILE_BYTES``, of the two sides those numbers that send the fewest bytes of
+vectors and neighbours (with many neighbours one block of points, where these fit). Every (query block, point block) pair becomes one co-group (each side is
 replicated once per block of the other side); the group
 finds its nearest cells in a single-precision tile (a matrix product; sums by dimension for Manhattan)
 with a bound of its error, computes exact distances of those only, and emits its
@@ -311,6 +310,22 @@ def _blocks(n: int, block_rows: int, tasks: int) -> int:
     return max(1, math.ceil(n / block_rows), min(n // 64, math.ceil(math.sqrt(tasks))))
 
 
+def _sides(n_q: int, n_p: int, asked: int, points: int, tasks: int, vector: int, k: int) -> tuple[int, int]:
+    """(blocks of queries, of points) of at most ``asked`` and ``points`` rows, with tiles for ``tasks`` tasks where
+    there are rows for it: those that send the fewest bytes. A vector, of ``vector`` bytes, goes to all blocks of
+    the other side, and each block of points gives every query ``k`` neighbours."""
+    least_q, least_p = max(1, math.ceil(n_q / asked)), max(1, math.ceil(n_p / points))
+
+    def sides(pb):
+        return max(least_q, min(max(1, n_q // 64), math.ceil(tasks / pb))), pb
+
+    def sent(both):
+        qb, pb = both
+        return vector * (n_p * qb + n_q * pb) + 24 * min(k, n_p) * n_q * pb
+    most = max(least_p, min(n_p // 64, math.ceil(math.sqrt(tasks))))
+    return min((sides(pb) for pb in range(least_p, most + 1)), key=sent)
+
+
 def tile_rows(pts: DataFrame) -> int:
     """Rows of a tile's side, from the length of a vector: ``TILE_BYTES`` of doubles."""
     widest = pts.agg(F.max(F.size("vec"))).first()[0] or 1
@@ -359,7 +374,10 @@ def block_candidates(qry: DataFrame, pts: DataFrame, k: int, measure: str = "cos
     rows, tasks = block_rows or tile_rows(pts), pts.sparkSession.sparkContext.defaultParallelism
     asked = rows if block_rows else max(1, min(rows, RESULT_BYTES // (24 * (k + 1))))  # id, nbr, dist
     points = rows if block_rows or measure in SET_MEASURES else max(1, rows * POINT_BYTES // TILE_BYTES)
-    qb, pb = _blocks(n_q, asked, tasks), _blocks(n_p, points, tasks)
+    if block_rows or measure in SET_MEASURES:
+        qb, pb = _blocks(n_q, asked, tasks), _blocks(n_p, points, tasks)
+    else:
+        qb, pb = _sides(n_q, n_p, asked, points, tasks, TILE_BYTES // rows, k)
     # fresh attribute ids on both sides: queries are often a subset of the points
     qry = qry.select(F.col("id").alias("id"), F.col("vec").alias("vec"))
     pts = pts.select(F.col("id").alias("id"), F.col("vec").alias("vec"))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, let_go
 from .skew import SALT, split_hot
 
 WEIGHTS = ("distance", "similarity")
@@ -99,6 +99,7 @@ def predict_by_k(test: DataFrame, train: DataFrame, neighbors: DataFrame, ks: li
         raise ValueError(f"weight must be one of {WEIGHTS}")
     neighbors = cut_lineage(neighbors)  # they are searched for once: for the covered pairs and the weights
     w = F.col("dist") if weight == "distance" else F.lit(1.0) - F.col("dist")
+    let_go(test.sparkSession)  # what the search shuffled
     karr = F.array(*[F.lit(int(k)) for k in ks])
     pairs = covered(test.select("user", "item", "rating"), train, neighbors)
     nbrs = (neighbors.filter(F.col("rnk") <= max(ks))
