@@ -5,7 +5,8 @@ elements, the points that hold it, and the number of times a point comes up is t
 intersection. Points that share nothing with a query are at a distance known from the sizes
 alone (Jaccard 1, Hamming the sum of sizes), so the first k + 1 of them by size and id stand for all.
 No pair of sets without a common element is made; lists are shuffled, pairs are not: tasks are by
-query (a query with very many pairs by parts of its lists) and make about ``PAIRS_A_TASK`` pairs each.
+query (a query with very many pairs by parts of its lists) and make about ``PAIRS_A_TASK`` pairs each. Lists go as
+bytes (``packed_pairs``) unless points have null ids.
 An element with more than ``BLOCK_ROWS`` members is dealt into blocks.
 """
 
@@ -20,6 +21,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship_code
+from .packed_pairs import _listed, entries, form_of
+from .steps import flat
 
 #: Tiles are taken unless they have so many times more cells than there are pairs by a common element.
 CELLS_A_PAIR = 16
@@ -95,17 +98,41 @@ def set_candidates(qry: DataFrame, pts: DataFrame, k: int, measure: str, keys: l
     tasks = max(spark.sparkContext.defaultParallelism, math.ceil(pairs / PAIRS_A_TASK))
     bucket = F.to_json(F.struct(*keys)) if keys else F.lit("")
     lists = lists.select(F.pmod(F.xxhash64("id", "_salt"), F.lit(tasks)).alias("task"), bucket.alias("bucket"), "id", "n", "c",
-                         F.col("others.id").alias("nbr"), F.col("others.n").alias("m")).repartition(tasks, "task")
+                         F.col("others.id").cast("array<long>").alias("nbr"), F.col("others.n").alias("m"))
+    if not pts.filter("id IS NULL").limit(1).count():
+        kind = qry.schema["id"].dataType.simpleString()
+        lists = lists.mapInArrow(_written, f"task long, bucket string, id {kind}, n int, c int, first long, form int, list binary")
+    lists = lists.repartition(tasks, "task")
     best = lists.groupBy("task").applyInArrow(lambda table: best_sets(table, k, measure, exclude_self, digits), "id long, nbr long, dist double")
     return best if digits is None else best.withColumn("dist", F.round("dist", digits))
 
 
+def _written(batches):
+    """Lists (..., nbr, m) as bytes (..., first, form, list)."""
+    for batch in batches:
+        offsets, nbr = flat(batch.column(5))
+        kept = np.flatnonzero(np.diff(offsets))  # a list without points makes no pairs
+        batch, offsets, m = batch.take(pa.array(kept)), np.append(offsets[kept], offsets[-1]), flat(batch.column(6))[1].astype(np.int64)
+        order = np.lexsort((nbr, np.repeat(np.arange(len(kept)), np.diff(offsets))))
+        nbr, m = nbr[order], m[order]
+        form = form_of(m)
+        data, at = entries(offsets, nbr, m, None, form)
+        text, bounds = data.tobytes(), at[offsets]
+        # a list's first step is one byte, 0: it isn't sent
+        lists = [text[i + 1:j] for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(nbr[offsets[:-1]], pa.int64()), pa.array(np.full(len(lists), form, np.int32)),
+                                          pa.array(lists, pa.binary())], [*batch.schema.names[:5], "first", "form", "list"])
+
+
 def best_sets(table: pa.Table, k: int, measure: str, exclude_self: bool, digits: int | None) -> pa.Table:
     """(id, nbr, dist) of the k nearest points of each query of a task, from its lists."""
     table = table.combine_chunks()
-    offsets, nbr = _flat(table["nbr"])
-    m = _flat(table["m"])[1].astype(np.int64)
-    row = np.repeat(np.arange(table.num_rows), np.diff(offsets))
+    if "list" in table.column_names:
+        row, nbr, m, _ = _listed(table.to_batches()[0], False, False) if table.num_rows else (np.zeros(0, np.int64),) * 4
+    else:
+        offsets, nbr = _flat(table["nbr"])
+        m = _flat(table["m"])[1].astype(np.int64)
+        row = np.repeat(np.arange(table.num_rows), np.diff(offsets))
     ids = table["id"].combine_chunks()
     own, other, null = _numbers(ids.take(pa.array(row)), nbr)
     bucket = np.asarray(table["bucket"].combine_chunks().dictionary_encode().indices)[row]
