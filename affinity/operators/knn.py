@@ -314,16 +314,14 @@ def _sides(n_q: int, n_p: int, asked: int, points: int, tasks: int, vector: int,
     """(blocks of queries, of points) of at most ``asked`` and ``points`` rows, with tiles for ``tasks`` tasks where
     there are rows for it: those that send the fewest bytes. A vector, of ``vector`` bytes, goes to all blocks of
     the other side, and each block of points gives every query ``k`` neighbours."""
-    least_q, least_p = max(1, math.ceil(n_q / asked)), max(1, math.ceil(n_p / points))
-
     def sides(pb):
-        return max(least_q, min(max(1, n_q // 64), math.ceil(tasks / pb))), pb
+        return _blocks(n_q, asked, (tasks / pb) ** 2), pb  # its root: the other side has pb
 
     def sent(both):
         qb, pb = both
         return vector * (n_p * qb + n_q * pb) + 24 * min(k, n_p) * n_q * pb
-    most = max(least_p, min(n_p // 64, math.ceil(math.sqrt(tasks))))
-    return min((sides(pb) for pb in range(least_p, most + 1)), key=sent)
+    widest = sides(max(1, math.ceil(n_p / points)))
+    return min([widest, *(sides(pb) for pb in range(widest[1] + 1, _blocks(n_p, points, tasks) + 1))], key=sent)
 
 
 def tile_rows(pts: DataFrame) -> int:

@@ -808,8 +808,9 @@ def _rmse_by_k(preds: DataFrame) -> DataFrame:
 
 def embedding_rmse_by_k(spark, sf) -> DataFrame:
     train, test = T.split_ratings(T.ratings(spark, sf))
-    nbrs = K.exact_neighbors(T.embeddings(spark, sf), test.select(F.col("user").alias("id")), k=max(SWEEP_KS))
-    return _rmse_by_k(P.predict_by_k(test, train, nbrs, list(SWEEP_KS)))
+    # the search is not held here, so that its files can go once its neighbours are checkpointed
+    return _rmse_by_k(P.predict_by_k(
+        test, train, K.exact_neighbors(T.embeddings(spark, sf), test.select(F.col("user").alias("id")), k=max(SWEEP_KS)), list(SWEEP_KS)))
 
 
 @register("q_compare", f"""WITH {_EMB_SWEEP}
